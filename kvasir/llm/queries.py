@@ -5,22 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kvasir.llm import exact_dedup, packing
+from kvasir.llm import exact_dedup, packing, pieces, secrets, token_counts
 from kvasir.llm.common import documents
 
 
+def _vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, which every executor has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode_decode(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model")))
+
+
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository is a source's documents in one language, its owner the source."""
+    repo = F.concat(F.col("source"), F.lit("/"), F.col("lang"))
+    return secrets.digest(secrets.scan(documents(spark, sf_dir), "doc_id", "text", repo, F.col("source")))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_length_buckets, op7_exact_dedup)}
+    return {f.__name__: f for f in (op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op7_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op4_secret_ownership": secrets.ORACLE_SQL,
+        "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
