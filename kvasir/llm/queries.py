@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm import exact_dedup, packing, pieces, secrets, token_counts
+from kvasir.llm import exact_dedup, minhash, packing, pieces, secrets, token_counts
 from kvasir.llm.common import documents
 
 
@@ -40,8 +40,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op7_exact_dedup)}
+    return {f.__name__: f for f in (op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op7_exact_dedup, op9_minmax_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
