@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm import exact_dedup, minhash, packing, pieces, secrets, token_counts
+from kvasir.llm import exact_dedup, line_dedup, minhash, packing, pieces, secrets, token_counts
 from kvasir.llm.common import documents
 
 
@@ -36,6 +36,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -45,11 +50,12 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op7_exact_dedup, op9_minmax_near_dedup)}
+    return {f.__name__: f for f in (op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op9_minmax_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_secret_ownership": secrets.ORACLE_SQL,
+        "op6_line_runs": line_dedup.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     }
