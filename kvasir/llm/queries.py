@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm import exact_dedup, line_dedup, minhash, packing, pieces, secrets, token_counts
+from kvasir.llm import exact_dedup, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
 from kvasir.llm.common import documents
 
 
@@ -18,6 +18,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The key of the registered query; a production run passes its own secret.
+DEMO_KEY = b"kvasir public demonstration key"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY))
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode_decode(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model")))
 
@@ -50,7 +58,7 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op9_minmax_near_dedup)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op9_minmax_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
