@@ -38,8 +38,12 @@ PATTERNS = (
     ("ipv4", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
     ("date", r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9])|(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"),
+    (
+        "phone",
+        r"(?<![0-9A-Za-z])\+(?:[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|1(?:[ .-]?[0-9]{3}){2}[ .-]?[0-9]{4}|[0-9]{1,3}(?P<t>[ .-])[0-9]{2,6}(?:(?P=t)[0-9]{2,6}){1,3}|[0-9]{8,15})(?![0-9]|\.[0-9])"
+        r"|(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|\.[0-9])",
+    ),
 )
 KINDS = tuple(k for k, _ in PATTERNS)
 _any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
@@ -187,12 +191,14 @@ class Pseudonyms:
         if not text or not _may.search(text):
             return text, []
         out, spans, done = [], [], 0
-        for m in _any.finditer(text):
-            kind = m.lastgroup
+        at = 0
+        while m := _any.search(text, at):
+            kind = next(k for k in KINDS if m[k] is not None)
             new = self(kind, m[0])
+            at = m.start() + 1  # what isn't valid may hide a value
             if new is not None:
                 out += [text[done : m.start()], new]
-                done = m.end()
+                at = done = m.end()
                 spans.append({"kind": kind, "start": m.start(), "end": m.end(), "pseudonym": new})
         return "".join([*out, text[done:]]), spans
 

@@ -40,6 +40,11 @@ def test_invalid_values_stay():
     assert P.replace("order 1234567890123456789012 v1.2.3.4.5")[1] == []
 
 
+def test_neighbours_are_told_apart():
+    text = "+1 (608) 555-2280 37.92.178.24 4451718024887799 27.65.93.1 4111 1111 1111 1111 10.0.0.1 +44 20 7946 0958 1.2.3.4"
+    assert [s["kind"] for s in P.replace(text)[1]] == ["phone", "ipv4", "card", "ipv4", "card", "ipv4", "phone", "ipv4"]
+
+
 def test_permutations_are_bijections():
     f = pii.Feistel(b"k")
     for size in (1, 2, 7, 100, 1000):
