@@ -25,17 +25,23 @@ text; an empty table gives no rows; all other columns are passed through whateve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from kvasir.llm.common import Stage, whole, word_count
 
-DOC = ["doc", "th"]
+#: A document: whether its id is known, the id (0 where unknown) and the text hash; no part is null.
+DOC = ["known", "doc", "th"]
 SUFFIX = [*DOC, "pos"]
 #: Up to so many documents that lose lines, their ranges are broadcast; beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 100_000
 
 
+def _doc(doc: Column, kind: DataType, text: Column) -> list[Column]:
+    return [doc.isNotNull().alias("known"), F.coalesce(doc, F.lit("0").cast(kind)).alias("doc"), F.xxhash64(text).alias("th")]
+
+
 def _ranked(stage: Stage, keyed: DataFrame, by: list[str]) -> DataFrame:
     """(by, rank): the keys that more than one suffix has, ranked in their order."""
     at = F.struct(*SUFFIX)
@@ -45,7 +51,7 @@ def _ranked(stage: Stage, keyed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _suffix_levels(stage: Stage, base: DataFrame, longest: int) -> list[DataFrame]:
-    """(doc, th, pos, rank) by 1, 2, 4, ... lines, up to ``longest`` lines or the longest repeat."""
+    """(document, pos, rank) by 1, 2, 4, ... lines, up to ``longest`` lines or the longest repeat."""
     levels = [base]
     while 2 << (len(levels) - 1) <= longest:
         size = 1 << (len(levels) - 1)
@@ -59,7 +65,7 @@ def _suffix_levels(stage: Stage, base: DataFrame, longest: int) -> list[DataFram
 
 
 def _short_runs(active: DataFrame, min_words: int) -> DataFrame:
-    """(doc, th, pos, size): for each repeated line, the shortest runs of repeated lines with ``min_words`` words from it and up to it."""
+    """(document, pos, size): for each repeated line, the shortest runs of repeated lines with ``min_words`` words from it and up to it."""
     doc = Window.partitionBy(*DOC).orderBy("pos")
     island = Window.partitionBy(*DOC, "island")
     runs = (
@@ -80,10 +86,10 @@ def _short_runs(active: DataFrame, min_words: int) -> DataFrame:
 
 
 def deleted_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
-    """(doc, th, begins, ends): for each document that loses lines, its disjoint ascending ranges of lines."""
+    """(known, doc, th, begins, ends): for each document that loses lines, its disjoint ascending ranges of lines."""
     stage = Stage(docs.sparkSession, "lines")
     text = whole(F.col(text_col))
-    split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    split = docs.select(*_doc(F.col(id_col), docs.schema[id_col].dataType, text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     lines = stage.table(
         split.select(*SUFFIX, F.unhex(F.substring(F.sha2("line", 256), 1, 32)).alias("id"), word_count(F.col("line")).cast("int").alias("words"))
     )
@@ -122,8 +128,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = deleted_ranges(docs, id_col, text_col, min_words)
     if cuts.count() <= BROADCAST_ROWS:
         cuts = F.broadcast(cuts)
-    row = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.`{id_col}`").alias("doc_"), F.xxhash64(whole(F.col(f"row.`{text_col}`"))).alias("th_"))
-    joined = row.join(cuts, F.col("doc_").eqNullSafe(F.col("doc")) & (F.col("th_") == F.col("th")), "left")
+    row = docs.select(F.struct("*").alias("row"))
+    row = row.select("row", *_doc(F.col(f"row.`{id_col}`"), docs.schema[id_col].dataType, whole(F.col(f"row.`{text_col}`"))))
+    joined = row.join(cuts, DOC, "left")
     text = F.col(f"row.`{text_col}`")
     lines = F.split(text, "\n", -1)
     zero = F.array(F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm import exact_dedup, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
+from kvasir.llm import exact_dedup, language, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
 from kvasir.llm.common import documents
 
 
@@ -57,8 +57,14 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language.identify(docs, language.fit_on_fold(docs))
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op9_minmax_near_dedup)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op9_minmax_near_dedup, op10_language_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
