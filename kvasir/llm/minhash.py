@@ -7,10 +7,14 @@ band in common are candidates. At similarity 0.75 a pair shares none of the 28 b
 2.4e-5. Every link is confirmed on the two full shingle sets, taken from the texts.
 
 Documents with one and the same set form a class, compared through its member with the smallest id. In
-each bucket all classes are first compared with the bucket's smallest member, which joins groups of copies
-without pairing them with each other; only where a bucket still holds different components are its
-remaining pairs across components compared. So no link that joins components is lost, and no bucket or
-candidate list is capped.
+each bucket all classes are first compared with the bucket's smallest member, its hub, which joins groups
+of copies without pairing them with each other. Where a hub's family still holds several components, its
+pairs across components are not listed but bounded. With the hub h, a member x lacks |h - x| of the hub's
+shingles and has |x - h| of its own. Two members that share no shingle outside the hub have at most
+|h| - max(lacking) shingles in common, so their sizes alone rule nearly all of them out; the few that pass
+are compared. Members that share a shingle outside the hub form a new bucket for that shingle, with a hub
+of its own, and what is still apart in such a bucket is compared pair by pair. So no link between candidates
+is lost, no bucket or candidate list is capped, and work grows with edits and not with a family's square.
 
 Defined cases: null and empty texts have an empty set and no links; fewer than five words are one shingle;
 rows with a null id aren't linked and have a null component; repeated rows each get a row; texts of any
@@ -129,33 +133,92 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose full sets have 100 * intersection >= 75 * union."""
-    kept: dict[int, frozenset] = {}
+_sets: dict[int, frozenset] = {}
+
+
+def _hub_set(hub: int, text: str) -> frozenset:
+    """The hub's set, remembered while its pairs go by."""
+    if hub not in _sets:
+        if len(_sets) >= 8:
+            _sets.clear()
+        _sets[hub] = shingle_set(text)
+    return _sets[hub]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, ta, tb) to (a, b, n_a, n_b, both): the full sets' sizes and their intersection's."""
+    _sets.clear()
+    for batch in batches:
+        rows = []
+        for x, y, tx, ty in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            s, t = shingle_set(tx), _hub_set(y, ty)
+            rows.append((x, y, len(s), len(t), len(s & t)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["a", "b", "n_a", "n_b", "both"])
+
+
+def _extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, ta, tb) to (a, b, extras): hashes of the shingles that a has and b hasn't."""
+    _sets.clear()
     for batch in batches:
-        a, b = [], []
-        for x, y, tx, ty in zip(*(batch.column(i) for i in range(4)), strict=True):
-            hub = y.as_py()
-            if hub not in kept:
-                if len(kept) >= 16:
-                    kept.clear()
-                kept[hub] = shingle_set(ty.as_py())
-            s, t = shingle_set(tx.as_py()), kept[hub]
-            both = len(s & t)
-            if both and 100 * both >= 75 * (len(s) + len(t) - both):
-                a.append(x.as_py())
-                b.append(hub)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
-    """The links among the pairs (a, b)."""
+        found = [[xxhash.xxh3_64_intdigest(x) - 2**63 for x in shingle_set(tx) - _hub_set(y, ty)] for y, tx, ty in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["a", "b", "extras"])
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
+    """(a, b, ta, tb) for the pairs (a, b). Ids are broadcast if they are few, else texts are shuffled to them."""
     ids = stage.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     few = ids.count() <= BROADCAST_IDS
     texts = stage.table(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]))
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return stage.table(full.mapInArrow(_confirm, "a long, b long"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
+    return stage.table(_with_texts(pairs, docs, stage).mapInArrow(_compare, "a long, b long, n_a long, n_b long, both long"))
+
+
+LINKED = "both > 0 AND 100 * both >= 75 * (n_a + n_b - both)"
+#: For two members x and y of one hub's family that share nothing outside it: they may be linked.
+MAY_LINK = "100 * (n_b - greatest(n_b - both, n_b - both2)) >= 75 * (n_a + n_a2 - (n_b - greatest(n_b - both, n_b - both2)))"
+
+
+def _labelled(rows: DataFrame, label: DataFrame, column: str) -> DataFrame:
+    """The rows with the component of ``column``'s id, which without links is the id."""
+    return rows.join(label.withColumnRenamed("id", column), column, "left").withColumn("component", F.coalesce("component", column))
+
+
+def _mixed(rows: DataFrame, key: list[str], stage: Stage) -> DataFrame:
+    """The keys under which there are several components, with their smallest member and their number."""
+    found = rows.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("a").alias("hub"), F.count(F.lit(1)).alias("n"))
+    return stage.table(found.where("low <> high").select(*key, "hub", "n"))
+
+
+def _rest(compared: DataFrame, label: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
+    """Further comparisons, so that any two linked members of one hub's family end up in one component."""
+    family = stage.table(_labelled(compared.where("a <> b"), label, "a"))
+    mixed = _mixed(family, ["b"], stage).select("b")
+    family = stage.table(family.join(mixed, "b"))
+    if family.isEmpty():
+        return compared.limit(0)
+    other = family.select("b", F.col("a").alias("a2"), F.col("n_a").alias("n_a2"), F.col("both").alias("both2"), F.col("component").alias("component2"))
+    apart = family.where(f"NOT ({LINKED})").join(other, "b").where(f"component <> component2 AND {MAY_LINK}").select(F.greatest("a", "a2").alias("a"), F.least("a", "a2").alias("b"))
+    own = _with_texts(family, docs, stage).mapInArrow(_extras, "a long, b long, extras array<long>")
+    shared = stage.table(own.select("a", "b", F.explode("extras").alias("x")))
+    several = stage.table(shared.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "x"))
+    shared = stage.table(shared.join(several, ["b", "x"]))
+    hubs = _mixed(_labelled(shared, label, "a"), ["b", "x"], stage)
+    star = shared.join(hubs, ["b", "x"]).where("a <> hub").select("a", F.col("hub").alias("b"))
+    second = stage.table(apart.union(star).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"))
+    more = _compared(second, docs, stage)
+    found = compared.select(*more.columns).union(more)
+    label = stage.table(components(found.where(LINKED).select("a", "b"), "minhash-second"))
+    still = _labelled(shared, label, "a")
+    hubs = _mixed(still, ["b", "x"], stage).where("n > 2").select("b", "x")
+    left = stage.table(still.join(hubs, ["b", "x"]))
+    other = left.select("b", "x", F.col("a").alias("a2"), F.col("component").alias("component2"))
+    pairs = left.join(other, ["b", "x"]).where("component <> component2 AND a > a2").select("a", F.col("a2").alias("b")).distinct()
+    third = stage.table(pairs.join(found.select("a", "b"), ["a", "b"], "left_anti"))
+    return more.union(_compared(third, docs, stage))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,20 +234,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = source.where("id IS NOT NULL")
     seated = members.join(hubs, "key")
     pairs = stage.table(seated.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    links = _verified(pairs, known, stage)
+    compared = _compared(pairs, known, stage)
+    links = compared.where(LINKED).select("a", "b")
     label = stage.table(components(links, "minhash-star"))
-    # Buckets of three classes or more that hold more than one component: compare what the hub didn't join.
-    placed = stage.table(
-        seated.where("n > 2 AND rep <> hub").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    left = placed.join(stage.table(mixed.select("key")), "key")
-    other = left.select("key", F.col("rep").alias("rep2"), F.col("n_shingles").alias("n2"), F.col("component").alias("component2"))
-    close = "component <> component2 AND rep > rep2 AND 100 * n_shingles >= 75 * n2 AND 100 * n2 >= 75 * n_shingles"
-    rest = stage.table(left.join(other, "key").where(close).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(_verified(rest, known, stage))
-        label = stage.table(components(links, "minhash-all"))
+    links = links.union(_rest(compared, label, known, stage).where(LINKED).select("a", "b"))
+    label = stage.table(components(links, "minhash-all"))
     class_of = stage.table(classes.select("set_key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")))
     out = signed.select("id", "n_shingles", "set_key").join(class_of, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
