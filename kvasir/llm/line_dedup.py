@@ -34,8 +34,6 @@ from kvasir.llm.common import Stage, whole, word_count
 #: A document: whether its id is known, the id (0 where unknown) and the text hash; no part is null.
 DOC = ["known", "doc", "th"]
 SUFFIX = [*DOC, "pos"]
-#: Up to so many documents that lose lines, their ranges are broadcast; beyond, the texts are shuffled to them.
-BROADCAST_ROWS = 100_000
 
 
 def _doc(doc: Column, kind: DataType, text: Column) -> list[Column]:
@@ -126,8 +124,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With ``counts``: columns n_lines and n_dropped (long) are added.
     """
     cuts = deleted_ranges(docs, id_col, text_col, min_words)
-    if cuts.count() <= BROADCAST_ROWS:
-        cuts = F.broadcast(cuts)
     row = docs.select(F.struct("*").alias("row"))
     row = row.select("row", *_doc(F.col(f"row.`{id_col}`"), docs.schema[id_col].dataType, whole(F.col(f"row.`{text_col}`"))))
     joined = row.join(cuts, DOC, "left")
