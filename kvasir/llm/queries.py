@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm import exact_dedup, language, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
+from kvasir.llm import embedding_dedup, exact_dedup, language, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
 from kvasir.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -64,7 +68,7 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op9_minmax_near_dedup, op10_language_spans)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op8_hnsw_near_dedup, op9_minmax_near_dedup, op10_language_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
