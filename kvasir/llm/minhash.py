@@ -6,15 +6,21 @@ evaluations of one minimum each. Four values of four different permutations form
 band in common are candidates. At similarity 0.75 a pair shares none of the 28 bands with a chance of
 2.4e-5. Every link is confirmed on the two full shingle sets, taken from the texts.
 
-Documents with one and the same set form a class, compared through its member with the smallest id. In
-each bucket all classes are first compared with the bucket's smallest member, its hub, which joins groups
-of copies without pairing them with each other. Where a hub's family still holds several components, its
-pairs across components are not listed but bounded. With the hub h, a member x lacks |h - x| of the hub's
-shingles and has |x - h| of its own. Two members that share no shingle outside the hub have at most
-|h| - max(lacking) shingles in common, so their sizes alone rule nearly all of them out; the few that pass
-are compared. Members that share a shingle outside the hub form a new bucket for that shingle, with a hub
-of its own, and what is still apart in such a bucket is compared pair by pair. So no link between candidates
-is lost, no bucket or candidate list is capped, and work grows with edits and not with a family's square.
+Documents with one and the same set form a class, compared through its member with the smallest id. Links
+within buckets are then found without pairing a bucket's members with each other:
+
+1. Shingles that only one candidate has can't be in a link. A candidate with more than a quarter of such
+   shingles has no link at all and leaves; for the others their number bounds any pair's similarity.
+2. All classes of a bucket are compared with its smallest member, the hub; that joins groups of copies.
+3. Where a hub's family still holds several components, pairs across them are bounded: with the hub h, a
+   member x lacks |h - x| shingles. Two members that share no shingle outside the hub have at most |h| minus
+   the larger lack in common, so sizes rule nearly all pairs out; the few that pass are compared.
+4. Members that share a shingle outside the hub form a bucket of that shingle with a hub of its own; what is
+   still apart in it, and not ruled out by 1, is compared pair by pair. Two members whose largest family is
+   one and the same are left to that family.
+
+So no link between candidates that would join components is lost, no bucket or candidate list is capped,
+and work grows with the edits between copies and not with the square of a group.
 
 Defined cases: null and empty texts have an empty set and no links; fewer than five words are one shingle;
 rows with a null id aren't linked and have a null component; repeated rows each get a row; texts of any
@@ -116,10 +122,14 @@ class Signer:
 _signer: list[Signer] = []
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed() -> Signer:
     if not _signer:
         _signer.append(Signer())
-    signer = _signer[0]
+    return _signer[0]
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signer = _signed()
     for batch in batches:
         sizes, sets, bands = [], [], []
         for text in batch.column(1):
@@ -178,45 +188,77 @@ def _compared(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
 
 
 LINKED = "both > 0 AND 100 * both >= 75 * (n_a + n_b - both)"
-#: For two members x and y of one hub's family that share nothing outside it: they may be linked.
+#: For two members a and a2 of one hub's family that share nothing outside it: they may be linked.
 MAY_LINK = "100 * (n_b - greatest(n_b - both, n_b - both2)) >= 75 * (n_a + n_a2 - (n_b - greatest(n_b - both, n_b - both2)))"
+#: By the shingles that no other candidate has, (n, u) and (n2, u2) may be linked.
+BOUND = "100 * least(n - u, n2 - u2) >= 75 * greatest(n + u2, n2 + u)"
+#: The pair isn't left to another family in which both members are.
+HERE = "NOT (home = home2 AND home <> b)"
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, shingles): the set's hashes."""
+    signer = _signed()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signer.shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["id", "shingles"])
+
+
+def _own(shingles: DataFrame) -> DataFrame:
+    """(id, u): how many shingles of (id, x) no other id has."""
+    return shingles.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
 
 
-def _labelled(rows: DataFrame, label: DataFrame, column: str) -> DataFrame:
+def _nodes(ids: DataFrame, sizes: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
+    """(id, n, u) of the candidates that may have a link."""
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+    shingles = stage.table(texts.mapInArrow(_shingle_rows, "id long, shingles array<long>").select("id", F.explode("shingles").alias("x")))
+    zero = F.coalesce("u", F.lit(0)).alias("u")
+    sized = ids.join(sizes, "id")
+    alive = stage.table(sized.join(_own(shingles), "id", "left").select("id", "n", zero).where("100 * (n - u) >= 75 * n"))
+    again = _own(shingles.join(alive.select("id"), "id", "left_semi"))
+    return stage.table(alive.drop("u").join(again, "id", "left").select("id", "n", zero).where("100 * (n - u) >= 75 * n"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame, column: str, to: str = "component") -> DataFrame:
     """The rows with the component of ``column``'s id, which without links is the id."""
-    return rows.join(label.withColumnRenamed("id", column), column, "left").withColumn("component", F.coalesce("component", column))
+    found = label.select(F.col("id").alias(column), F.col("component").alias(to))
+    return rows.join(found, column, "left").withColumn(to, F.coalesce(to, column))
 
 
-def _mixed(rows: DataFrame, key: list[str], stage: Stage) -> DataFrame:
-    """The keys under which there are several components, with their smallest member and their number."""
-    found = rows.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("a").alias("hub"), F.count(F.lit(1)).alias("n"))
-    return stage.table(found.where("low <> high").select(*key, "hub", "n"))
+def _open(pairs: DataFrame, label: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
+    """The distinct pairs (a, b) that are apart and may be linked."""
+    low, high = nodes.selectExpr("id AS a", "n", "u"), nodes.selectExpr("id AS b", "n AS n2", "u AS u2")
+    rows = pairs.select("a", "b").distinct().join(low, "a").join(high, "b").where(BOUND).select("a", "b")
+    return stage.table(_labelled(_labelled(rows, label, "a", "c1"), label, "b", "c2").where("c1 <> c2").select("a", "b"))
 
 
-def _rest(compared: DataFrame, label: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
+def _rest(compared: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
     """Further comparisons, so that any two linked members of one hub's family end up in one component."""
-    family = stage.table(_labelled(compared.where("a <> b"), label, "a"))
-    mixed = _mixed(family, ["b"], stage).select("b")
+    size = stage.table(compared.groupBy("b").agg(F.count(F.lit(1)).alias("size")))
+    best = compared.select("a", "b").join(size, "b").groupBy("a").agg(F.max(F.struct("size", (-F.col("b")).alias("hub"))).alias("best"))
+    homes = stage.table(best.select("a", (-F.col("best.hub")).alias("home")))
+    family = _labelled(compared, label, "a").join(homes, "a").join(nodes.selectExpr("id AS a", "n", "u"), "a")
+    mixed = stage.table(family.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b"))
     family = stage.table(family.join(mixed, "b"))
-    if family.isEmpty():
-        return compared.limit(0)
-    other = family.select("b", F.col("a").alias("a2"), F.col("n_a").alias("n_a2"), F.col("both").alias("both2"), F.col("component").alias("component2"))
-    apart = family.where(f"NOT ({LINKED})").join(other, "b").where(f"component <> component2 AND {MAY_LINK}").select(F.greatest("a", "a2").alias("a"), F.least("a", "a2").alias("b"))
+    second_of = lambda t, *keys: t.select(*keys, *[F.col(c).alias(c + "2") for c in t.columns if c not in keys])
+    across = f"component <> component2 AND {BOUND} AND {HERE}"
+    apart = family.where(f"NOT ({LINKED})").join(second_of(family, "b"), "b").where(f"{across} AND {MAY_LINK}").select(F.greatest("a", "a2").alias("a"), F.least("a", "a2").alias("b"))
     own = _with_texts(family, docs, stage).mapInArrow(_extras, "a long, b long, extras array<long>")
-    shared = stage.table(own.select("a", "b", F.explode("extras").alias("x")))
-    several = stage.table(shared.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "x"))
-    shared = stage.table(shared.join(several, ["b", "x"]))
-    hubs = _mixed(_labelled(shared, label, "a"), ["b", "x"], stage)
-    star = shared.join(hubs, ["b", "x"]).where("a <> hub").select("a", F.col("hub").alias("b"))
-    second = stage.table(apart.union(star).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _compared(second, docs, stage)
+    shared = stage.table(own.select("a", "b", F.explode("extras").alias("x")).join(family.select("a", "b", "component", "home"), ["a", "b"]))
+    groups = shared.groupBy("b", "x").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("one"), F.max("home").alias("other"), F.max((F.col("home") == F.col("b")).cast("int")).alias("here"), F.min("a").alias("hub")
+    )
+    groups = stage.table(groups.where("low <> high AND (one <> other OR here = 1)").select("b", "x", "hub"))
+    shared = stage.table(shared.select("a", "b", "x", "home").join(groups, ["b", "x"]))
+    star = shared.where("a <> hub").select("a", F.col("hub").alias("b"))
+    second = _open(apart.union(star), label, nodes, stage).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    more = _compared(stage.table(second), docs, stage)
     found = compared.select(*more.columns).union(more)
     label = stage.table(components(found.where(LINKED).select("a", "b"), "minhash-second"))
-    still = _labelled(shared, label, "a")
-    hubs = _mixed(still, ["b", "x"], stage).where("n > 2").select("b", "x")
-    left = stage.table(still.join(hubs, ["b", "x"]))
-    other = left.select("b", "x", F.col("a").alias("a2"), F.col("component").alias("component2"))
-    pairs = left.join(other, ["b", "x"]).where("component <> component2 AND a > a2").select("a", F.col("a2").alias("b")).distinct()
+    still = _labelled(shared, label, "a").join(nodes.selectExpr("id AS a", "n", "u"), "a")
+    groups = still.groupBy("b", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high AND k > 2")
+    left = stage.table(still.drop("hub").join(stage.table(groups.select("b", "x")), ["b", "x"]))
+    pairs = left.join(second_of(left, "b", "x"), ["b", "x"]).where(f"a > a2 AND {across}").select("a", F.col("a2").alias("b")).distinct()
     third = stage.table(pairs.join(found.select("a", "b"), ["a", "b"], "left_anti"))
     return more.union(_compared(third, docs, stage))
 
@@ -230,14 +272,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_key", "n_shingles", "bands").agg(F.min("id").alias("rep"))
     )
     members = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    hubs = stage.table(members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     known = source.where("id IS NOT NULL")
-    seated = members.join(hubs, "key")
-    pairs = stage.table(seated.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    candidates = stage.table(members.select("key", "rep").join(stage.table(buckets.select("key")), "key").select(F.col("rep").alias("id")).distinct())
+    nodes = _nodes(candidates, classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n")), known, stage)
+    alive = members.select("key", "rep").join(nodes.select(F.col("id").alias("rep")), "rep", "left_semi")
+    hubs = stage.table(alive.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"))
+    pairs = stage.table(alive.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     compared = _compared(pairs, known, stage)
     links = compared.where(LINKED).select("a", "b")
     label = stage.table(components(links, "minhash-star"))
-    links = links.union(_rest(compared, label, known, stage).where(LINKED).select("a", "b"))
+    links = links.union(_rest(compared, label, known, nodes, stage).where(LINKED).select("a", "b"))
     label = stage.table(components(links, "minhash-all"))
     class_of = stage.table(classes.select("set_key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")))
     out = signed.select("id", "n_shingles", "set_key").join(class_of, "set_key", "left")
