@@ -126,7 +126,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = deleted_ranges(docs, id_col, text_col, min_words)
     row = docs.select(F.struct("*").alias("row"))
     row = row.select("row", *_doc(F.col(f"row.`{id_col}`"), docs.schema[id_col].dataType, whole(F.col(f"row.`{text_col}`"))))
-    joined = row.join(cuts, DOC, "left")
+    # Both sides are shuffled at every size: the ranges grow with the table.
+    joined = row.join(cuts.hint("merge"), DOC, "left")
     text = F.col(f"row.`{text_col}`")
     lines = F.split(text, "\n", -1)
     zero = F.array(F.lit(0))
