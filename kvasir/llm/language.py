@@ -139,8 +139,12 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, max_grams: int = 60_000) -> LanguageModel:
     """A model of the rows that have a text and a language (see above for the sample)."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    lottery = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("language sample")), "id")
-    chosen = rows.select("id", "lang").withColumn("place", F.row_number().over(lottery)).where(F.col("place") <= per_language).select("id").distinct()
+    # The first per_language of each language by a hash, first within salts, so that no task ranks a whole language.
+    draw = [F.col("draw"), F.col("id")]
+    chosen = rows.select("id", "lang").withColumn("draw", F.xxhash64("id", F.lit("language sample"))).withColumn("salt", F.pmod("draw", F.lit(64)))
+    for by in (["lang", "salt"], ["lang"]):
+        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*draw))).where(F.col("place") <= per_language)
+    chosen = chosen.select("id").distinct()
     sample = rows.join(F.broadcast(chosen), "id", "left_semi")  # at most per_language ids a language
     tally = sample.select("lang", "text").mapInArrow(_tally, "lang string, what string, name string, n long")
     total = tally.groupBy("lang", "what", "name").agg(F.sum("n").alias("n"))
