@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = []
+NAMES = ["scoring"]
 
 
 def load() -> None:
