@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["scoring"]
+NAMES = ["scoring", "relational"]
 
 
 def load() -> None:
