@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["scoring", "relational"]
+NAMES = ["scoring", "relational", "metrics"]
 
 
 def load() -> None:
