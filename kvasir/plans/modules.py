@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["scoring", "relational", "metrics"]
+NAMES = ["scoring", "relational", "metrics", "text"]
 
 
 def load() -> None:
