@@ -35,7 +35,7 @@ class Stage:
     def table(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kvasir_path = path
         return out
