@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["scoring", "relational", "metrics", "text"]
+NAMES = ["scoring", "relational", "metrics", "text", "graph"]
 
 
 def load() -> None:
