@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["scoring", "relational", "metrics", "text", "graph"]
+NAMES = ["scoring", "relational", "metrics", "text", "graph", "retrieval"]
 
 
 def load() -> None:
