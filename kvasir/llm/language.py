@@ -210,19 +210,24 @@ def label(texts: list[str | None], model: LanguageModel) -> list[tuple[str, floa
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, lang_pred, score, spans: array of (lang, start, end)."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, spans {SPANS}"
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row: id, lang_pred, score, spans: array of (lang, start, end).
+
+    ``keep`` names the columns to pass through in place of the id, so that a filter needs no join.
+    """
+    kept = keep or [id_col]
+    rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("text_"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = f"{fields}, lang_pred string, score double, spans {SPANS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                got = label(batch.column(1).to_pylist(), model)
+                got = label(batch.column(len(kept)).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], _ARROW)],
-                    names=[id_col, "lang_pred", "score", "spans"],
+                    [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], _ARROW)],
+                    names=[*kept, "lang_pred", "score", "spans"],
                 )
 
     return rows.mapInArrow(run, schema)
