@@ -44,30 +44,58 @@ def top_k(df: DataFrame, by: list[str], k: int, *order: Column, rank: str = "ran
     return out.where(F.col(rank) <= k)
 
 
+def _blocks(queries: DataFrame, block: int) -> DataFrame:
+    """(q: array of (q_id, v)): the stated queries in blocks of about ``block``."""
+    share = F.pmod(F.xxhash64("q_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    numbered = queries.withColumn("block", F.floor(share * F.ceil(F.lit(queries.count()) / block)).cast("int"))
+    return numbered.groupBy("block").agg(F.collect_list(F.struct(F.col("q_id"), F.col("v"))).alias("q"))
+
+
+def _similarities(q: list, part: list) -> np.ndarray:
+    x, y = (np.array([r["v"] for r in rows], dtype=np.float64) for rows in (q, part))
+    scale = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+    cos = np.divide(x @ y.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    return np.round(np.maximum(0.0, (cos + 1) / 2), 6)
+
+
+def _met(queries: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
+    """Every block of queries with every bounded group of vectors."""
+    others = [c for c in vectors.columns]
+    grouped = vectors.withColumn("g", F.floor(F.monotonically_increasing_id() / 4096)).groupBy("g").agg(F.collect_list(F.struct(*others)).alias("vs"))
+    return grouped.crossJoin(_blocks(queries, block).select("q")).select("q", "vs")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
     """(q_id, id, similarity, rank): the k vectors (id, v) nearest to each query (q_id, v), ties by id."""
-    numbered = queries.withColumn("block", F.floor(F.pmod(F.xxhash64("q_id"), F.lit(1 << 20)) / F.lit(1 << 20) * F.ceil(F.lit(queries.count()) / block)).cast("int"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct(F.col("q_id"), F.col("v"))).alias("q"))  # about ``block`` queries a row
-    q_type = queries.schema["q_id"].dataType.simpleString()
-    id_type = vectors.schema["id"].dataType.simpleString()
+    q_type, id_type = queries.schema["q_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
             for q, part in zip(pdf["q"], pdf["vs"], strict=True):
-                ids = np.array([r["id"] for r in part], dtype=object)
-                x, y = (np.array([r["v"] for r in rows], dtype=np.float64) for rows in (q, part))
-                scale = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
-                cos = np.divide(x @ y.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                sim = np.round(np.maximum(0.0, (cos + 1) / 2), 6)
+                ids, sim = np.array([r["id"] for r in part], dtype=object), _similarities(q, part)
                 n = min(k, len(ids))
                 rank = np.argsort(ids, kind="stable")
                 top = rank[np.argsort(-sim[:, rank], axis=1, kind="stable")[:, :n]]
                 yield pd.DataFrame({"q_id": np.repeat([r["q_id"] for r in q], n), "id": ids[top].ravel(), "similarity": np.take_along_axis(sim, top, axis=1).ravel()})
 
-    # Vectors are gathered in bounded groups, each of which meets every block of the stated query set.
-    grouped = vectors.withColumn("g", F.floor(F.monotonically_increasing_id() / 4096)).groupBy("g").agg(F.collect_list(F.struct("id", "v")).alias("vs"))
-    pairs = grouped.crossJoin(blocks.select("q"))
-    found = pairs.select("q", "vs").mapInPandas(best, f"q_id {q_type}, id {id_type}, similarity double")
+    found = _met(queries, vectors.select("id", "v"), block).mapInPandas(best, f"q_id {q_type}, id {id_type}, similarity double")
     return top_k(found, ["q_id"], k, F.desc("similarity"), F.asc("id"))
+
+
+def best_of_group(queries: DataFrame, vectors: DataFrame, block: int = 512) -> DataFrame:
+    """(q_id, grp, similarity): for each query the best similarity in each group of the vectors (grp, v).
+
+    A block's groups leave a task as their maxima, so rows are bounded by queries times groups.
+    """
+    q_type, g_type = queries.schema["q_id"].dataType.simpleString(), vectors.schema["grp"].dataType.simpleString()
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for q, part in zip(pdf["q"], pdf["vs"], strict=True):
+                groups, at = np.unique(np.array([r["grp"] for r in part]), return_inverse=True)
+                top = np.zeros((len(q), len(groups)))
+                np.maximum.at(top.T, at, _similarities(q, part).T)
+                yield pd.DataFrame({"q_id": np.repeat([r["q_id"] for r in q], len(groups)), "grp": np.tile(groups, len(q)), "similarity": top.ravel()})
+
+    found = _met(queries, vectors.select("grp", "v"), block).mapInPandas(best, f"q_id {q_type}, grp {g_type}, similarity double")
+    return found.groupBy("q_id", "grp").agg(F.max("similarity").alias("similarity"))

@@ -243,3 +243,19 @@ def test_enclosing_range(spark):
     occ = spark.createDataFrame([("d", 1, 5), ("d", 2, 50), ("e", 3, 5)], "doc string, occ long, line long")
     ranges = spark.createDataFrame([("d", "outer", 0, 20), ("d", "inner", 4, 6), ("d", "other", 30, 40)], "doc string, symbol string, begin long, end long")
     assert {r["occ"]: r["symbol"] for r in chunking.innermost(occ, ranges).collect()} == {1: "inner"}
+
+
+def test_graph_build(spark):
+    from kvasir.operators import graphrag
+    from kvasir.plans.graph import BUILD_NOTES
+
+    notes = spark.createDataFrame(BUILD_NOTES, "id string, content string")
+    made = graphrag.build(notes)
+    found = {r["alias"]: (r["kind"], r["mentions"]) for r in made["entities"].collect()}
+    assert found["postgresql"] == ("TECHNOLOGY", 2) and found["acme corp"][0] == "ORGANIZATION" and found["jane smith"] == ("PERSON", 2)
+    rel = {(r["x"], r["y"]): r["strength"] for r in made["relationships"].collect()}
+    assert rel["postgresql", "redis"] == 4 and ("jane smith", "redis") not in rel
+    of = {r["id"]: r["community"] for r in made["communities"].collect()}
+    assert of["postgresql"] == of["redis"] != of["docker"] == of["kubernetes"]
+    again = graphrag.build(notes, made["links"].select("id").union(spark.createDataFrame([("m4",)], "id string")))
+    assert all(t.count() == 0 for t in again.values())
