@@ -13,6 +13,8 @@ import io
 import numpy as np
 
 M, M0, EF_BUILD, EXPAND, BATCH = 12, 24, 48, 4, 512
+#: How far below the threshold neighbours are still followed, as the way between two hits may lead past it.
+SLACK = 0.05
 
 
 def _diverse(vecs: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarray, room: int) -> np.ndarray:
@@ -158,28 +160,31 @@ class Graph:
     def within(self, queries: np.ndarray, least: float, ef: int | None = None) -> list[np.ndarray]:
         """For each query the rows found with a similarity of ``least`` or more.
 
-        From what the beam finds, all neighbours that are near enough are followed, so that groups larger
-        than the beam come whole.
+        From what the beam finds, all neighbours that are near enough, or nearly so, are followed, so that
+        groups larger than the beam come whole.
         """
         out: list[np.ndarray] = []
         for at in range(0, len(queries), BATCH):
             q = queries[at : at + BATCH]
             ids, sims, visited = beam(self.vecs, self.layers[0], q, self.entry(q), ef or self.ef)
-            hit = sims >= least
+            near_hits = sims >= least - SLACK
             for i in range(len(q)):
-                if not hit[i, 0]:
+                if not near_hits[i, 0]:
                     out.append(np.zeros(0, np.int64))
                     continue
-                found = [ids[i][hit[i]]]
-                if hit[i, -1]:  # the beam is full of hits: there may be more that it dropped
+                front = ids[i][near_hits[i]]
+                found = [front[sims[i][near_hits[i]] >= least]]
+                if near_hits[i, -1]:  # the beam is full of them: there may be more that it dropped
                     visited[i, :-1] = False
-                    visited[i, found[0]] = True
-                while len(found[-1]):
-                    near = np.unique(self.layers[0][found[-1]])
+                    visited[i, front] = True
+                while len(front):
+                    near = self.layers[0][front].ravel()
                     near = near[near >= 0]
-                    near = near[~visited[i, near]]
+                    near = np.unique(near[~visited[i, near]])
                     visited[i, near] = True
-                    found.append(near[self.vecs[near] @ q[i] >= least])
+                    s = self.vecs[near] @ q[i]
+                    front = near[s >= least - SLACK]
+                    found.append(near[s >= least])
                 out.append(np.concatenate(found))
         return out
 
