@@ -112,3 +112,13 @@ def near_duplicates(
     other = rows.where(~F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & sound, F.lit(False)))
     lone = other.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.union(lone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The query over embeddings in DuckDB's SQL, by brute force over all pairs.
+ORACLE_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), g AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r(id, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, min(root) AS component_id, e.vec_id = min(root) AS kept
+FROM e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = e.vec_id JOIN r ON r.id = e.vec_id GROUP BY e.vec_id, n
+"""

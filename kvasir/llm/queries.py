@@ -76,4 +76,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_ownership": secrets.ORACLE_SQL,
         "op6_line_runs": line_dedup.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op8_hnsw_near_dedup": embedding_dedup.ORACLE_SQL,
+        "op9_minmax_near_dedup": minhash.ORACLE_SQL,
     }
