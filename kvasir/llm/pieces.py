@@ -17,6 +17,8 @@ words by a heap, in n log n); repeated rows each get a row; an empty table gives
 from __future__ import annotations
 
 import heapq
+import itertools
+import operator
 import re
 import struct
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 SPACE_SYMBOL = "▁"
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED, LONG_WORD = 400_000, 64
+REMEMBERED, LONG_WORD = 800_000, 64
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -164,14 +166,18 @@ class PieceModel:
             raise ValueError("models with user-defined or unused pieces aren't read")
         self.byte_ids = [0] * 256
         self.surface: list[bytes] = []
+        self.lengths: list[int] = []
         for i, (p, _, t) in enumerate(pieces):
             if t == BYTE:
                 self.byte_ids[int(p[3:5], 16)] = i
+            self.lengths.append(len(p.encode()))
             self.surface.append(b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else p.encode())
         s = SPACE_SYMBOL
         crossing = any(re.search(f"[^{s}]{s}", p) or ("\n" in p and len(p) > 1) for p in self.scores)
         self.words = re.compile(f".+" if crossing else rf"{s}*[^{s}\n]+|{s}+|\n", re.S).findall
+        # Words seen of late and before: when the first table is full it takes the second one's place, so frequent words stay.
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def _merge(self, word: str) -> list[str]:
         """The word's pieces: the best-scored adjacent pair is merged first, of equal ones the leftmost."""
@@ -179,7 +185,7 @@ class PieceModel:
         if len(parts) > LONG_WORD:
             return self._merge_long(parts)
         none = float("-inf")
-        pairs = [scores.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        pairs = list(map(scores.get, map(operator.add, parts, parts[1:]), itertools.repeat(none)))
         while pairs and (best := max(pairs)) > none:
             i = pairs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -216,11 +222,11 @@ class PieceModel:
         """The word's ids and its pieces' normalised lengths in bytes, both packed."""
         ids, sizes = [], []
         for p in self._merge(word):
-            b = p.encode()
             if (i := self.ids.get(p)) is not None:
                 ids.append(i)
-                sizes.append(len(b))
+                sizes.append(self.lengths[i])
             else:
+                b = p.encode()
                 ids += [self.byte_ids[x] for x in b]
                 sizes += [0] * (len(b) - 1) + [len(b)]
         return struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(sizes)}I", *sizes)
@@ -232,10 +238,11 @@ class PieceModel:
         for w in self.words(norm.decode()):
             got = known.get(w)
             if got is None:
-                got = self._word(w)
+                got = self.older.get(w) or self._word(w)
                 if len(w) <= LONG_WORD:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED // 2:
+                        self.known, self.older = {}, known
+                        known = self.known
                     known[w] = got
             found.append(got)
         sizes = np.frombuffer(b"".join([s for _, s in found]), "<u4").astype(np.int64)
