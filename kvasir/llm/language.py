@@ -4,11 +4,13 @@ Words are runs of letters. The script of a word (by code-point ranges) leaves on
 seen in that script; each candidate language scores the word by the log-likelihood of its letter pairs and
 triples under that language; and the Viterbi path over the words, with a penalty for every change of
 language, labels spans of one language in mixed text. A document's language is the one with most letters on
-the path, its score their share.
+the path, its score their share. A run of over ``LONG_WORD`` letters, as in unspaced scripts, is a sequence of
+pieces, each a step of the path with a script of its own; the pieces' letter pairs and triples are the run's.
 
 ``fit`` learns the letter statistics from a bounded sample: at most ``per_language`` labelled rows of each
 language, chosen by a hash of their ids, whole texts; the rows it may learn from are the caller's to choose.
-The ``max_grams`` most frequent pairs and triples are kept. Prediction sees texts only.
+Of each language the ``max_grams`` most frequent pairs and triples are kept, so that none crowds out another's,
+and all its scripts. Prediction sees texts only.
 
 Defined cases: null texts, and texts without a letter, are ``und`` with score 0 and no spans; words in a
 script that no language was seen in may be any language; ties go to the language first in order; without
@@ -19,6 +21,7 @@ table gives no rows.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import uuid
 from collections import Counter
@@ -29,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvasir.llm.common import Stage
+
 # First code points of script ranges, and their scripts.
 RANGES = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"), (0x0900, "devanagari"),
@@ -46,8 +51,27 @@ def script(word: str) -> str:
 
 def grams(word: str) -> list[str]:
     """Letter pairs and triples of the word with its ends marked."""
-    w = f"^{word}$"
-    return [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
+    return _starting(f"^{word}$")
+
+
+def _starting(piece: str) -> list[str]:
+    """Letter pairs and triples of a piece with marked ends; the pair of the two letters beyond it is the next one's."""
+    last = len(piece) - (1 if piece[-1] == "$" else 2)
+    return [piece[i : i + 2] for i in range(last)] + [piece[i : i + 3] for i in range(len(piece) - 2)]
+
+
+def cuts(word: str) -> list[int]:
+    """Starts of the word's pieces, and its end; the last piece has two letters at least."""
+    return [0, *range(LONG_WORD, len(word) - 1, LONG_WORD), len(word)]
+
+
+def pieces(word: str) -> list[str]:
+    """The word's pieces in lower case, the word's ends marked; each but the last goes on for two more letters."""
+    at, low = cuts(word), word.lower()
+    if len(low) != len(word):  # only a dotted capital I becomes two
+        shift = itertools.accumulate((word.count("\u0130", a, b) for a, b in itertools.pairwise(at)), initial=0)
+        at = [a + n for a, n in zip(at, shift, strict=True)]
+    return [("^" if a == 0 else "") + (low[a : b + 2] if b < len(low) else f"{low[a:]}$") for a, b in itertools.pairwise(at)]
 
 
 class LanguageModel:
@@ -67,15 +91,19 @@ class LanguageModel:
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods, one row a word; languages not written in its script have a prohibitive one."""
+        return self.score_pieces([f"^{w}$" for w in words])
+
+    def score_pieces(self, words: list[str]) -> np.ndarray:
+        """As score_words, of pieces with marked ends."""
         if not words:
             return np.zeros((0, len(self.languages)), np.float32)
         none, at, starts = len(self.gram), [], []
         for w in words:
             starts.append(len(at))
-            at += [self.gram.get(g, none) for g in grams(w)]
+            at += [self.gram.get(g, none) for g in _starting(w)]
         out = np.add.reduceat(self.log[at], starts, axis=0)
         for i, w in enumerate(words):
-            ok = self.allowed.get(script(w))
+            ok = self.allowed.get(script(w.lstrip("^")))
             if ok is not None and not ok.all():
                 out[i, ~ok] = -1e6
         return out.astype(np.float32)
@@ -127,9 +155,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             g, s = by.setdefault(lang, (Counter(), Counter()))
             for w, n in Counter(_words.findall((text or "").lower())).items():
-                s[script(w)] += n * len(w)
-                for x in grams(w[:LONG_WORD]):
-                    g[x] += n
+                at = cuts(w)
+                for a, b, piece in zip(at, at[1:], pieces(w), strict=False):
+                    s[script(w[a:b])] += n * (b - a)
+                    for x in _starting(piece):
+                        g[x] += n
         rows = [(lang, what, k, n) for lang, both in by.items() for what, c in zip("gs", both, strict=True) for k, n in c.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "what", "name", "n"]
@@ -147,8 +177,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     chosen = chosen.select("id").distinct()
     sample = rows.join(F.broadcast(chosen), "id", "left_semi")  # at most per_language ids a language
     tally = sample.select("lang", "text").mapInArrow(_tally, "lang string, what string, name string, n long")
-    total = tally.groupBy("lang", "what", "name").agg(F.sum("n").alias("n"))
-    top = total.orderBy(F.desc("n"), "lang", "what", "name").limit(max_grams).collect()
+    total = Stage(labelled.sparkSession, "language").table(tally.groupBy("lang", "what", "name").agg(F.sum("n").alias("n")))
+    sizes = total.where("what = 'g'").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
+    large = [r["lang"] for r in sizes if r["n"] > max_grams]
+    top = total.where((F.col("what") == "s") | ~F.col("lang").isin(large)).collect()  # max_grams and a few rows a language, as below
+    for lang in large:
+        top += total.where((F.col("what") == "g") & (F.col("lang") == lang)).orderBy(F.desc("n"), "name").limit(max_grams).collect()
     counts: dict[str, dict[str, int]] = {}
     scripts: dict[str, dict[str, int]] = {}
     for r in top:
@@ -163,10 +197,20 @@ _ARROW = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end
 _known: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
-def _spans(text: str, labels: np.ndarray, names: list[str]) -> list[dict]:
+def _places(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of the text's words, of long ones those of their pieces, in code points."""
+    out = []
+    for m in _words.finditer(text):
+        if m.end() - m.start() <= LONG_WORD:
+            out.append(m.span())
+        else:
+            out += itertools.pairwise(m.start() + a for a in cuts(m[0]))
+    return out
+
+
+def _spans(places: list[tuple[int, int]], labels: np.ndarray, names: list[str]) -> list[dict]:
     """Runs of one language, from their first word's start to their last word's end, in code points."""
     cut = np.flatnonzero(np.diff(labels)) + 1
-    places = [m.span() for m in _words.finditer(text)]
     firsts, lasts = [0, *cut.tolist()], [*(cut - 1).tolist(), len(labels) - 1]
     return [{"lang": names[labels[a]], "start": places[a][0], "end": places[b][1]} for a, b in zip(firsts, lasts, strict=True)]
 
@@ -179,7 +223,7 @@ def label(texts: list[str | None], model: LanguageModel) -> list[tuple[str, floa
     if len(known) > REMEMBERED:
         known.clear()
         table[0] = table[0][:0]
-    found, new = [], {}
+    found, new = [], []
     for t in texts:
         # Words are cut in the text as it is, so that spans fit it; lower() may change a text's length.
         words = _words.findall(t) if t else []
@@ -187,12 +231,18 @@ def label(texts: list[str | None], model: LanguageModel) -> list[tuple[str, floa
         for w in words:
             i = known.get(w)
             if i is None:
-                i = known[w] = len(known)
-                new[w] = i
+                # A piece is no other word: it has a marked end, or more letters than a word in one piece.
+                got = pieces(w)
+                for piece, key in zip(got, got if len(got) > 1 else [w], strict=True):
+                    if (i := known.get(key)) is None:
+                        i = known[key] = len(known)
+                        new.append(piece)
+                    ids.append(i)
+                continue
             ids.append(i)
         found.append((ids, words))
     if new:
-        table[0] = np.concatenate((table[0], model.score_words([w.lower()[: 4 * LONG_WORD] for w in new])))
+        table[0] = np.concatenate((table[0], model.score_pieces(new)))
     sizes = np.array([len(x) for x, _ in found])
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     ids = np.fromiter((i for x, _ in found for i in x), np.int64, int(offsets[-1]))
@@ -203,10 +253,11 @@ def label(texts: list[str | None], model: LanguageModel) -> list[tuple[str, floa
             out.append(("und", 0.0, []))
             continue
         labels = path[offsets[k] : offsets[k + 1]]
-        letters = np.fromiter(map(len, words), np.int64, len(words))
+        places = _places(t)
+        letters = np.fromiter((b - a for a, b in places), np.int64, len(places))
         share = np.bincount(labels, weights=letters, minlength=len(model.languages))
         best = int(share.argmax())
-        out.append((model.languages[best], float(share[best] / share.sum()), _spans(t, labels, model.languages)))
+        out.append((model.languages[best], float(share[best] / share.sum()), _spans(places, labels, model.languages)))
     return out
 
 

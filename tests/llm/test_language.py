@@ -69,3 +69,29 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
     held = op10_language_spans(spark, d).join(truth, "doc_id").where("held_out")
     assert held.where("lang = lang_pred").count() >= 0.97 * held.count() > 0
+
+
+def test_pieces_have_the_whole_words_grams():
+    for n in (1, 2, 39, 40, 41, 42, 43, 79, 80, 81, 82, 160, 161, 1000):
+        for word in (("abcdefg" * n)[:n], ("\u0130xy" * n)[:n]):
+            got = language.pieces(word)
+            assert Counter(g for p in got for g in language._starting(p)) == Counter(language.grams(word.lower()))
+            assert len(got) == len(language.cuts(word)) - 1
+
+
+def test_long_runs_count_to_their_end():
+    m = model()
+    text = "banalanamanasana" * 20 + "kithsmithwithpith" * 60
+    lang, score, spans = language.label([text], m)[0]
+    assert lang == "bb" and 0.6 < score < 0.9 and [s["lang"] for s in spans] == ["aa", "bb"]
+    assert spans[0]["start"] == 0 and spans[1]["start"] == spans[0]["end"] and abs(spans[0]["end"] - 320) <= 40 and spans[1]["end"] == len(text)
+    # Where the script changes inside a run, each piece has its own.
+    assert [s["lang"] for s in language.label(["bana" * 50 + "привет" * 50], m)[0][2]] == ["aa", "ru"]
+
+
+def test_each_language_keeps_its_grams_and_scripts(spark):
+    rows = [(i, "".join(chr(0x4E00 + (i * 37 + k) % 900) for k in range(400)), "zh") for i in range(20)] + [(100, "bana lana", "aa"), (101, "x" * 60 + "qqqzzz", "bb")]
+    m = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_grams=25)
+    assert m.languages == ["aa", "bb", "zh"] and {"latin", "han"} == set(m.allowed)
+    assert {"^b", "ba", "ana", "qqz", "zz$"} <= set(m.gram) and len(m.gram) <= 75
+    assert language.label(["bana lana"], m)[0][0] == "aa"
