@@ -3,9 +3,8 @@
 A dynamic programme over the global length histogram chooses the ``buckets`` boundaries with the least
 padding; inside each bucket, documents form batches of at most ``token_budget`` padded tokens.
 
-The histogram's size is bounded whatever the table's: lengths up to ``exact_to`` have a cell each, longer
-ones share cells of relative width 1/``cells_per_octave``; a cell keeps its count, its sum and its largest
-length, so padding is counted exactly and only the choice of boundaries is on the grid. Batches are
+The histogram has every distinct length, so the boundaries are the optimum; v of them take v * v / 2 tokens
+at least, and the programme takes ``buckets`` * v steps in the driver. Batches are
 numbered by a two-level rank: rows are dealt evenly to slices, ranked within (bucket, slice), and shifted
 by the slices' running counts; no bucket is ever gathered in a task.
 
@@ -16,6 +15,8 @@ packed once; fewer distinct lengths than buckets give fewer buckets; an empty ta
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +29,29 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray
     v = len(lengths)
     if v == 0:
         return []
-    c, s = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in (counts, sums))
+    # Whole numbers of Python, so that no sum is rounded.
+    tops = [int(x) for x in lengths]
+    c, s = ([0, *itertools.accumulate(int(x) for x in xs)] for xs in (counts, sums))
     k = min(buckets, v)
-    best = np.full(v + 1, np.inf)
-    best[0] = 0.0
     cut = np.zeros((k, v + 1), dtype=np.int32)
-    for layer in range(k):
-        nxt = np.full(v + 1, np.inf)
-        nxt[0] = 0.0
+    # The first bucket holds the first j lengths; best[j] is their least padding in the layer's number of buckets.
+    best = [0, *(tops[j - 1] * c[j] - s[j] for j in range(1, v + 1))]
+    for layer in range(1, k):
+        # A cut i costs best[i] + s[i] - c[i] * top, a line in top: the lines' lower envelope, asked at ascending tops.
+        nxt, hull, at = [0] * (v + 1), [], 0
         for j in range(1, v + 1):
-            cost = best[:j] + lengths[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            cut[layer, j] = i = int(cost.argmin())
-            nxt[j] = cost[i]
+            i, high = j - 1, best[j - 1] + s[j - 1]
+            while len(hull) >= 2:
+                (a, ya), (b, yb) = hull[-2], hull[-1]
+                if (high - ya) * (c[b] - c[a]) > (yb - ya) * (c[i] - c[a]):
+                    break
+                hull.pop()
+            hull.append((i, high))
+            top, at = tops[j - 1], min(at, len(hull) - 1)
+            while at + 1 < len(hull) and hull[at + 1][1] - c[hull[at + 1][0]] * top < hull[at][1] - c[hull[at][0]] * top:
+                at += 1
+            cut[layer, j] = i = hull[at][0]
+            nxt[j] = hull[at][1] + top * (c[j] - c[i]) - s[j]
         best = nxt
     out, j = [], v
     for layer in range(k - 1, -1, -1):
@@ -50,12 +62,6 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray
     return out[::-1]
 
 
-def _cell(n: Column, exact_to: int, per_octave: int) -> Column:
-    """The grid cell of a length: the length itself, or above ``exact_to`` the length rounded up to its octave's grid."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - F.lit(int(np.log2(per_octave))))).cast("long")
-    return F.when(n <= exact_to, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -63,8 +69,6 @@ def pack(
     length: Column | None = None,
     buckets: int = 16,
     token_budget: int = 16384,
-    exact_to: int = 1024,
-    cells_per_octave: int = 256,
     rows_per_slice: int = 20000,
 ) -> DataFrame:
     """One row per document: id, n_tokens, bucket, bucket_len, batch_id, slot, padding (all long).
@@ -75,13 +79,13 @@ def pack(
     n = word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
     rows = stage.table(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row")))
     grid = (
-        rows.groupBy(_cell(F.col("n_tokens"), exact_to, cells_per_octave).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s"), F.max("n_tokens").alias("top"))
-        .collect()  # one row a grid cell
+        rows.groupBy(F.col("n_tokens").alias("top"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s"))
+        .collect()  # one row a distinct length
     )
-    grid.sort(key=lambda r: r["cell"])
+    grid.sort(key=lambda r: r["top"])
     total = sum(r["n"] for r in grid)
-    tops = optimal_boundaries(*(np.array([r[k] for r in grid], dtype=np.float64) for k in ("top", "n", "s")), buckets)
+    tops = optimal_boundaries(*(np.array([r[k] for r in grid], dtype=np.int64) for k in ("top", "n", "s")), buckets)
     tops = tops or [0]
     slices = even_slices(total, rows_per_slice)
     bounds = F.array(*[F.lit(t).cast("long") for t in tops])

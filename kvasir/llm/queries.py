@@ -31,7 +31,9 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    """The lengths are the word-piece counts of operator 5."""
+    counted = token_counts.count_tokens(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(counted, length=F.col("n_tokens"))
 
 
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,3 +167,33 @@ def test_packing_respects_the_budget(spark):
     full = [len(list(g)) for _, g in itertools.groupby(sorted((r["bucket"], r["batch_id"]) for r in out))]
     assert sum(full) == len(out)
     assert packing.pack(table(spark, [])).count() == 0
+
+
+def test_boundaries_of_many_long_lengths_are_the_optimum(spark):
+    rng = np.random.default_rng(5)
+    values = np.unique(np.concatenate((rng.integers(0, 60, 30), rng.integers(2000, 90000, 60))))
+    counts = rng.integers(1, 50, len(values))
+    for buckets in (1, 2, 5, 16, 500):
+        c, s = (np.concatenate(([0], np.cumsum(x))) for x in (counts, values * counts))
+        best = [0] + [10**18] * len(values)
+        for _ in range(buckets if buckets < len(values) else len(values)):
+            best = [0] + [min(best[i] + values[j - 1] * (c[j] - c[i]) - (s[j] - s[i]) for i in range(j)) for j in range(1, len(values) + 1)]
+        tops = packing.optimal_boundaries(values, counts, values * counts, buckets)
+        at = np.searchsorted(tops, values)
+        assert len(tops) <= buckets and int(((np.array(tops)[at] - values) * counts).sum()) == best[-1]
+    # Lengths that a grid would put together have boundaries of their own.
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([2049, 2050, 2051, 2052] * 3)], "doc_id long, n long")
+    assert packing.pack(df, length=df["n"], buckets=4).where("padding > 0").count() == 0
+
+
+def test_registered_packing_is_by_tokens(spark, tmp_path):
+    from kvasir.llm.queries import op3_length_buckets
+
+    table(spark, [*TEXTS, "漢字" * 9000]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in op3_length_buckets(spark, str(tmp_path)).collect()}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {i: r["n_tokens"] for i, r in out.items()} == {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, RANKS).collect()}
+    assert out[len(TEXTS)]["n_tokens"] > 16384 and out[0]["n_tokens"] == 0
+    for _, rows in itertools.groupby(sorted(out.values(), key=lambda r: (r["bucket"], r["batch_id"])), key=lambda r: (r["bucket"], r["batch_id"])):
+        rows = list(rows)
+        assert len(rows) == 1 or len(rows) * rows[0]["bucket_len"] <= 16384
