@@ -31,9 +31,22 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 FIRST_DAY = date(1900, 1, 1)
 DAYS = (date(2100, 1, 1) - FIRST_DAY).days
 
+# What isn't a further group of a phone number, though it follows after a space: an address, a date or a card number.
+_OTHER = (
+    r"(?! (?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9])"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])|[0-9]{13,19}(?![0-9])|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}))"
+)
+# A digit of an international number, before it perhaps a single separator, which begins a group of two digits at least.
+_NEXT = rf"(?:(?:{_OTHER}[ ./-](?=[0-9]{{2}}))?[0-9])"
+# 8 to 15 digits: a country code of c digits, perhaps an area code of b digits in brackets, and the rest in any groups.
+_ABROAD = "|".join(
+    [rf"[0-9]{{{c}}}[ .-]?\([0-9]{{{b}}}\)[ ./-]?[0-9]{_NEXT}{{{max(3, 7 - c - b)},{14 - c - b}}}" for c in (3, 2, 1) for b in (4, 3, 2, 1)]
+    + [rf"[0-9]{{{c}}}[ ./-]?[0-9]{_NEXT}{{{7 - c},{14 - c}}}" for c in (3, 2, 1)]
+)
+
 # The kinds and their patterns, in order of preference. No value is part of a longer number or word.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[._%+-]*(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ipv4", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
     ("date", r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"),
@@ -41,7 +54,7 @@ PATTERNS = (
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"),
     (
         "phone",
-        r"(?<![0-9A-Za-z])\+(?:[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|1(?:[ .-]?[0-9]{3}){2}[ .-]?[0-9]{4}|[0-9]{1,3}(?P<t>[ .-])[0-9]{2,6}(?:(?P=t)[0-9]{2,6}){1,3}|[0-9]{8,15})(?![0-9]|\.[0-9])"
+        rf"(?<![0-9A-Za-z])\+(?:1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|{_ABROAD})(?![0-9]|\.[0-9])"
         r"|(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|\.[0-9])",
     ),
 )
@@ -166,7 +179,7 @@ class Pseudonyms:
         if kind == "card":
             return self._plain(value, kind, 0, lambda v: 13 <= len(v) <= 19 and _luhn(v))
         # A phone number: the country code stays; numbers of North America keep its rule for the leading digits.
-        code = re.match(r"\+([0-9]{1,3})(?=[ .(-])", value)
+        code = re.match(r"\+([0-9]{1,3})(?=[ ./(-])", value)
         fixed = len(code[1]) if code else 1 if value.startswith("+1") else 2 if value[0] == "+" else 0
         north = fixed == 0 or re.sub("[^0-9]", "", value)[:fixed] == "1"
 
@@ -194,12 +207,13 @@ class Pseudonyms:
         at = 0
         while m := _any.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
-            new = self(kind, m[0])
+            start, end = m.span("mail" if kind == "email" else kind)  # signs before an address aren't part of it
+            new = self(kind, text[start:end])
             at = m.start() + 1  # what isn't valid may hide a value
             if new is not None:
-                out += [text[done : m.start()], new]
-                at = done = m.end()
-                spans.append({"kind": kind, "start": m.start(), "end": m.end(), "pseudonym": new})
+                out += [text[done:start], new]
+                at = done = end
+                spans.append({"kind": kind, "start": start, "end": end, "pseudonym": new})
         return "".join([*out, text[done:]]), spans
 
 

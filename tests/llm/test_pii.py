@@ -66,3 +66,22 @@ def test_table_cases(spark):
     assert {r["text"] for r in out if r["doc_id"] == 3} == {P("email", VALUES["email"][0])}
     assert pii.pseudonymise(df.limit(0), b"k").count() == 0
     assert pii.digest(pii.pseudonymise(df, b"test key")).where("doc_id = 4").first()["n_phone"] == 2
+
+
+def test_international_numbers_in_any_groups():
+    for v in ("+91 9876543210", "+86 13812345678", "+49 30 1234567", "+44 20 79460958", "+49 30-123456", "+49 (0)30 1234567", "+33 1 23 45 67 89", "+49 30/1234567", "+4930 1234567", "+353 (0)86-123.4567", "+15 (1234) 123456789"):
+        for after in (", or not", " 10.0.0.1 x", " 2024-02-29", " 4111 1111 1111 1111", " 2 times"):
+            text, spans = P.replace(f"see {v}{after}")
+            new = spans[0]["pseudonym"]
+            assert (spans[0]["kind"], spans[0]["start"], spans[0]["end"]) == ("phone", 4, 4 + len(v)), v + after
+            assert new != v and [pii._alphabet(c) or c for c in new] == [pii._alphabet(c) or c for c in v]
+            assert len(spans) == 1 + (after[1] in "14" or "-02-" in after)
+    for v in ("+49 30 123", "+1234567890123456", "+12 (34) 5", "a+49 30 1234567"):
+        assert P.replace(v)[1] == [], v
+
+
+def test_emails_after_signs():
+    for before, after in (("_", "_"), ("**_", "_**"), ("--", ""), (".", ","), ("%", ""), ("+", ""), ("x ", " y")):
+        text, spans = P.replace(f"{before}jane.d@x.org{after}")
+        assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("email", len(before), len(before) + 12)]
+        assert text == f"{before}{P('email', 'jane.d@x.org')}{after}"
