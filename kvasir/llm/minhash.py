@@ -6,25 +6,35 @@ evaluations of one minimum each. Four values of four different permutations form
 band in common are candidates. At similarity 0.75 a pair shares none of the 28 bands with a chance of
 2.4e-5. Every link is confirmed on the two full shingle sets, taken from the texts.
 
-Documents with one and the same set form a class, compared through its member with the smallest id. Links
+Documents with one and the same set form a class with a number of its own, compared once. Links
 within buckets are then found without pairing a bucket's members with each other:
 
-1. Shingles that only one candidate has can't be in a link. A candidate with more than a quarter of such
-   shingles has no link at all and leaves; for the others their number bounds any pair's similarity.
-2. All classes of a bucket are compared with its smallest member, the hub; that joins groups of copies.
-3. Where a hub's family still holds several components, pairs across them are bounded: with the hub h, a
-   member x lacks |h - x| shingles. Two members that share no shingle outside the hub have at most |h| minus
-   the larger lack in common, so sizes rule nearly all pairs out; the few that pass are compared.
-4. Members that share a shingle outside the hub form a bucket of that shingle with a hub of its own; what is
-   still apart in it, and not ruled out by 1, is compared pair by pair. Two members whose largest family is
-   one and the same are left to that family.
+1. All classes of a bucket are compared with the one of the smallest id, the hub; that joins groups of copies. A
+   hub and all that are compared with it are a family.
+2. A family that still holds several components gets a reference, first the hub's set. A member is then its
+   edits, what it lacks of the reference c and what it adds. With l(x) lacking shingles, two members x and y
+   are linked exactly if
 
-So no link between candidates that would join components is lost, no bucket or candidate list is capped,
-and work grows with the edits between copies and not with the square of a group.
+       14 * common edits >= q(x) + q(y),   q(x) = 6 |x| + 14 l(x) - 7 |c|.
+
+   The edits that most members have are moved into the reference. Members whose q is at most minus the least q
+   are then linked with the member that has it, unseen.
+3. Any other link needs common edits. With e(x) edits that others have, too, x can only be linked with a y of
+   q(y) <= 14 e(x) - q(x), and the other way round; who has no such y leaves. Edits are ordered by how few
+   members have them; of a member that needs k in common with anyone, only the rarest (all less k, and one) can be
+   the first common one. The members that have such an edit, with their further edits, form a smaller family of
+   at most half the size. Families of up to ``PAIRED`` members are compared pair by pair, by their edits;
+   the larger ones are divided again.
+
+So no link between candidates that would join components is lost, no bucket or candidate list is capped, and
+work grows with the edits between copies and not with the square of a group.
+
+Sets are held as 64-bit hashes of their shingles. Ids may be of any type that has an order.
 
 Defined cases: null and empty texts have an empty set and no links; fewer than five words are one shingle;
-rows with a null id aren't linked and have a null component; repeated rows each get a row; texts of any
-length are shingled whole; an empty table gives no rows; other columns are ignored whatever their names.
+rows with a null id aren't linked and have a null component; repeated rows each get a row, all kept or none;
+of rows that share an id but not a text, each is linked by its own text; texts of any length are shingled
+whole; an empty table gives no rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +54,8 @@ from kvasir.llm.components import components
 
 WORDS, FUNCTIONS, ROWS = 5, 56, 4
 REMEMBERED, LONG_WORD = 400_000, 64
-#: Above so many candidate documents, texts are fetched by a shuffled join and not a broadcast of the ids.
-BROADCAST_IDS = 1_000_000
+#: Families of so many members are compared pair by pair; larger ones are divided further.
+PAIRED = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -128,6 +139,10 @@ def _signed() -> Signer:
     return _signer[0]
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = _signed()
     for batch in batches:
@@ -135,7 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1):
             s = signer.shingles(text.as_py())
             sizes.append(len(s))
-            sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            sets.append(_digest(s))
             bands.append(signer.keys(signer.signature(s)) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -143,148 +158,133 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_sets: dict[int, frozenset] = {}
-
-
-def _hub_set(hub: int, text: str) -> frozenset:
-    """The hub's set, remembered while its pairs go by."""
-    if hub not in _sets:
-        if len(_sets) >= 8:
-            _sets.clear()
-        _sets[hub] = shingle_set(text)
-    return _sets[hub]
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, ta, tb) to (a, b, n_a, n_b, both): the full sets' sizes and their intersection's."""
-    _sets.clear()
+    """(a, b, sa, sb) to (a, b, n_a, n_b, common): the full sets' sizes and their intersection's."""
     for batch in batches:
-        rows = []
-        for x, y, tx, ty in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            s, t = shingle_set(tx), _hub_set(y, ty)
-            rows.append((x, y, len(s), len(t), len(s & t)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["a", "b", "n_a", "n_b", "both"])
-
-
-def _extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, ta, tb) to (a, b, extras): hashes of the shingles that a has and b hasn't."""
-    _sets.clear()
-    for batch in batches:
-        found = [[xxhash.xxh3_64_intdigest(x) - 2**63 for x in shingle_set(tx) - _hub_set(y, ty)] for y, tx, ty in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["a", "b", "extras"])
-
-
-def _with_texts(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
-    """(a, b, ta, tb) for the pairs (a, b). Ids are broadcast if they are few, else texts are shuffled to them."""
-    ids = stage.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = stage.table(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]))
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
-    return stage.table(_with_texts(pairs, docs, stage).mapInArrow(_compare, "a long, b long, n_a long, n_b long, both long"))
-
-
-LINKED = "both > 0 AND 100 * both >= 75 * (n_a + n_b - both)"
-#: For two members a and a2 of one hub's family that share nothing outside it: they may be linked.
-MAY_LINK = "100 * (n_b - greatest(n_b - both, n_b - both2)) >= 75 * (n_a + n_a2 - (n_b - greatest(n_b - both, n_b - both2)))"
-#: By the shingles that no other candidate has, (n, u) and (n2, u2) may be linked.
-BOUND = "100 * least(n - u, n2 - u2) >= 75 * greatest(n + u2, n2 + u)"
-#: The pair isn't left to another family in which both members are.
-HERE = "NOT (home = home2 AND home <> b)"
+        left, right = batch.column(2), batch.column(3)
+        common = [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(left, right, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.list_value_length(left).cast(pa.int64()), pc.list_value_length(right).cast(pa.int64()), pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "common"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, shingles): the set's hashes."""
+    """(text) to (set_key, set): the set's hashes and their digest."""
     signer = _signed()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signer.shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["id", "shingles"])
-
-
-def _own(shingles: DataFrame) -> DataFrame:
-    """(id, u): how many shingles of (id, x) no other id has."""
-    return shingles.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-
-
-def _nodes(ids: DataFrame, sizes: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
-    """(id, n, u) of the candidates that may have a link."""
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
-    shingles = stage.table(texts.mapInArrow(_shingle_rows, "id long, shingles array<long>").select("id", F.explode("shingles").alias("x")))
-    zero = F.coalesce("u", F.lit(0)).alias("u")
-    sized = ids.join(sizes, "id")
-    alive = stage.table(sized.join(_own(shingles), "id", "left").select("id", "n", zero).where("100 * (n - u) >= 75 * n"))
-    again = _own(shingles.join(alive.select("id"), "id", "left_semi"))
-    return stage.table(alive.drop("u").join(again, "id", "left").select("id", "n", zero).where("100 * (n - u) >= 75 * n"))
-
-
-def _labelled(rows: DataFrame, label: DataFrame, column: str, to: str = "component") -> DataFrame:
-    """The rows with the component of ``column``'s id, which without links is the id."""
-    found = label.select(F.col("id").alias(column), F.col("component").alias(to))
-    return rows.join(found, column, "left").withColumn(to, F.coalesce(to, column))
-
-
-def _open(pairs: DataFrame, label: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
-    """The distinct pairs (a, b) that are apart and may be linked."""
-    low, high = nodes.selectExpr("id AS a", "n", "u"), nodes.selectExpr("id AS b", "n AS n2", "u AS u2")
-    rows = pairs.select("a", "b").distinct().join(low, "a").join(high, "b").where(BOUND).select("a", "b")
-    return stage.table(_labelled(_labelled(rows, label, "a", "c1"), label, "b", "c2").where("c1 <> c2").select("a", "b"))
-
-
-def _rest(compared: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
-    """Further comparisons, so that any two linked members of one hub's family end up in one component."""
-    size = stage.table(compared.groupBy("b").agg(F.count(F.lit(1)).alias("size")))
-    best = compared.select("a", "b").join(size, "b").groupBy("a").agg(F.max(F.struct("size", (-F.col("b")).alias("hub"))).alias("best"))
-    homes = stage.table(best.select("a", (-F.col("best.hub")).alias("home")))
-    family = _labelled(compared, label, "a").join(homes, "a").join(nodes.selectExpr("id AS a", "n", "u"), "a")
-    mixed = stage.table(family.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b"))
-    family = stage.table(family.join(mixed, "b"))
-    second_of = lambda t, *keys: t.select(*keys, *[F.col(c).alias(c + "2") for c in t.columns if c not in keys])
-    across = f"component <> component2 AND {BOUND} AND {HERE}"
-    apart = family.where(f"NOT ({LINKED})").join(second_of(family, "b"), "b").where(f"{across} AND {MAY_LINK}").select(F.greatest("a", "a2").alias("a"), F.least("a", "a2").alias("b"))
-    own = _with_texts(family, docs, stage).mapInArrow(_extras, "a long, b long, extras array<long>")
-    shared = stage.table(own.select("a", "b", F.explode("extras").alias("x")).join(family.select("a", "b", "component", "home"), ["a", "b"]))
-    groups = shared.groupBy("b", "x").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("one"), F.max("home").alias("other"), F.max((F.col("home") == F.col("b")).cast("int")).alias("here"), F.min("a").alias("hub")
-    )
-    groups = stage.table(groups.where("low <> high AND (one <> other OR here = 1)").select("b", "x", "hub"))
-    shared = stage.table(shared.select("a", "b", "x", "home").join(groups, ["b", "x"]))
-    star = shared.where("a <> hub").select("a", F.col("hub").alias("b"))
-    second = _open(apart.union(star), label, nodes, stage).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    more = _compared(stage.table(second), docs, stage)
-    found = compared.select(*more.columns).union(more)
-    label = stage.table(components(found.where(LINKED).select("a", "b"), "minhash-second"))
-    still = _labelled(shared, label, "a").join(nodes.selectExpr("id AS a", "n", "u"), "a")
-    groups = still.groupBy("b", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high AND k > 2")
-    left = stage.table(still.drop("hub").join(stage.table(groups.select("b", "x")), ["b", "x"]))
-    pairs = left.join(second_of(left, "b", "x"), ["b", "x"]).where(f"a > a2 AND {across}").select("a", F.col("a2").alias("b")).distinct()
-    third = stage.table(pairs.join(found.select("a", "b"), ["a", "b"], "left_anti"))
-    return more.union(_compared(third, docs, stage))
+        sets = [signer.shingles(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_key", "set"])
+
+
+LINKED = "common > 0 AND 100 * common >= 75 * (n_a + n_b - common)"
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) with their sets sa and sb."""
+    return pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows with the component of a, which without links is a."""
+    found = label.select(F.col("id").alias("a"), "component")
+    return rows.join(found, "a", "left").withColumn("component", F.coalesce("component", "a"))
+
+
+def _families(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame:
+    """(g, a, component, q, edits) of the families with several components; the hub is a member without edits."""
+    members = compared.select("a", "b", F.col("n_a").alias("n"), F.col("n_b").alias("c"))
+    hubs = compared.groupBy("b").agg(F.max("n_b").alias("c")).select(F.col("b").alias("a"), "b", F.col("c").alias("n"), "c")
+    rows = stage.table(_labelled(members.union(hubs), label))
+    sizes = rows.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    # A family of a hub and one more is compared already.
+    mixed = stage.table(sizes.where("low <> high AND members > 2").select("b"))
+    lacks, adds = F.array_except("sb", "sa"), F.array_except("sa", "sb")
+    found = _with_sets(rows.join(mixed, "b"), sets).select(F.col("b").alias("g"), "a", "component", "n", "c", lacks.alias("lacks"), adds.alias("adds"))
+    q = (6 * F.col("n") + 14 * F.size("lacks") - 7 * F.col("c")).cast("long")
+    return stage.table(found.select("g", "a", "component", q.alias("q"), F.concat("lacks", "adds").alias("edits")))
+
+
+def _agreed(rows: DataFrame, stage: Stage) -> DataFrame:
+    """The rows after the edits of most members have gone into the reference."""
+    sizes = stage.table(rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")))
+    each = rows.select("g", F.explode("edits").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("k"))
+    # Of most members' edits there are at most twice as many as a member has on average.
+    turned = stage.table(each.join(sizes, "g").where("2 * k > members").groupBy("g").agg(F.collect_list("x").alias("most")))
+    most = F.coalesce("most", F.array().cast("array<bigint>"))
+    not_mine = F.array_except(most, "edits")
+    q = F.col("q") - 7 * F.size(most) + 14 * F.size(not_mine)
+    return stage.table(rows.join(turned, "g", "left").select("g", "a", "component", q.alias("q"), F.concat(F.array_except("edits", most), not_mine).alias("edits")))
+
+
+def _divided(rows: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """One level: the links (a, b) that are certain or confirmed on the edits, and the smaller families that remain."""
+    put = _agreed(rows, stage)
+    each = put.select("g", "a", F.explode("edits").alias("x"))
+    often = stage.table(each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    ranked = stage.table(each.join(often, ["g", "x"]).groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("e")))
+    e = F.coalesce("e", F.array().cast("array<struct<k:bigint,x:bigint>>"))
+    put = put.drop("edits").join(ranked, ["g", "a"], "left").withColumn("e", e).withColumn("room", 14 * F.size("e") - F.col("q"))
+    put = stage.table(put)
+    best = stage.table(put.groupBy("g").agg(F.min(F.struct("q", "a", "component")).alias("best"), F.max("room").alias("most_room")))
+    put = put.join(best, "g")
+    sure = F.col("q") + F.col("best.q") <= 0
+    certain = put.where(sure & (F.col("component") != F.col("best.component"))).select("a", F.col("best.a").alias("b"))
+    put = put.withColumn("component", F.when(sure, F.col("best.component")).otherwise(F.col("component")))
+    alive = stage.table(put.where("q <= most_room AND room >= best.q"))
+    mixed = stage.table(alive.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g"))
+    if mixed.isEmpty():
+        return stage.table(certain), rows.limit(0)
+    need = F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("best.q")) / 14)).cast("int")
+    first = alive.join(mixed, "g").withColumn("need", need).where(F.size("e") >= F.col("need"))
+    first = first.select("g", "a", "component", (F.col("q") - 7).alias("q"), F.size("e").alias("n"), F.posexplode(F.slice("e", F.lit(1), F.size("e") - F.col("need") + 1)).alias("pos", "at"))
+    first = stage.table(first.select("g", "a", F.col("at.x").alias("x"), "pos", "component", "q", (14 * (F.col("n") - F.col("pos") - 1) - F.col("q")).alias("room")))
+    bounds = first.groupBy("g", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("q").alias("least"), F.max("room").alias("most_room")).where("low <> high")
+    inside = stage.table(first.join(stage.table(bounds.drop("low", "high")), ["g", "x"]).where("q <= most_room AND room >= least").drop("least", "most_room"))
+    sizes = inside.groupBy("g", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    inside = stage.table(inside.join(stage.table(sizes.select("g", "x", "members")), ["g", "x"]))
+    few = inside.where(F.col("members") <= PAIRED)
+    other = few.select("g", "x", F.col("a").alias("b"), F.col("component").alias("component_b"), F.col("q").alias("q_b"), F.col("room").alias("room_b"))
+    pairs = stage.table(few.join(other, ["g", "x"]).where("a > b AND component <> component_b AND q <= room_b AND q_b <= room").select("g", "a", "b").distinct())
+    edited = alive.select("g", "a", "q", F.transform("e", lambda t: t["x"]).alias("edits"))
+    both = pairs.join(edited, ["g", "a"]).join(edited.select("g", F.col("a").alias("b"), F.col("q").alias("q_b"), F.col("edits").alias("edits_b")), ["g", "b"])
+    linked = both.where(14 * F.size(F.array_intersect("edits", "edits_b")) >= F.col("q") + F.col("q_b")).select("a", "b")
+    many = inside.where(F.col("members") > PAIRED).select("g", "x", "a", "pos", "component", "q").join(edited.select("g", "a", "edits"), ["g", "a"])
+    further = F.slice("edits", F.col("pos") + 2, F.size("edits"))
+    return stage.table(certain.union(linked)), stage.table(many.select(F.xxhash64("g", "x").alias("g"), "a", "component", "q", further.alias("edits")))
+
+
+def _further(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame:
+    """Links (a, b), so that any two linked members of one hub's family end up in one component."""
+    rows, found = _families(compared, label, sets, stage), None
+    while not rows.isEmpty():
+        links, rows = _divided(rows, stage)
+        found = links if found is None else found.union(links)
+    return compared.select("a", "b").limit(0) if found is None else found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_shingles (long), component_id, kept (boolean)."""
-    stage = Stage(docs.sparkSession, "minhash")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stage.table(source.mapInArrow(_sign, "id long, n_shingles long, set_key binary, bands array<long>"))
-    classes = stage.table(
-        signed.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_key", "n_shingles", "bands").agg(F.min("id").alias("rep"))
-    )
-    members = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    known = source.where("id IS NOT NULL")
-    candidates = stage.table(members.select("key", "rep").join(stage.table(buckets.select("key")), "key").select(F.col("rep").alias("id")).distinct())
-    nodes = _nodes(candidates, classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n")), known, stage)
-    alive = members.select("key", "rep").join(nodes.select(F.col("id").alias("rep")), "rep", "left_semi")
-    hubs = stage.table(alive.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"))
-    pairs = stage.table(alive.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    compared = _compared(pairs, known, stage)
+    stage, kind = Stage(docs.sparkSession, "minhash"), docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = stage.table(source.mapInArrow(_sign, f"id {kind}, n_shingles long, set_key binary, bands array<long>"))
+    grouped = signed.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = stage.table(grouped.withColumn("class", F.monotonically_increasing_id()))
+    members = classes.select("class", "rep", F.explode("bands").alias("key"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "class")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = stage.table(hubs.select("key", F.col("hub.class").alias("hub")))
+    pairs = stage.table(members.join(hubs, "key").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    candidates = stage.table(classes.select("class", "set_key", "rep").join(ids, "class"))
+    # Both sides are shuffled at every size: the candidates grow with the table.
+    texts = source.join(candidates.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select("text")
+    sets = texts.mapInArrow(_shingle_rows, "set_key binary, set array<long>").join(candidates.select("class", "set_key"), "set_key")
+    sets = stage.table(sets.groupBy(F.col("class").alias("id")).agg(F.first("set").alias("set")))
+    compared = stage.table(_with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(_compare, "a long, b long, n_a long, n_b long, common long"))
     links = compared.where(LINKED).select("a", "b")
     label = stage.table(components(links, "minhash-star"))
-    links = links.union(_rest(compared, label, known, nodes, stage).where(LINKED).select("a", "b"))
-    label = stage.table(components(links, "minhash-all"))
-    class_of = stage.table(classes.select("set_key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")))
+    links = links.union(_further(compared, label, sets, stage))
+    label = stage.table(candidates.select(F.col("class").alias("id"), "rep").join(components(links, "minhash-all"), "id"))
+    least = stage.table(label.groupBy("component").agg(F.min("rep").alias("least")))
+    linked = label.join(least, "component").select(F.col("id").alias("class"), "least")
+    class_of = stage.table(classes.select("class", "set_key", "rep").join(linked, "class", "left").select("set_key", F.coalesce("least", "rep").alias("component")))
     out = signed.select("id", "n_shingles", "set_key").join(class_of, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -295,8 +295,8 @@ ORACLE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS h FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
 r(id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b),
 c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.id = n.doc_id

@@ -61,6 +61,31 @@ def test_near_duplicates_equal_brute_force(spark):
     check(spark, rows)
 
 
+def test_large_families_just_under_the_threshold(spark):
+    """Copies of one lost text, each with edits of its own, are mostly apart; pairs of them that share edits are linked."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for k in range(90):
+        t = list(base)
+        for at in rng.sample(range(150), 2 if k % 3 == 0 else 5):
+            t[at] = f"own{k}_{at}"
+        if k % 3 == 0:  # a third shares edits with others, in subfamilies of many sizes
+            for at in random.Random(k % 27).sample(range(150), 6):
+                t[at] = f"shared{k % 27}_{at}"
+        rows.append((k, " ".join(t)))
+    expected = brute(rows)
+    assert 2 < len({c for _, c in expected.values()}) < 90
+    check(spark, rows)
+
+
+def test_ids_with_several_texts_and_string_ids(spark):
+    one, other = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    df = spark.createDataFrame([("a", one), ("a", other), ("b", other + " end"), ("c", "z"), ("c", "z")], "doc_id string, text string")
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert out == [("a", 56, "a", True), ("a", 56, "a", True), ("b", 57, "a", False), ("c", 1, "c", True), ("c", 1, "c", True)]
+
+
 def test_chains_and_empty_tables(spark):
     """A chain whose ends differ is one component through links that no hub has."""
     words = [f"c{i}" for i in range(400)]
