@@ -80,8 +80,8 @@ def beam(vecs: np.ndarray, adj: np.ndarray, queries: np.ndarray, entry: np.ndarr
 
 
 class Graph:
-    def __init__(self, vecs: np.ndarray, layers: list[np.ndarray], ef: int = 32):
-        self.vecs, self.layers, self.ef = vecs, layers, ef
+    def __init__(self, vecs: np.ndarray, layers: list[np.ndarray], ef: int = 12):
+        self.vecs, self.layers, self.ef = vecs, layers, ef  # an ef of 0: all rows are compared
 
     def entry(self, queries: np.ndarray, above: int = 0) -> np.ndarray:
         """The row near each query that the layers over ``above`` lead to."""
@@ -157,23 +157,26 @@ class Graph:
             if not few.all():
                 adj[t[~few]] = _diverse(vecs, t[~few], cand[~few], sims[~few], room)
 
-    def within(self, queries: np.ndarray, least: float, ef: int | None = None) -> list[np.ndarray]:
-        """For each query the rows found with a similarity of ``least`` or more.
+    def within(self, queries: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows found with a similarity of its ``least`` or more.
 
         From what the beam finds, all neighbours that are near enough, or nearly so, are followed, so that
         groups larger than the beam come whole.
         """
         out: list[np.ndarray] = []
         for at in range(0, len(queries), BATCH):
-            q = queries[at : at + BATCH]
-            ids, sims, visited = beam(self.vecs, self.layers[0], q, self.entry(q), ef or self.ef)
-            near_hits = sims >= least - SLACK
+            q, bound = queries[at : at + BATCH], least[at : at + BATCH]
+            if not self.ef:
+                out += [np.flatnonzero(s >= x) for s, x in zip(q @ self.vecs.T, bound, strict=True)]
+                continue
+            ids, sims, visited = beam(self.vecs, self.layers[0], q, self.entry(q), self.ef)
+            near_hits = sims >= (bound - SLACK)[:, None]
             for i in range(len(q)):
                 if not near_hits[i, 0]:
                     out.append(np.zeros(0, np.int64))
                     continue
                 front = ids[i][near_hits[i]]
-                found = [front[sims[i][near_hits[i]] >= least]]
+                found = [front[sims[i][near_hits[i]] >= bound[i]]]
                 if near_hits[i, -1]:  # the beam is full of them: there may be more that it dropped
                     visited[i, :-1] = False
                     visited[i, front] = True
@@ -183,16 +186,18 @@ class Graph:
                     near = np.unique(near[~visited[i, near]])
                     visited[i, near] = True
                     s = self.vecs[near] @ q[i]
-                    front = near[s >= least - SLACK]
-                    found.append(near[s >= least])
+                    front = near[s >= bound[i] - SLACK]
+                    found.append(near[s >= bound[i]])
                 out.append(np.concatenate(found))
         return out
 
     def audit(self, least: float, wanted: float, queries: int = 256, seed: int = 7) -> float:
         """Widen the beam until the recall of audit queries is ``wanted``; returns the recall.
 
-        An audit query is a row turned away until it is just near enough; the row must be found. All pairs
-        of another sample that are near enough by brute force must be found, too.
+        One half of the queries are rows, the other half rows turned away until they are just near enough. What
+        they must find is known by brute force. Recall is each query's own, averaged over each half, so a group
+        of many near rows has no more weight than a row alone. Where even a beam of all rows doesn't do, as in
+        a graph that has fallen apart, all rows are compared from then on.
         """
         rng, n = np.random.default_rng(seed), len(self.vecs)
         pick = rng.choice(n, min(n, queries), replace=False)
@@ -200,17 +205,17 @@ class Graph:
         noise = rng.normal(size=base.shape).astype(np.float32)
         noise -= np.einsum("qd,qd->q", noise, base)[:, None] * base
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-        turned = least + 1e-3
+        turned = min(1.0, least + 1e-3)
         probe = (turned * base + np.sqrt(1 - turned**2) * noise).astype(np.float32)
         both = np.concatenate((probe, base))
         truth = [np.flatnonzero(self.vecs @ v >= least) for v in both]
-        total = max(1, sum(map(len, truth)))
         while True:
-            got = self.within(both, least)
-            recall = sum(len(np.intersect1d(a, b)) for a, b in zip(truth, got, strict=True)) / total
-            if recall >= wanted or self.ef >= n:
+            got = self.within(both, np.full(len(both), least, np.float32))
+            each = np.array([len(np.intersect1d(a, b)) / max(1, len(a)) if len(a) else 1.0 for a, b in zip(truth, got, strict=True)])
+            recall = float(min(each[: len(base)].mean(), each[len(base) :].mean()))
+            if recall >= wanted:
                 return recall
-            self.ef = min(n, 2 * self.ef)
+            self.ef = 0 if self.ef >= n else min(n, 2 * self.ef)
 
     def dump(self) -> bytes:
         f = io.BytesIO()
