@@ -17,9 +17,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset and the session is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kvasir-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

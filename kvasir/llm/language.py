@@ -1,6 +1,6 @@
 """Operator 10: language identification by spans.
 
-Words are runs of letters. The script of a word (by code-point ranges) leaves only the languages that were
+Words are runs of letters and their combining marks. The script of a word (by code-point ranges) leaves only the languages that were
 seen in that script; each candidate language scores the word by the log-likelihood of its letter pairs and
 triples under that language; and the Viterbi path over the words, with a penalty for every change of
 language, labels spans of one language in mixed text. A document's language is the one with most letters on
@@ -8,7 +8,7 @@ the path, its score their share. A run of over ``LONG_WORD`` letters, as in unsp
 pieces, each a step of the path with a script of its own; the pieces' letter pairs and triples are the run's.
 
 ``fit`` learns the letter statistics from a bounded sample: at most ``per_language`` labelled rows of each
-language, chosen by a hash of their ids, whole texts; the rows it may learn from are the caller's to choose.
+language, the first of each of 64 salts by a hash of their ids, whole texts; the rows it may learn from are the caller's to choose.
 Of each language the ``max_grams`` most frequent pairs and triples are kept, so that none crowds out another's,
 and all its scripts. Prediction sees texts only.
 
@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import bisect
 import itertools
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +41,8 @@ RANGES = (
     (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x30000, "other"),
 )
 _starts = [a for a, _ in RANGES]
-_words = re.compile(r"[^\W\d_]+")
+#: A letter and what follows it of letters and combining marks; number forms such as a half aren't letters.
+_words = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 REMEMBERED, LONG_WORD, GROUP_WORDS = 400_000, 40, 200_000
 
 
@@ -115,7 +116,8 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     Texts of like length advance together, a word at a time.
     """
     n_lang = scores.shape[1]
-    path, sizes = np.zeros(len(scores), np.uint8), np.diff(offsets)
+    small = np.min_scalar_type(n_lang)
+    path, sizes = np.zeros(len(scores), small), np.diff(offsets)
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
     at = 0
@@ -129,8 +131,8 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
         seat = np.arange(longest)[:, None] < sizes[docs][None, :]
         source = np.where(seat, offsets[docs][None, :] + np.arange(longest)[:, None], 0)
         e = scores[source] * seat[:, :, None]
-        back = np.empty((longest, len(docs), n_lang), np.uint8)
-        keep = np.broadcast_to(np.arange(n_lang, dtype=np.uint8), (len(docs), n_lang))
+        back = np.empty((longest, len(docs), n_lang), small)
+        keep = np.broadcast_to(np.arange(n_lang, dtype=small), (len(docs), n_lang))
         best = e[0].astype(np.float64)
         for t in range(1, longest):
             arg = best.argmax(axis=1)
@@ -139,7 +141,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
             back[t] = np.where(moves, arg[:, None], keep)
             best = np.where(moves, change, best) + e[t]
         state = best.argmax(axis=1)
-        label = np.empty((longest, len(docs)), np.uint8)
+        label = np.empty((longest, len(docs)), small)
         for t in range(longest - 1, -1, -1):
             label[t] = state
             if t:
@@ -169,11 +171,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, max_grams: int = 60_000) -> LanguageModel:
     """A model of the rows that have a text and a language (see above for the sample)."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    # The first per_language of each language by a hash, first within salts, so that no task ranks a whole language.
-    draw = [F.col("draw"), F.col("id")]
-    chosen = rows.select("id", "lang").withColumn("draw", F.xxhash64("id", F.lit("language sample"))).withColumn("salt", F.pmod("draw", F.lit(64)))
-    for by in (["lang", "salt"], ["lang"]):
-        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*draw))).where(F.col("place") <= per_language)
+    # By a hash, an equal number of each salt, so that no task ranks a whole language.
+    draw = F.xxhash64("id", F.lit("language sample"))
+    salts = min(64, per_language)
+    first = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("draw", "id")) <= per_language // salts
+    chosen = rows.select("id", "lang").withColumn("draw", draw).withColumn("salt", F.pmod("draw", F.lit(salts))).withColumn("first", first).where("first")
     chosen = chosen.select("id").distinct()
     sample = rows.join(F.broadcast(chosen), "id", "left_semi")  # at most per_language ids a language
     tally = sample.select("lang", "text").mapInArrow(_tally, "lang string, what string, name string, n long")

@@ -10,7 +10,7 @@ by the slices' running counts; no bucket is ever gathered in a task.
 
 Defined cases: null text has length 0; length-0 documents are in the first bucket and cost padding; a
 document longer than the budget has a batch of its own and is never cut; repeated rows and ties are each
-packed once; fewer distinct lengths than buckets give fewer buckets; an empty table gives no rows.
+packed once; other columns are ignored whatever their names; fewer distinct lengths than buckets give fewer buckets; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,14 +70,17 @@ def pack(
     buckets: int = 16,
     token_budget: int = 16384,
     rows_per_slice: int = 20000,
+    keep: str | None = None,
 ) -> DataFrame:
     """One row per document: id, n_tokens, bucket, bucket_len, batch_id, slot, padding (all long).
 
-    ``length`` is the token count to pack by; white-space words of ``text_col`` by default.
+    ``length`` is the token count to pack by; white-space words of ``text_col`` by default. ``keep`` names a column
+    to pass through as the last one.
     """
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "packing")
     n = word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    rows = stage.table(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row")))
+    kept = [F.col(keep).alias("kept")] if keep else []
+    rows = stage.table(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row"), *kept))
     grid = (
         rows.groupBy(F.col("n_tokens").alias("top"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s"))
@@ -108,4 +111,5 @@ def pack(
         F.floor(at / room).cast("long").alias("batch_id"),
         F.pmod(at, room).cast("long").alias("slot"),
         (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+        *([F.col("kept").alias(keep)] if keep else []),
     )

@@ -5,7 +5,8 @@ rules). It is then read as a number of a mixed-radix system, one digit for each
 change, permuted by a keyed Feistel network over the next even power of two, and walked along the
 permutation's cycle until it is inside the system and valid again. So a pseudonym has the value's format,
 separators and validity, different values have different pseudonyms, and equal values have equal ones in
-all documents, whatever their separators. Dates are permuted among the days of 1900 to 2099.
+all documents, whatever their separators. Dates are permuted among the days of 1900 to 2099, those up to the
+12th of a month and the later ones apart, so that day and month keep their order and can be told apart as before.
 
 Each kind has its own permutation. The key is a secret of the caller; without it, pseudonyms tell no more
 than which values are equal.
@@ -46,7 +47,7 @@ _ABROAD = "|".join(
 
 # The kinds and their patterns, in order of preference. No value is part of a longer number or word.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[._%+-]*(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[._%+-]*(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ipv4", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
     ("date", r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"),
@@ -170,10 +171,13 @@ class Pseudonyms:
         if kind == "date":
             if (n := _day(value)) is None:
                 return None
-            d = FIRST_DAY + timedelta(self.feistel.permute(n, DAYS, b"date"))
+            day = lambda x: FIRST_DAY + timedelta(x)
+            late = day(n).day > 12
+            d = day(self.feistel.permute(n, DAYS, b"date", lambda x: (day(x).day > 12) == late))
             if value[4] == "-":
                 return f"{d:%Y-%m-%d}"
-            return f"{d:%m/%d/%Y}" if value[2] == "/" and int(value[3:5]) > 12 else f"{d:%d}{value[2]}{d:%m}{value[2]}{d:%Y}"
+            first, second = ("%m", "%d") if int(value[3:5]) > 12 else ("%d", "%m")
+            return f"{d:{first}}{value[2]}{d:{second}}{value[2]}{d:%Y}"
         if kind == "ssn":
             return self._plain(value, kind, 0, lambda v: v[:3] not in ("000", "666") and v[0] != "9" and v[3:5] != "00" and v[5:] != "0000")
         if kind == "card":
@@ -223,7 +227,10 @@ _loaded: dict[bytes, Pseudonyms] = {}
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = "pii_spans") -> DataFrame:
-    """The table with personal values of ``text_col`` replaced, and ``spans_col`` (none if None): where and by what."""
+    """The table with personal values of ``text_col`` replaced, and as its last column ``spans_col`` (none if None):
+    where and by what. Where the table has a column of that name, underscores are put to the new one's."""
+    while spans_col and spans_col.lower() in (c.lower() for c in docs.columns):
+        spans_col += "_"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text_col)
 
@@ -244,8 +251,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col:
     return docs.mapInArrow(run, f"{kinds}, `{spans_col}` {SPANS}" if spans_col else kinds)
 
 
-def digest(replaced: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
+def digest(replaced: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The query's columns: the new text, its spans as kind:start:end, and the number of values by kind."""
+    spans_col = replaced.columns[-1]
     of = lambda kind: F.size(F.filter(spans_col, lambda s: s["kind"] == kind)).cast("long")
     joined = F.concat_ws(",", F.transform(spans_col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     return replaced.select(id_col, text_col, joined.alias("spans"), *[of(k).alias(f"n_{k}") for k in KINDS])

@@ -11,7 +11,7 @@ from kvasir.llm import embedding_dedup, exact_dedup, language, line_dedup, minha
 from kvasir.llm.common import documents
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """The place of a public vocabulary file, which every executor has installed."""
     import public_tokenizers
 
@@ -27,12 +27,12 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(pieces.encode_decode(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model")))
+    return pieces.digest(pieces.encode_decode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model")))
 
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lengths are the word-piece counts of operator 5."""
-    counted = token_counts.count_tokens(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+    counted = token_counts.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
     return packing.pack(counted, length=F.col("n_tokens"))
 
 
@@ -43,7 +43,7 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,17 +88,24 @@ def load(path: str) -> tuple:
     return _loaded[path]
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_words (pre-tokens), n_tokens (word pieces), both long."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_words long, n_tokens long"
+def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row: id, n_words (pre-tokens), n_tokens (word pieces), both long.
+
+    ``keep`` names the columns to pass through in place of the id.
+    """
+    kept = keep or [id_col]
+    columns = [c for c in kept if c != text_col]
+    rows = docs.select(*columns, F.col(text_col).cast("string").alias(text_col))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_words long, n_tokens long"
+    at = [rows.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known = load(vocabulary_path)
         words = regex.compile(WORDS).findall
         for batch in batches:
             n_words, n_tokens = [], []
-            for text in batch.column(1):
+            for text in batch.column(len(columns)):
                 found = words(text.as_py() or "")
                 total = 0
                 for w in found:
@@ -112,6 +119,6 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     total += n
                 n_words.append(len(found))
                 n_tokens.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[id_col, "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*kept, "n_words", "n_tokens"])
 
     return rows.mapInArrow(run, schema)

@@ -41,7 +41,9 @@ def test_spans_of_mixed_text_and_scripts():
 
 def test_undetermined_and_empty():
     m = model()
-    assert [x[0] for x in language.label([None, "", " 12 -- ", "_"], m)] == ["und"] * 4
+    assert [x[0] for x in language.label([None, "", " 12 -- ", "_", "½ ² ① Ⅷ", "\u0301"], m)] == ["und"] * 6
+    # Marks stay in their words.
+    assert language._words.findall("हिन्दी e\u0301a 1a½") == ["हिन्दी", "e\u0301a", "a"]
     assert language.label(["bana"], language.LanguageModel({}, {}))[0][0] == "und"
 
 
@@ -95,3 +97,9 @@ def test_each_language_keeps_its_grams_and_scripts(spark):
     assert m.languages == ["aa", "bb", "zh"] and {"latin", "han"} == set(m.allowed)
     assert {"^b", "ba", "ana", "qqz", "zz$"} <= set(m.gram) and len(m.gram) <= 75
     assert language.label(["bana lana"], m)[0][0] == "aa"
+
+
+def test_more_languages_than_a_byte_counts():
+    counts = {f"l{k:03d}": {f"^{chr(0x4E00 + k)}": 50, f"{chr(0x4E00 + k)}$": 50} for k in range(300)}
+    m = language.LanguageModel(counts, {k: {"han": 10} for k in counts})
+    assert [language.label([chr(0x4E00 + k)], m)[0][0] for k in (0, 255, 256, 299)] == ["l000", "l255", "l256", "l299"]

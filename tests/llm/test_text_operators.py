@@ -144,6 +144,21 @@ def test_ownership_separates_examples(spark):
     assert out == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (1, 0), 9: (0, 1), 10: (0, 0)}
 
 
+def test_ownership_counts_repositories_and_owners(spark):
+    """A value in many repositories of one owner is that owner's; one that says it is an example is none."""
+    rows = [(k, "token=abcd1111abcd", "me", f"repo{k}") for k in range(5)] + [(10 + k, "token=abcd2222abcd", f"o{k}", "repo") for k in range(3)] + [(20, "token=your_token_here", "me", "repo0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    out = {r["doc_id"]: tuple(r[c] for c in secrets.COUNTS) for r in secrets.scan(df, "doc_id", "text", df["repo"], df["owner"]).collect()}
+    assert out == {k: (0, 1, 5, 1) for k in range(5)} | {10 + k: (1, 0, 0, 0) for k in range(3)} | {20: (1, 0, 0, 0)}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=value{k:08d}" for k in range(3000))
+    df = spark.createDataFrame([(1, text, "a", "b")], "doc_id long, text string, source string, lang string")
+    row = secrets.digest(secrets.scan(df, "doc_id", "text", df["source"], df["source"])).first()
+    assert row["n_assign"] == 3000 and row["spans"].count("assign:") == 3000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=9), st.integers(1, 4))
 def test_boundaries_are_optimal(lengths, buckets):
