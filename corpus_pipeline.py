@@ -51,10 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words are no copies and stay, as do rows without an id, which can't be told apart. Rows of one id are
     one document: they stay if the id is the smallest of its group.
     """
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     # Both sides are shuffled at every size: the ids that stay grow with the table.
-    with_id = docs.join(kept.hint("merge"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    return with_id.unionByName(docs.where(docs["doc_id"].isNull()))
+    with_id = docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    return with_id.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
