@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,12 +107,39 @@ def set_jaccard(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / union)
 
 
-def band_pairs(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
-    """(a, b, gap) for keys a < b less than ``width`` apart: an equi-join on a band and its neighbours."""
-    left = rows.select(F.col(key).alias("a"), F.col(at).alias("x"), F.floor(F.col(at) / width).alias("band"))
-    near = F.explode(F.array(F.floor(F.col(at) / width) - 1, F.floor(F.col(at) / width), F.floor(F.col(at) / width) + 1)).alias("band")
-    right = rows.select(F.col(key).alias("b"), F.col(at).alias("y"), near)
-    return left.join(right, "band").where((F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) < width)).select("a", "b", F.abs(F.col("x") - F.col("y")).alias("gap"))
+def overlap_links(rows: DataFrame, key: str, items: str, score: Callable[[Column, Column, Column], Column], least: float) -> DataFrame:
+    """(key, class_id, n_links, best): for each key the others whose items overlap with its own by ``least`` or more.
+
+    Keys with the same items are one class, named after its smallest key; only classes that share an item meet, so
+    copies cost nothing. n_links counts the other keys linked, best is the highest ``score(shared, n_a, n_b)``.
+    """
+    own = rows.select(F.col(key), F.array_sort(F.array_distinct(items)).alias("items"))
+    classes = own.groupBy("items").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("n"))
+    index = classes.select("class_id", "n", F.size("items").alias("k"), F.explode("items").alias("item"))
+    other = index.select(F.col("class_id").alias("other"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), "item")
+    shared = index.join(other, "item").groupBy("class_id", "other", "n", "n_b", "k", "k_b").agg(F.count(F.lit(1)).alias("shared"))
+    same = F.col("class_id") == F.col("other")
+    met = shared.withColumn("s", score(F.col("shared"), F.col("k"), F.col("k_b"))).withColumn("others", F.col("n_b") - same.cast("long")).where((F.col("s") >= least) & (F.col("others") > 0))
+    links = met.groupBy("class_id").agg(F.sum("others").alias("n_links"), F.max("s").alias("best"))
+    named = classes.select("items", "class_id").join(links, "class_id", "left")
+    return own.join(named, own["items"].eqNullSafe(named["items"])).select(key, "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "best")
+
+
+def band_links(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
+    """(key, n_links, gap): how many others are less than ``width`` from each key's whole-numbered ``at``, and the least gap.
+
+    Keys at one time are counted first. A band's times and those of the bands beside it meet in one window, which so
+    has at most three times ``width`` rows.
+    """
+    times = rows.groupBy(F.col(at).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    band = F.floor(F.col("t") / width)
+    spread = times.select("t", "n", F.explode(F.array(band - 1, band, band + 1)).alias("band"), band.alias("own"))
+    order = Window.partitionBy("band").orderBy("t")
+    near = F.sum("n").over(order.rangeBetween(1 - width, width - 1)) - 1
+    gap = F.when(F.col("n") > 1, F.lit(0).cast("long")).otherwise(F.least(F.col("t") - F.lag("t").over(order), F.lead("t").over(order) - F.col("t")))
+    found = spread.select("t", "band", "own", near.alias("n_links"), gap.alias("gap")).where("band = own")
+    found = found.select("t", "n_links", F.when(F.col("gap") < width, F.col("gap")).alias("gap"))
+    return rows.select(F.col(key), F.col(at).alias("t")).join(found, "t").select(key, "n_links", "gap")
 
 
 def unordered(a: str, b: str) -> list[Column]:

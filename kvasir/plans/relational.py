@@ -35,17 +35,17 @@ def _(spark, d):
 
 @query("point_lookup", with_(M, "SELECT id, type, title, importance FROM memories WHERE id = 'mem_7'"))
 def _(spark, d):
-    return a.memories(spark, d).where("id = 'mem_7'").select("id", "type", "title", "importance")
+    return a.memories(spark, d, ["mem_7"]).select("id", "type", "title", "importance")
 
 
 @query("in_list_lookup", with_(M, "SELECT id, type FROM memories WHERE id IN ('mem_1', 'mem_5', 'mem_11', 'missing')"))
 def _(spark, d):
-    return a.memories(spark, d).where(F.col("id").isin("mem_1", "mem_5", "mem_11", "missing")).select("id", "type")
+    return a.memories(spark, d, ["mem_1", "mem_5", "mem_11", "missing"]).select("id", "type")
 
 
-@query("chunks_by_document", "SELECT conv_id AS document_id, CAST(turn AS BIGINT) AS start_offset, text AS content FROM conversations WHERE conv_id % 7 = 0")
+@query("chunks_by_document", "SELECT conv_id AS document_id, CAST(turn AS BIGINT) AS start_offset, text AS content FROM conversations")
 def _(spark, d):
-    c = a.read(spark, d, "conversations").where("conv_id % 7 = 0")
+    c = a.read(spark, d, "conversations")
     return c.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("long").alias("start_offset"), F.col("text").alias("content")).orderBy("document_id", "start_offset")
 
 
@@ -291,33 +291,42 @@ def _(spark, d):
     return r.without_related(c, a.memory_relations(spark, d))
 
 
-_SMALL = "sm AS (SELECT * FROM memories WHERE doc_id % 5 = 0)"
+def linked(shared: str, least: str, best: str) -> str:
+    """Each memory's number of others that share enough, and the best score, by comparing all pairs."""
+    return more(M, f"""lk AS (SELECT x.id, count(*) AS n_links, max({best}) AS best FROM (SELECT x.id, y.id AS other, CAST(len(list_intersect({shared.format('x')}, {shared.format('y')})) AS DOUBLE) AS s FROM memories x JOIN memories y ON x.id <> y.id) x WHERE {least} GROUP BY x.id),
+cl AS (SELECT id, min(id) OVER (PARTITION BY list_sort({shared.format('memories')})) AS class_id FROM memories)
+SELECT cl.id, cl.class_id, coalesce(lk.n_links, 0) AS n_links, round(lk.best, 6) AS best FROM cl LEFT JOIN lk ON lk.id = cl.id""")
 
 
-def _small(spark, d):
-    """Every fifth memory by its type, as a query's subject."""
-    return a.memories(spark, d).where("type = 'decision'")
+def _links(spark, d, items, score, least):
+    out = r.overlap_links(a.memories(spark, d).select("id", items), "id", items, score, least)
+    return out.select("id", "class_id", "n_links", r6(F.col("best"), "best"))
 
 
-@query("tag_overlap_join", more(M, f"{_SMALL} SELECT x.id AS a, y.id AS b, CAST(len(list_intersect(x.tags, y.tags)) AS BIGINT) AS shared FROM sm x JOIN sm y ON x.id < y.id WHERE len(list_intersect(x.tags, y.tags)) > 0"))
+@query("tag_overlap_join", linked("{}.tags", "s > 0", "s"))
 def _(spark, d):
-    return r.overlap_pairs(_small(spark, d), "id", "tags").select("a", "b", "shared")
+    return _links(spark, d, "tags", lambda s, x, y: s.cast("double"), 1.0)
 
 
-@query("file_overlap_join", more(M, f"{_SMALL} SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.related_files, y.related_files)) / 2.0::DOUBLE, 6) AS overlap FROM sm x JOIN sm y ON x.id < y.id WHERE len(list_intersect(x.related_files, y.related_files)) > 0"))
+@query("file_overlap_join", linked("{}.related_files", "s > 0", "s / 2"))
 def _(spark, d):
-    p = r.overlap_pairs(_small(spark, d), "id", "related_files")
-    return p.select("a", "b", r6(r.overlap_coefficient(F.col("shared"), F.col("n_a"), F.col("n_b")), "overlap"))
+    return _links(spark, d, "related_files", r.overlap_coefficient, 1e-9)
 
 
-@query("temporal_band_join", more(M, f"{_SMALL} SELECT x.id AS a, y.id AS b, abs(x.created_at - y.created_at) AS gap FROM sm x JOIN sm y ON x.id < y.id WHERE abs(x.created_at - y.created_at) < 7 * 86400"))
+def banded(width: int, best: str) -> str:
+    """Each memory's number of others less than ``width`` seconds apart, and its nearest one's score, by comparing all pairs."""
+    return more(M, f"""bd AS (SELECT x.id, count(*) AS n_links, min(abs(x.created_at - y.created_at)) AS gap FROM memories x JOIN memories y ON x.id <> y.id AND abs(x.created_at - y.created_at) < {width} GROUP BY x.id)
+SELECT m.id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, {best} FROM memories m LEFT JOIN bd ON bd.id = m.id""")
+
+
+@query("temporal_band_join", banded(604800, "gap"))
 def _(spark, d):
-    return r.band_pairs(_small(spark, d), "id", "created_at", 7 * 86400)
+    return r.band_links(a.memories(spark, d), "id", "created_at", 604800).select("id", "n_links", "gap")
 
 
-@query("code_reference_join", with_(N, "SELECT ref, min(id) AS node_id FROM (SELECT unnest(['almond antique', p_name]) AS ref FROM part WHERE p_partkey % 10 = 0) t JOIN code_nodes n ON n.name = t.ref GROUP BY ref"))
+@query("code_reference_join", with_(N, "SELECT ref, min(id) AS node_id FROM (SELECT unnest(['almond antique', p_name]) AS ref FROM part) t JOIN code_nodes n ON n.name = t.ref GROUP BY ref"))
 def _(spark, d):
-    refs = a.read(spark, d, "part").where("p_partkey % 10 = 0").select(F.explode(F.array(F.lit("almond antique"), "p_name")).alias("ref")).distinct()
+    refs = a.read(spark, d, "part").select(F.explode(F.array(F.lit("almond antique"), "p_name")).alias("ref")).distinct()
     first = a.code_nodes(spark, d).groupBy(F.col("name").alias("ref")).agg(F.min("id").alias("node_id"))
     return refs.join(first, "ref")
 
@@ -534,22 +543,26 @@ def _(spark, d):
     return v.top_k(near.drop("rank"), ["q_id"], 50, F.desc("similarity"), F.asc("id")).select(F.col("q_id").alias("source_id"), F.col("id").alias("target_id"), F.col("similarity").alias("confidence"))
 
 
-@query("detect_keyword", more(M, f"{_SMALL} SELECT x.id AS a, y.id AS b, round(least(1.0::DOUBLE, 1.2 * len(list_intersect(x.tags, y.tags)) / (4.0::DOUBLE - len(list_intersect(x.tags, y.tags)))), 6) AS confidence FROM sm x JOIN sm y ON x.id < y.id WHERE len(list_intersect(x.tags, y.tags)) = 2"))
+@query("detect_keyword", linked("{}.tags", "s / (4 - s) >= 0.6", "least(1.0::DOUBLE, 1.2 * s / (4 - s))"))
 def _(spark, d):
-    p = r.overlap_pairs(_small(spark, d), "id", "tags").withColumn("s", r.jaccard(F.col("shared"), F.col("n_a"), F.col("n_b")))
-    return p.where("s >= 0.6").select("a", "b", r6(F.least(F.lit(1.0), 1.2 * F.col("s")), "confidence"))
+    out = r.overlap_links(a.memories(spark, d).select("id", "tags"), "id", "tags", r.jaccard, 0.6)
+    return out.select("id", "class_id", "n_links", r6(F.when(F.col("best").isNotNull(), F.least(F.lit(1.0), 1.2 * F.col("best"))), "best"))
 
 
-@query("detect_file", more(M, f"{_SMALL} SELECT x.id AS a, y.id AS b, round(least(1.0::DOUBLE, 1.1 * len(list_intersect(x.related_files, y.related_files)) / 2), 6) AS confidence FROM sm x JOIN sm y ON x.id < y.id WHERE len(list_intersect(x.related_files, y.related_files)) / 2.0 >= 0.6"))
+@query("detect_file", linked("{}.related_files", "s / 2 >= 0.6", "least(1.0::DOUBLE, 1.1 * s / 2)"))
 def _(spark, d):
-    p = r.overlap_pairs(_small(spark, d), "id", "related_files").withColumn("s", r.overlap_coefficient(F.col("shared"), F.col("n_a"), F.col("n_b")))
-    return p.where("s >= 0.6").select("a", "b", r6(F.least(F.lit(1.0), 1.1 * F.col("s")), "confidence"))
+    out = r.overlap_links(a.memories(spark, d).select("id", "related_files"), "id", "related_files", r.overlap_coefficient, 0.6)
+    return out.select("id", "class_id", "n_links", r6(F.when(F.col("best").isNotNull(), F.least(F.lit(1.0), 1.1 * F.col("best"))), "best"))
+
+
+#: A temporal score of 0.7 within a week: a gap of at most 0.3 weeks.
+_NEAR = 604800 * 3 // 10 + 1
 
 
-@query("detect_temporal", more(M, f"{_SMALL} SELECT x.id AS a, y.id AS b, round(0.8 * (1 - abs(x.created_at - y.created_at) / 604800.0::DOUBLE), 6) AS confidence FROM sm x JOIN sm y ON x.id < y.id WHERE abs(x.created_at - y.created_at) < 604800 AND round(1 - abs(x.created_at - y.created_at) / 604800.0::DOUBLE, 9) >= 0.7"))
+@query("detect_temporal", banded(_NEAR, "round(0.8 * (1 - gap / 604800.0::DOUBLE), 6) AS confidence"))
 def _(spark, d):
-    s = 1 - F.col("gap") / 604800.0
-    return r.band_pairs(_small(spark, d), "id", "created_at", 604800).where(F.round(s, 9) >= 0.7).select("a", "b", r6(0.8 * s, "confidence"))
+    near = r.band_links(a.memories(spark, d), "id", "created_at", _NEAR)
+    return near.select("id", "n_links", r6(0.8 * (1 - F.col("gap") / 604800.0), "confidence"))
 
 
 _TYPES = """CASE WHEN s.type = 'decision' AND t.type = 'solution' THEN 'causes' WHEN s.type = 'solution' AND t.type = 'decision' THEN 'solves' WHEN s.type = 'pattern' AND t.type = 'architecture' THEN 'implements' WHEN s.type = 'architecture' AND t.type = 'pattern' THEN 'references'
@@ -572,36 +585,37 @@ def _(spark, d):
     return both.select("source_id", "target_id", kind.alias("relation"), F.when(F.col("confidence") >= 0.85, "auto").otherwise("suggest").alias("outcome"))
 
 
-@query("cross_layer_memory", with_(f"{M} {N}", "SELECT memory_id, id AS node_id, round(max(c), 6) AS confidence FROM (SELECT 'mem_' || p.p_partkey AS memory_id, n.id, 0.9::DOUBLE AS c FROM part p JOIN (SELECT name, min(id) AS id FROM code_nodes GROUP BY name) n ON n.name = p.p_name WHERE p.p_partkey % 4 = 0 UNION ALL SELECT 'mem_' || p.p_partkey, n.id, 0.75 FROM part p JOIN code_nodes n ON n.file_path = 'src/' || p.p_brand || '/' || p.p_type || '.ts' WHERE p.p_partkey % 4 = 1 AND n.type <> 'module') GROUP BY ALL"))
+@query("cross_layer_memory", with_(f"{M} {N}", "SELECT memory_id, id AS node_id, round(max(c), 6) AS confidence FROM (SELECT 'mem_' || p.p_partkey AS memory_id, n.id, 0.9::DOUBLE AS c FROM part p JOIN (SELECT name, min(id) AS id FROM code_nodes GROUP BY name) n ON n.name = p.p_name UNION ALL SELECT 'mem_' || p.p_partkey, n.id, 0.75 FROM part p JOIN code_nodes n ON n.file_path = 'src/' || p.p_brand || '/' || p.p_type || '.ts' WHERE n.type <> 'module') GROUP BY ALL"))
 def _(spark, d):
     """Documents relations by the names and the file paths that a memory's text refers to."""
     p, n = a.read(spark, d, "part").withColumn("memory_id", a.memory_id(F.col("p_partkey"))), a.code_nodes(spark, d)
     first = n.groupBy("name").agg(F.min("id").alias("node_id"))
-    by_name = p.where("p_partkey % 4 = 0").join(first, F.col("p_name") == F.col("name")).select("memory_id", "node_id", F.lit(0.9).alias("confidence"))
+    by_name = p.join(first, F.col("p_name") == F.col("name")).select("memory_id", "node_id", F.lit(0.9).alias("confidence"))
     path = F.concat_ws("/", F.lit("src"), "p_brand", F.concat("p_type", F.lit(".ts")))
-    by_path = p.where("p_partkey % 4 = 1").select("memory_id", path.alias("file_path")).join(n.where("type <> 'module'"), "file_path").select("memory_id", F.col("id").alias("node_id"), F.lit(0.75))
+    by_path = p.select("memory_id", path.alias("file_path")).join(n.where("type <> 'module'"), "file_path").select("memory_id", F.col("id").alias("node_id"), F.lit(0.75))
     return by_name.union(by_path).groupBy("memory_id", "node_id").agg(F.max("confidence").alias("confidence"))
 
 
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: length(w) >= 3))"
 
 
-@query("detect_addresses", with_(M, f"""SELECT x.id AS memory_id, y.id AS node_id, round(least(0.75::DOUBLE, 0.6 + 0.15 * x.o), 6) AS confidence FROM (SELECT a.id, b.id AS other, len(list_intersect({_WORDS.format('a.title')}, {_WORDS.format('b.title')})) / CAST(len(list_distinct(list_concat({_WORDS.format('a.title')}, {_WORDS.format('b.title')}))) AS DOUBLE) AS o
-FROM memories a JOIN memories b ON list_has_any(a.related_files, b.related_files) AND a.type IN ('decision', 'architecture') AND b.type = 'note' AND a.doc_id % 3 = 0) x JOIN memories y ON y.id = x.other WHERE x.o >= 0.2"""))
+@query("detect_addresses", more(M, f"""w AS (SELECT id, type, related_files, {_WORDS.format('content')} AS w FROM memories), x AS (SELECT a.id AS memory_id, b.id AS node_id, len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) AS o
+FROM w a JOIN w b ON list_has_any(a.related_files, b.related_files) AND a.type IN ('decision', 'architecture') AND b.type = 'note')
+SELECT memory_id, node_id, round(least(0.75::DOUBLE, 0.6 + 0.15 * o), 6) AS confidence FROM x WHERE o >= 0.2"""))
 def _(spark, d):
     """Decisions and architecture on the same file whose words overlap; notes stand for code."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
-    m = a.memories(spark, d).select("id", "type", words("title").alias("w"), F.explode("related_files").alias("file"))
-    x = m.where("type IN ('decision', 'architecture')").where(F.substring("id", 5, 20).cast("long") % 3 == 0).select(F.col("id").alias("memory_id"), F.col("w").alias("w1"), "file")
+    m = a.memories(spark, d).select("id", "type", words("content").alias("w"), F.explode("related_files").alias("file"))
+    x = m.where("type IN ('decision', 'architecture')").select(F.col("id").alias("memory_id"), F.col("w").alias("w1"), "file")
     y = m.where("type = 'note'").select(F.col("id").alias("node_id"), F.col("w").alias("w2"), "file")
     p = x.join(y, "file").withColumn("o", r.set_jaccard(F.col("w1"), F.col("w2"))).where("o >= 0.2")
     return p.select("memory_id", "node_id", r6(F.least(F.lit(0.75), 0.6 + 0.15 * F.col("o")), "confidence")).distinct()
 
 
-@query("detect_exemplifies", with_(f"{M} {N}", "SELECT m.id AS memory_id, min(n.id) AS node_id, 0.85::DOUBLE AS confidence FROM (SELECT 'mem_' || p_partkey AS id, 'A pattern for ' || p_name AS content FROM part WHERE p_partkey % 9 = 0) m JOIN (SELECT DISTINCT name, min(id) AS id FROM code_nodes GROUP BY name) n ON contains(' ' || m.content || ' ', ' ' || n.name || ' ') GROUP BY m.id"))
+@query("detect_exemplifies", with_(f"{M} {N}", "SELECT m.id AS memory_id, min(n.id) AS node_id, 0.85::DOUBLE AS confidence FROM (SELECT 'mem_' || p_partkey AS id, 'A pattern for ' || p_name AS content FROM part) m JOIN (SELECT DISTINCT name, min(id) AS id FROM code_nodes GROUP BY name) n ON contains(' ' || m.content || ' ', ' ' || n.name || ' ') GROUP BY m.id"))
 def _(spark, d):
     """Pattern memories that name a node: candidate names are the content's word pairs, matched by an equi-join."""
-    m = a.read(spark, d, "part").where("p_partkey % 9 = 0").select(a.memory_id(F.col("p_partkey")).alias("memory_id"), F.concat(F.lit("A pattern for "), "p_name").alias("content"))
+    m = a.read(spark, d, "part").select(a.memory_id(F.col("p_partkey")).alias("memory_id"), F.concat(F.lit("A pattern for "), "p_name").alias("content"))
     words = F.split("content", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, k)))))
     first = a.code_nodes(spark, d).groupBy("name").agg(F.min("id").alias("id"))

@@ -170,13 +170,13 @@ def _(spark, d):
     return c.code_graph(_code(spark), "file")[1]
 
 
-_RANGES = "rg AS (SELECT l_orderkey % 500 AS doc, 's' || l_linenumber || '_' || l_partkey AS symbol, l_partkey % 100 AS b, l_partkey % 100 + l_suppkey % 40 AS e FROM lineitem WHERE l_linenumber <= 2), oc AS (SELECT DISTINCT o_orderkey % 500 AS doc, o_orderkey AS occ, o_custkey % 140 AS line FROM orders)"
+_RANGES = "rg AS (SELECT l_orderkey % 500 AS doc, 's' || l_linenumber || '_' || l_partkey AS symbol, l_partkey % 100 AS b, l_partkey % 100 + l_suppkey % 40 AS e FROM lineitem), oc AS (SELECT DISTINCT o_orderkey % 500 AS doc, o_orderkey AS occ, o_custkey % 140 AS line FROM orders)"
 
 
 @query("scip_enclosing", f"WITH {_RANGES} SELECT doc, occ, line, symbol FROM (SELECT oc.*, symbol, row_number() OVER (PARTITION BY oc.doc, occ ORDER BY e - b, symbol) AS k FROM oc JOIN rg ON rg.doc = oc.doc AND line BETWEEN b AND e) WHERE k = 1")
 def _(spark, d):
     """Occurrences to the innermost symbol around them."""
-    line = a.read(spark, d, "lineitem").where("l_linenumber <= 2")
+    line = a.read(spark, d, "lineitem")
     ranges = line.select((F.col("l_orderkey") % 500).alias("doc"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string")).alias("symbol"), (F.col("l_partkey") % 100).alias("begin"), (F.col("l_partkey") % 100 + F.col("l_suppkey") % 40).alias("end"))
     occ = a.read(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("doc"), F.col("o_orderkey").alias("occ"), (F.col("o_custkey") % 140).alias("line")).distinct()
     return c.innermost(occ, ranges)

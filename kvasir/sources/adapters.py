@@ -1,11 +1,12 @@
 """Adapter views: the plain tables seen as memories, code graph, relations, metrics and commits.
 
 Each adapter is a DataFrame function; ``SQL`` has the same view as a DuckDB common table expression.
-Memory time stamps are relative to NOW, so no result depends on the clock.
+A memory's title is its text's first sentence. Memory time stamps are relative to NOW, so no result depends on the clock.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,14 +29,18 @@ def memory_id(key: Column) -> Column:
     return F.concat(F.lit("mem_"), key.cast("string"))
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memories(spark: SparkSession, sf_dir: str, ids: list[str] | None = None) -> DataFrame:
+    """All memories, or those of ``ids``, which are looked up by the stored key so that the scans are filtered."""
     d, q = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality")
+    if ids is not None:
+        keys = [int(i[4:]) for i in ids if re.fullmatch("mem_(0|[1-9][0-9]{0,17})", i)]
+        d, q = d.where(F.col("doc_id").isin(keys)), q.where(F.col("doc_id").isin(keys))
     k = F.col("doc_id")
     day = lambda n, per: (F.lit(NOW) - (k % n) * per).cast("long")
     return d.join(q, "doc_id", "left").select(
         memory_id(k).alias("id"),
         pick(k % 5, ["decision", "solution", "pattern", "architecture", "note"]).alias("type"),
-        F.substring("text", 1, 60).alias("title"),
+        F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"),
         F.col("text").alias("content"),
         F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.3).otherwise(0.5).alias("importance"),
         F.array("lang", "source").alias("tags"),
@@ -59,7 +64,7 @@ def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").where("l_orderkey % 10 = 0")
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     nxt = line.select("l_orderkey", F.col("l_partkey").alias("to_part"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
     node = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     return (
@@ -145,7 +150,7 @@ def entity_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity p and memory d are linked when an order line says so: part p in order d (modulo the memories)."""
     n = read(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
-    line = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    line = read(spark, sf_dir, "lineitem")
     return (
         line.crossJoin(F.broadcast(n))
         .select(F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("entity_id"), memory_id(F.col("l_orderkey") % F.col("n")).alias("memory_id"))
@@ -157,7 +162,7 @@ def entity_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "memories": f"""memories AS (SELECT 'mem_' || d.doc_id AS id, d.doc_id,
   CASE d.doc_id % 5 WHEN 0 THEN 'decision' WHEN 1 THEN 'solution' WHEN 2 THEN 'pattern' WHEN 3 THEN 'architecture' ELSE 'note' END AS type,
-  substring(d.text, 1, 60) AS title, d.text AS content, CAST(CASE WHEN l.quality = 1 THEN 0.9 WHEN l.quality = 0 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS importance,
+  regexp_extract(d.text, '^[^.\\n]*') AS title, d.text AS content, CAST(CASE WHEN l.quality = 1 THEN 0.9 WHEN l.quality = 0 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS importance,
   [d.lang, d.source] AS tags, ['src/' || d.source || '/f' || (d.doc_id % 17) || '.ts', 'src/' || d.lang || '/g' || (d.doc_id % 5) || '.ts'] AS related_files,
   CAST({NOW} - (d.doc_id % 400) * 86400 AS BIGINT) AS created_at, CAST({NOW} - (d.doc_id % 400) * 43200 AS BIGINT) AS accessed_at, CAST(d.n_chars % 120 AS BIGINT) AS access_count,
   d.doc_id % 11 = 0 AS needs_review, CAST(CASE WHEN d.doc_id % 13 = 0 THEN 0 WHEN d.doc_id % 7 = 0 THEN 2 END AS DOUBLE) AS decay_rate,
@@ -167,7 +172,7 @@ SQL = {
   p_name AS name, 'src/' || p_brand || '/' || p_type || '.ts' AS file_path FROM part)""",
     "code_edges": """code_edges AS (SELECT DISTINCT 'p' || a.l_partkey AS from_node, 'p' || b.l_partkey AS to_node,
   CASE a.l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'implements' ELSE 'extends' END AS edge_type
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey % 10 = 0)""",
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)""",
     "memory_relations": """memory_relations AS (SELECT 'mem_' || d.doc_id AS source_id, 'mem_' || ((d.doc_id * 3 + 7 * v.k) % n.n) AS target_id,
   CASE (d.doc_id + v.k) % 6 WHEN 0 THEN 'references' WHEN 1 THEN 'implements' WHEN 2 THEN 'extends' WHEN 3 THEN 'related_to' WHEN 4 THEN 'supersedes' ELSE 'requires' END AS type,
   CAST(d.doc_id % 10 + v.k AS DOUBLE) / 12 AS weight
@@ -184,7 +189,7 @@ SQL = {
   FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) n ON n.l_partkey = p.p_partkey)""",
     "entity_relationships": """entity_relationships AS (SELECT 'e' || x AS source, 'e' || y AS target, 'related_to' AS rel_type, CAST(least(10, n * 3 + x % 6) AS BIGINT) AS strength
   FROM (SELECT least(CAST(from_node[2:] AS BIGINT), CAST(to_node[2:] AS BIGINT)) AS x, greatest(CAST(from_node[2:] AS BIGINT), CAST(to_node[2:] AS BIGINT)) AS y, count(*) AS n FROM code_edges GROUP BY 1, 2))""",
-    "entity_memories": """entity_memories AS (SELECT DISTINCT 'e' || l_partkey AS entity_id, 'mem_' || (l_orderkey % n.n) AS memory_id FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM documents) n WHERE l_linenumber = 1)""",
+    "entity_memories": """entity_memories AS (SELECT DISTINCT 'e' || l_partkey AS entity_id, 'mem_' || (l_orderkey % n.n) AS memory_id FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM documents) n)""",
 }
 
 

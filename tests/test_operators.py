@@ -114,8 +114,19 @@ def test_similarities(spark):
 def test_band_join_equals_brute_force(spark):
     at = [0, 3, 9, 10, 11, 25, 34, 35]
     rows = spark.createDataFrame(list(enumerate(at)), "k long, t long")
-    got = {(r["a"], r["b"]) for r in relational.band_pairs(rows, "k", "t", 10).collect()}
-    assert got == {(i, j) for i in range(len(at)) for j in range(i + 1, len(at)) if at[j] - at[i] < 10}
+    got = {r["k"]: (r["n_links"], r["gap"]) for r in relational.band_links(rows, "k", "t", 10).collect()}
+    gaps = {i: [abs(at[i] - at[j]) for j in range(len(at)) if j != i and abs(at[i] - at[j]) < 10] for i in range(len(at))}
+    assert got == {i: (len(g), min(g, default=None)) for i, g in gaps.items()}
+
+
+def test_overlap_links_equal_brute_force(spark):
+    sets = {1: ["a", "b"], 2: ["b", "a"], 3: ["a", "c"], 4: ["d"], 5: [], 6: ["c"], 7: ["a", "b"]}
+    rows = spark.createDataFrame(list(sets.items()), "k long, s array<string>")
+    out = {r["k"]: (r["class_id"], r["n_links"], r["best"]) for r in relational.overlap_links(rows, "k", "s", relational.jaccard, 0.3).collect()}
+    for k, mine in sets.items():
+        others = [len({*mine} & {*s}) / len({*mine} | {*s}) for j, s in sets.items() if j != k and {*mine} & {*s}]
+        others = [x for x in others if x >= 0.3]
+        assert out[k] == (min(j for j, s in sets.items() if sorted(s) == sorted(mine)), len(others), max(others, default=None))
 
 
 def test_percentiles(spark):
