@@ -120,10 +120,15 @@ def route(query: Column) -> Column:
     return F.when(code & ~memory, "code").when(memory & ~code, "memory").otherwise("hybrid")
 
 
+# The signs that are cut off at a query's ends.
+EDGE = r"""[\s"'`.,!?;:()\[\]{}<>~_-]+"""
+
+
 def cache_query(query: Column) -> Column:
-    """Lower case, single spaces, no punctuation at the ends."""
+    """Lower case, single spaces, no punctuation at the ends unless there is nothing else."""
     t = F.trim(F.regexp_replace(F.lower(query), r"\s+", " "))
-    return F.regexp_replace(F.regexp_replace(t, "^[^a-z0-9]+", ""), "[^a-z0-9]+$", "")
+    bare = F.regexp_replace(t, f"^{EDGE}|{EDGE}$", "")
+    return F.when(bare == "", t).otherwise(bare)
 
 
 def entity_alias(value: Column) -> Column:

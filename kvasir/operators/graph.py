@@ -7,18 +7,19 @@ cost nothing but a reread.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvasir.session import shared_dir
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The table, cut from its lineage in spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """The table, cut from its lineage in spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kvasir-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -20,6 +20,7 @@ from kvasir.sources import adapters as a
 from kvasir.sources import files as s
 from kvasir.sources.adapters import with_
 from kvasir.streaming import jobs
+from kvasir.session import shared_dir
 
 _TOK = "CAST(length(content) AS BIGINT) // 4"
 
@@ -221,10 +222,14 @@ def _events(spark, d):
 
 
 def _run(spark, stream, mode):
-    name = f"kvasir_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    return spark.table(name)
+    """The stream's whole result: a batch's rows are written under its number, so one that is done again replaces itself."""
+    path = f"{shared_dir(spark)}/kvasir-stream-{uuid.uuid4().hex}"
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{path}/rows")
+    if mode == "complete":  # each batch has all rows
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch", "left_semi")  # one row
+    return rows.drop("batch")
 
 
 @query("stream_metric_windows", "SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type AS variant_id, count(*) AS samples, round(avg(value), 6) AS avg_latency, round(max(value), 6) AS max_latency FROM events GROUP BY 1, 2")
@@ -233,9 +238,10 @@ def _(spark, d):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "variant_id", "samples", "avg_latency", "max_latency")
 
 
-@query("stream_cache_misses")
+@query("stream_cache_misses", """WITH RECURSIVE m(user_id, ts) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL SELECT m.user_id, min(e.ts) FROM m JOIN events e ON e.user_id = m.user_id AND e.ts >= m.ts + INTERVAL 5 MINUTE GROUP BY m.user_id, m.ts)
+SELECT user_id, epoch_us(ts) AS ts_us FROM m""")
 def _(spark, d):
-    return _run(spark, jobs.cache_misses(_events(spark, d), "user_id"), "append")
+    return _run(spark, jobs.cache_misses(_events(spark, d), "user_id"), "append").select("user_id", F.unix_micros("ts").alias("ts_us"))
 
 
 @query("stream_debounce")

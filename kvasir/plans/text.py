@@ -167,7 +167,10 @@ def _(spark, d):
     return frame(spark, QUERIES, "k int, q string").select("k", t.route(F.col("q")).alias("route"))
 
 
-@query("cache_key", f"SELECT CAST(k AS INT) AS k, sha256(regexp_replace(regexp_replace(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), '^[^a-z0-9]+', ''), '[^a-z0-9]+$', '')) AS key FROM {_Q}")
+_EDGES = "|".join((f"^{t.EDGE}", f"{t.EDGE}$")).replace("'", "''")
+
+
+@query("cache_key", f"SELECT k, sha256(CASE WHEN b = '' THEN n ELSE b END) AS key FROM (SELECT *, regexp_replace(n, '{_EDGES}', '', 'g') AS b FROM (SELECT CAST(k AS INT) AS k, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) AS n FROM {_Q}))")
 def _(spark, d):
     return frame(spark, QUERIES, "k int, q string").select("k", F.sha2(t.cache_query(F.col("q")), 256).alias("key"))
 

@@ -68,26 +68,30 @@ def export_json(tables: dict[str, DataFrame], root: str) -> None:
 
 
 class Catalog:
-    """Named Parquet tables in a folder, with the upserts and deletes of a store.
+    """Named Parquet tables in a folder, with the upserts and deletes of a store; one writer at a time.
 
-    A table is a folder of versions; a change writes the next one whole and then moves the pointer of this
-    catalog, so a failed write leaves the table as it was.
+    A table is a folder of versions. A change writes the next one whole, and the last one that is complete is the
+    table: a failed write leaves it as it was, and it is found again by whoever opens the folder next.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.version = spark, root.rstrip("/"), {}
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def version(self, name: str) -> int:
+        """The last complete version, -1 without one."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v*/_SUCCESS")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(folder)
+        return max([int(f.getPath().getParent().getName()[1:]) for f in found or []], default=-1)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v{self.version[name]}")
+        return self.spark.read.parquet(f"{self.root}/{name}/v{self.version(name)}")
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        n = self.version.get(name, -1) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{n}")
-        self.version[name] = n
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{self.version(name) + 1}")
         return self.table(name)
 
     def upsert(self, name: str, rows: DataFrame, key: list[str]) -> DataFrame:
-        if name not in self.version:
+        if self.version(name) < 0:
             return self.put(name, rows)
         old = self.table(name)
         return self.put(name, old.join(rows.select(*key), key, "left_anti").unionByName(rows))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kvasir.operators.relational import change_set
 from kvasir.sources.files import Catalog
@@ -30,8 +34,26 @@ def sessions(samples: DataFrame, gap: str = "1 second", late: str = "10 minutes"
 
 
 def cache_misses(requests: DataFrame, key: str, life: str = "5 minutes") -> DataFrame:
-    """Requests (ts, key) that a cache would not answer: the first of each key within its life time."""
-    return requests.withWatermark("ts", life).dropDuplicatesWithinWatermark([key])
+    """(key, ts) of the requests (ts, key) that a cache would not answer: a key's first one, and the first one ``life`` or
+    more after its last miss. A key's state is its last miss, which goes when the watermark has passed its life."""
+    kept = pd.Timedelta(life)
+
+    def misses(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = (pd.Timestamp(state.get[0], unit="us") if state.exists else None), []
+        for ts in sorted(t for batch in batches for t in batch["ts"]):
+            if last is None or ts - last >= kept:
+                out.append(ts)
+                last = ts
+        state.update((last.value // 1000,))
+        state.setTimeoutTimestamp(max((last + kept).value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * len(out), "ts": out})
+
+    rows = requests.select(key, "ts").withWatermark("ts", life)
+    schema = f"{key} {requests.schema[key].dataType.simpleString()}, ts timestamp"
+    return rows.groupBy(key).applyInPandasWithState(misses, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def buffered(samples: DataFrame, path: str, checkpoint: str, seconds: int = 60):
@@ -47,7 +69,7 @@ def incremental_scan(catalog: Catalog, name: str = "file_hashes", deletions: boo
 
     def scan(batch: DataFrame, batch_id: int) -> None:
         now = batch.groupBy("path").agg(F.max("hash").alias("hash"))
-        old = catalog.table(name) if name in catalog.version else now.limit(0)
+        old = catalog.table(name) if catalog.version(name) >= 0 else now.limit(0)
         changes = change_set(old, now).withColumn("batch", F.lit(batch_id).cast("long"))
         if not deletions:
             changes = changes.where("change <> 'deleted'")

@@ -270,3 +270,10 @@ def test_graph_build(spark):
     assert of["postgresql"] == of["redis"] != of["docker"] == of["kubernetes"]
     again = graphrag.build(notes, made["links"].select("id").union(spark.createDataFrame([("m4",)], "id string")))
     assert all(t.count() == 0 for t in again.values())
+
+
+def test_cache_queries_of_any_script(spark):
+    q = spark.createDataFrame([("  Привет,  Мир! ",), ("你好？",), ("?!",), ("(a-b)",)], "q string")
+    from kvasir.functions import text
+
+    assert [r[0] for r in q.select(text.cache_query(q["q"])).collect()] == ["привет, мир", "你好？", "?!", "a-b"]

@@ -36,6 +36,10 @@ def test_catalog(spark, tmp_path):
     c.upsert("t", rows((2, "B"), (3, "c")), ["k"])
     c.delete("t", rows((1, "")).select("k"))
     assert {(r["k"], r["v"]) for r in c.table("t").collect()} == {(2, "B"), (3, "c")}
+    # Opened again, the table is there, and a change adds to it.
+    again = files.Catalog(spark, str(tmp_path / "c"))
+    again.upsert("t", rows((4, "d")), ["k"])
+    assert c.table("t").count() == 3
 
 
 def test_restore_conflicts(spark):
