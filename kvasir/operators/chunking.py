@@ -72,6 +72,77 @@ def pack_lines(docs: DataFrame, key: str, text: str, max_tokens: int = 512) -> D
     )
 
 
+FENCE = r"^\s*(```|~~~)"
+#: A token with the white space before it, so that tokens in a row give their text back.
+PIECE = r"\s*(?:[A-Za-z0-9_]+|[^\sA-Za-z0-9_])"
+
+
+def packed_units(units: DataFrame, by: list[str], max_tokens: int) -> DataFrame:
+    """(by, part, start_line, end_line, tokens, content) of units (by, start, piece, end, content), in the order of start and piece.
+
+    A new part begins where the next unit doesn't fit; a unit of more than ``max_tokens``, and any with a piece of its
+    own line, is a part by itself.
+    """
+
+    @F.pandas_udf("array<int>")
+    def place(counts: pd.Series, alone: pd.Series) -> pd.Series:
+        def one(numbers, single):
+            out, part, used, held = [], 0, 0, False
+            for n, by_itself in zip(numbers, single, strict=True):
+                if held and (by_itself or used + n > max_tokens):
+                    part, used, held = part + 1, 0, False
+                out.append(part)
+                if by_itself:
+                    part += 1
+                else:
+                    used, held = used + n, True
+            return out
+
+        return pd.Series([one(x, y) for x, y in zip(counts, alone, strict=True)])
+
+    each = F.struct("start", "piece", "end", word_tokens(F.col("content")).alias("tokens"), "content")
+    rows = units.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias("units"))
+    counts = F.transform("units", lambda u: u["tokens"])
+    alone = F.transform("units", lambda u: (u["piece"] > 0) | (u["tokens"] > max_tokens))
+    rows = rows.withColumn("parts", place(counts, alone)).select(*by, F.explode(F.arrays_zip("units", "parts")).alias("x"))
+    texts = F.array_sort(F.collect_list(F.struct("x.units.start", "x.units.piece", "x.units.content")))
+    return rows.groupBy(*by, F.col("x.parts").alias("part")).agg(
+        F.min("x.units.start").alias("start_line"), F.max("x.units.end").alias("end_line"), F.sum("x.units.tokens").cast("long").alias("tokens"),
+        F.array_join(F.transform(texts, lambda u: u["content"]), "\n").alias("content"),
+    )
+
+
+def markdown_chunks(docs: DataFrame, key: str, text: str, max_tokens: int = 256) -> DataFrame:
+    """(key, chunk, start_line, end_line, level, headers, tokens, content): sections, split where they exceed ``max_tokens``.
+
+    They are split between lines. A code fence is never split (one that isn't closed lasts to its section's end); a
+    line of too many tokens is, between tokens, and white space at its end goes. A section's later chunks start with a
+    comment that names its headers, unless they start with a #; it isn't counted in ``tokens``.
+    """
+    sections = markdown_sections(docs, key, text)
+    small = word_tokens(F.col("content")) <= max_tokens
+    lines = F.when(F.col("small"), F.array("content")).otherwise(F.split("content", "\n", -1))
+    rows = sections.withColumn("small", small).select(key, "section", "start_line", "end_line", "small", F.posexplode(lines).alias("at", "line"))
+    upto = Window.partitionBy(key, "section").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("fence", ~F.col("small") & F.col("line").rlike(FENCE))
+    rows = rows.withColumn("open", F.sum(F.col("fence").cast("int")).over(upto) % 2 == 1)
+    rows = rows.withColumn("unit", F.sum((F.col("fence") == F.col("open")).cast("int")).over(upto))
+    units = rows.groupBy(key, "section", "unit").agg(
+        F.min(F.col("start_line") + F.col("at")).alias("start"), F.max(F.when(F.col("small"), F.col("end_line")).otherwise(F.col("start_line") + F.col("at"))).alias("end"), F.max("fence").alias("code"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("content"),
+    )
+    tokens = F.regexp_extract_all("content", F.lit(PIECE), F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(max_tokens)), lambda i: F.array_join(F.slice("tokens", i + 1, max_tokens), ""))
+    units = units.withColumn("tokens", F.when(~F.col("code"), tokens)).withColumn("long", F.size("tokens") > max_tokens)
+    units = units.select(key, "section", "start", "end", F.col("long").cast("int").alias("more"), F.posexplode(F.when(F.col("long"), pieces).otherwise(F.array("content"))).alias("nth", "content"))
+    units = units.select(key, "section", "start", "end", F.when(F.col("more") == 1, F.col("nth") + 1).otherwise(0).alias("piece"), "content")
+    parts = packed_units(units, [key, "section"], max_tokens).join(sections.select(key, "section", "level", "headers"), [key, "section"])
+    told = (F.col("part") > 0) & (F.size("headers") > 0) & ~F.startswith("content", F.lit("#"))
+    comment = F.when(told, F.concat(F.lit("<!-- Context: "), F.array_join("headers", " > "), F.lit(" -->\n"))).otherwise("")
+    chunk = F.row_number().over(Window.partitionBy(key).orderBy("section", "part")) - 1
+    return parts.select(key, chunk.alias("chunk"), "start_line", "end_line", "level", "headers", "tokens", F.concat(comment, "content").alias("content"))
+
+
 #: A line that starts a top-level definition: its kind and its name (this engine's own fallback for a syntax tree).
 DEFINITION = r"^(?:export\s+)?(?:default\s+)?(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?(?:abstract\s+)?(function|class|interface|type|def|fn|func|struct|trait|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
 IMPORT = r"^\s*(?:import|from|use|require|#include)\b"
@@ -93,6 +164,41 @@ def code_chunks(files: DataFrame, key: str, text: str) -> DataFrame:
     return out.where(F.trim(F.regexp_replace("content", "\n", " ")) != "").withColumn("kind", F.coalesce("kind", F.lit("module")))
 
 
+#: Kinds of definitions that hold methods, and a line that starts one: an indented name with an opening bracket.
+HOLDERS = ("class", "struct", "trait", "interface", "enum")
+METHOD = r"^\s+(?:(?:public|private|protected|static|async|override|abstract|get|set|pub)\s+)*(?:(?:def|fn|func|function)\s+)?([A-Za-z_$][A-Za-z0-9_$]*)\s*(?:<[^>]*>)?\([^;]*[{:]\s*$"
+NO_METHOD = r"^\s*(?:if|else|for|while|switch|catch|with|return|match|elif|try|do)\b"
+
+
+def split_definitions(chunks: DataFrame, key: str, max_tokens: int = 512) -> DataFrame:
+    """Code chunks with ``parent`` and ``part``, those of more than ``max_tokens`` split.
+
+    A class is split before each of its methods, which are named with the class as parent (its head is a part of its
+    own, what follows a method belongs to it); anything else is split between lines, as a kind ``..._partial``.
+    """
+    sized = chunks.withColumn("large", word_tokens(F.col("content")) > max_tokens)
+    whole = sized.where("NOT large").select(key, "chunk", F.lit(0).alias("part"), "start_line", "end_line", "kind", "name", F.lit(None).cast("string").alias("parent"), "content")
+    rows = sized.where("large").select(key, "chunk", "start_line", "kind", F.col("name").alias("parent"), F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
+    method = F.col("kind").isin(*HOLDERS) & F.col("line").rlike(METHOD) & ~F.col("line").rlike(NO_METHOD)
+    rows = rows.withColumn("indent", F.when(method, F.length(F.regexp_extract("line", r"^(\s*)", 1))))
+    each = Window.partitionBy(key, "chunk")
+    rows = rows.withColumn("least", F.min("indent").over(each))
+    rows = rows.withColumn("part", F.sum((F.coalesce(F.col("indent"), F.lit(-1)) == F.col("least")).cast("int")).over(each.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    named = rows.where("least IS NOT NULL").groupBy(key, "chunk", "part", "parent", F.col("kind").alias("of")).agg(
+        F.min(F.col("start_line") + F.col("at")).alias("start_line"), F.max(F.col("start_line") + F.col("at")).alias("end_line"), F.min_by("line", "at").alias("first"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("content"),
+    )
+    head = F.col("part") == 0
+    named = named.select(
+        key, "chunk", F.col("part").cast("int").alias("part"), "start_line", "end_line", F.when(head, F.col("of")).otherwise("method").alias("kind"),
+        F.when(head, F.col("parent")).otherwise(F.regexp_extract("first", METHOD, 1)).alias("name"), F.when(~head, F.col("parent")).alias("parent"), "content",
+    )
+    at = (F.col("start_line") + F.col("at")).alias("start")
+    lines = rows.where("least IS NULL").select(key, "chunk", "kind", F.col("parent").alias("name"), at, F.lit(0).alias("piece"), (F.col("start_line") + F.col("at")).alias("end"), F.col("line").alias("content"))
+    partial = packed_units(lines, [key, "chunk", "kind", "name"], max_tokens).select(key, "chunk", "part", "start_line", "end_line", F.concat("kind", F.lit("_partial")).alias("kind"), "name", F.lit(None).cast("string").alias("parent"), "content")
+    return whole.unionByName(named).unionByName(partial)
+
+
 def code_graph(chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, type, name, file), edges (from_node, to_node, edge_type)) of code chunks.
 

@@ -6,28 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Each group's values with their rank and number: a distributed sort, no list per group."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
+#: Bins a group's distinct values are divided into.
+CUTS = 64
+
+
+def _at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(by, _n, one column a name): the group's values at the named ranks, each an expression of the group's number of rows _n.
+
+    Values are counted first. Cuts between each group's distinct values divide them into bins; only the bins that hold a
+    wanted rank are sorted, so no task sorts a whole group, however hot. The cuts are approximate, the values exact.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    share = [i / CUTS for i in range(1, CUTS)]
+    groups = counts.groupBy(*by).agg(F.sum("_m").alias("_n"), F.coalesce(F.percentile_approx("_v", share), F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")).alias("_cuts"))
+    groups = groups.withColumn("_want", F.array(*[r.cast("long") for r in ranks.values()]))
+    met = groups.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_n", "_cuts", "_want")
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    binned = counts.join(met, same).withColumn("_bin", F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))).drop("_cuts")
+    sizes = binned.groupBy(*by, "_bin").agg(F.sum("_m").alias("_held"), F.first("_want").alias("_w"))
+    sizes = sizes.withColumn("_upto", F.sum("_held").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = sizes.where(F.exists("_w", lambda k: (k <= F.col("_upto")) & (k > F.col("_upto") - F.col("_held"))))
+    wanted = wanted.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_bin").alias("_b"), (F.col("_upto") - F.col("_held")).alias("_before"))
+    inside = binned.drop(*[f"_{i}" for i in range(len(by))]).join(wanted, [*same, F.col("_bin") == F.col("_b")])
+    last = F.col("_before") + F.sum("_m").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("_last", last)
+    at = lambda i: F.max(F.when((F.col("_want")[i] <= F.col("_last")) & (F.col("_want")[i] > F.col("_last") - F.col("_m")), F.col("_v")))
+    return inside.groupBy(*by).agg(F.max("_n").alias("_n"), *[at(i).alias(name) for i, name in enumerate(ranks)])
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, percents: dict[str, float]) -> DataFrame:
     """Per group: the value at rank max(1, ceil(p / 100 * n)) for each named percentile."""
     at = {name: F.greatest(F.lit(1), F.ceil(F.lit(p / 100.0) * F.col("_n"))) for name, p in percents.items()}
-    return _ranked(df, by, value).groupBy(*by).agg(*[F.max(F.when(F.col("_k") == i, F.col(value))).alias(name) for name, i in at.items()])
+    return _at_ranks(df, by, value, at).drop("_n")
 
 
 def quantile_sorted(df: DataFrame, by: list[str], value: str, percents: dict[str, float]) -> DataFrame:
     """Per group, with i = n * p: value ceil(i) if i is no integer, else the mean of values i and i + 1 if n is even, else value i + 1."""
-    aggs = []
-    for name, p in percents.items():
-        i = F.round(F.col("_n") * F.lit(p), 9)
-        at = lambda k: F.max(F.when(F.col("_k") == k, F.col(value)))
-        whole, even = F.max((i == F.floor(i)).cast("int")) == 1, F.max(F.col("_n") % 2) == 0
-        low, here, up = at(F.least(F.col("_n"), F.ceil(i))), at(F.greatest(F.lit(1), i)), at(F.least(F.col("_n"), i + 1))
-        aggs.append(F.when(~whole, low).when(even, (here + up) / 2.0).otherwise(up).alias(name))
-    return _ranked(df, by, value).groupBy(*by).agg(*aggs)
+    ranks, place = {}, {name: F.round(F.col("_n") * F.lit(p), 9) for name, p in percents.items()}
+    for name, i in place.items():
+        ranks |= {f"{name}_low": F.least(F.col("_n"), F.ceil(i)), f"{name}_here": F.greatest(F.lit(1), F.floor(i)), f"{name}_up": F.least(F.col("_n"), F.floor(i) + 1)}
+    found = _at_ranks(df, by, value, ranks)
+    picked = lambda name, i: F.when(i != F.floor(i), F.col(f"{name}_low")).when(F.col("_n") % 2 == 0, (F.col(f"{name}_here") + F.col(f"{name}_up")) / 2.0).otherwise(F.col(f"{name}_up"))
+    return found.select(*by, *[picked(name, i).alias(name) for name, i in place.items()])
 
 
 def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -88,10 +88,10 @@ def _(spark, d):
     return touching("from_node").union(touching("to_node")).distinct()
 
 
-for _dir, _sql in (("imports", "SELECT from_node AS x, to_node AS y FROM code_edges WHERE edge_type = 'imports'"), ("imported_by", "SELECT to_node AS x, from_node AS y FROM code_edges WHERE edge_type = 'imports'")):
+for _dir, _sql in (("imports", "SELECT from_node AS x, to_node AS y FROM code_edges WHERE edge_type = 'imports'"), ("imported_by", "SELECT to_node AS x, from_node AS y FROM code_edges WHERE edge_type = 'imports'"), ("both", "SELECT from_node AS x, to_node AS y FROM code_edges WHERE edge_type = 'imports' UNION SELECT to_node, from_node FROM code_edges WHERE edge_type = 'imports'")):
 
     @query(f"dependency_tree_{_dir}", more(E, f"{walk(_sql, 'p20', 3)} SELECT id, depth FROM sn"))
-    def _(spark, d, direction="out" if _dir == "imports" else "in"):
+    def _(spark, d, direction={"imports": "out", "imported_by": "in", "both": "both"}[_dir]):
         return g.bfs(g.directed(_edges(spark, d, "imports"), direction), ids(spark, "p20"), 3).select("id", "depth")
 
 

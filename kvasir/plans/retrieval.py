@@ -127,7 +127,9 @@ MARKDOWN = [
 
 @query("chunk_markdown")
 def _(spark, d):
-    return c.markdown_sections(frame(spark, MARKDOWN, "k int, m string"), "k", "m")
+    """Each document under a heading of its language, in sections of at most 64 tokens."""
+    docs = a.read(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), F.coalesce("lang", F.lit("?")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("m"))
+    return c.markdown_chunks(docs, "doc_id", "m", 64)
 
 
 @query("chunk_documents_as_markdown")
@@ -155,6 +157,12 @@ def _code(spark):
     return c.code_chunks(frame(spark, SOURCE, "file string, code string"), "file", "code")
 
 
+@query("split_code_chunks")
+def _(spark, d):
+    """Definitions of more than 12 tokens by method or by line."""
+    return c.split_definitions(_code(spark), "file", 12)
+
+
 @query("chunk_code")
 def _(spark, d):
     return _code(spark).select("file", "chunk", "kind", "name", "start_line", "end_line")

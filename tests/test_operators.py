@@ -1,5 +1,7 @@
 """Closed-form cases of the operators, computed by hand."""
 
+import math
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -137,6 +139,20 @@ def test_percentiles(spark):
     assert q == {"a": (2.5, 4), "b": (3, 5)}
 
 
+def test_percentiles_equal_sorting(spark):
+    rng = __import__("random").Random(7)
+    rows = [(g, rng.choice([float(rng.randint(0, 900)), 5.0])) for g in ("hot", "hot", "hot", None, "few") for _ in range(400)] + [("one", 3.0), ("same", 2.0), ("same", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    near = {r["g"]: tuple(r)[1:] for r in metrics.nearest_rank(df, ["g"], "x", {"p1": 1, "p50": 50, "p90": 90, "p99": 99}).collect()}
+    mean = {r["g"]: r["p50"] for r in metrics.quantile_sorted(df, ["g"], "x", {"p50": 0.5}).collect()}
+    for g in {g for g, _ in rows}:
+        xs = sorted(x for h, x in rows if h == g)
+        assert near[g] == tuple(xs[max(1, math.ceil(p * len(xs) / 100)) - 1] for p in (1, 50, 90, 99))
+        half = len(xs) // 2
+        assert mean[g] == (xs[half] if len(xs) % 2 else (xs[half - 1] + xs[half]) / 2)
+    assert metrics.nearest_rank(df.limit(0), ["g"], "x", {"p50": 50}).count() == 0
+
+
 def test_expertise(spark):
     def factor(*counts):
         rows = [("d", f"{i}@x", i, 1000) for i, n in enumerate(counts) for _ in range(n)]
@@ -250,6 +266,62 @@ def test_line_chunks_concatenate(spark):
     assert "\n".join(r["content"] for r in rows) == body and all(r["tokens"] <= 20 for r in rows)
 
 
+def _split_by_hand(section, most):
+    """Line by line: a list of (text, tokens) parts."""
+    count = lambda t: len(re.findall(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", t))
+    units, fence = [], None
+    for line in section.split("\n"):
+        mark = re.match(r"\s*(```|~~~)", line)
+        if fence is not None:
+            fence.append(line)
+            if mark:
+                units.append("\n".join(fence))
+                fence = None
+        elif mark:
+            fence = [line]
+        else:
+            units.append(line)
+    units += ["\n".join(fence)] if fence else []
+    parts, held = [], []
+    for u in units:
+        single = count(u) > most
+        if held and (single or sum(map(count, held)) + count(u) > most):
+            parts.append("\n".join(held))
+            held = []
+        if single and not re.match(r"\s*(```|~~~)", u):
+            tokens = re.findall(r"\s*(?:[A-Za-z0-9_]+|[^\sA-Za-z0-9_])", u)
+            parts += ["".join(tokens[i : i + most]) for i in range(0, len(tokens), most)]
+        elif single:
+            parts.append(u)
+        else:
+            held.append(u)
+    return parts + (["\n".join(held)] if held else [])
+
+
+def test_markdown_chunks(spark):
+    fence, long_fence = "```\na b\n# c\n```", "```\n" + "x y z\n" * 9 + "```"
+    body = "\n".join(["# A", "one two", "## B", "w1 w2 w3 w4", fence, "", "l " * 33, "end, of it", long_fence, "last", "more words on the line", "again some more words", "~~~", "not closed"])
+    df = spark.createDataFrame([(1, body), (2, "short"), (3, ""), (4, None)], "k int, m string")
+    rows = sorted(chunking.markdown_chunks(df, "k", "m", 12).collect(), key=lambda r: (r["k"], r["chunk"]))
+    assert [(r["content"], r["headers"]) for r in rows if r["k"] == 2] == [("short", [])] and {r["k"] for r in rows} == {1, 2}
+    mine = [r for r in rows if r["k"] == 1]
+    expected = _split_by_hand(body.split("\n", 2)[2], 12)
+    context = "<!-- Context: A > B -->\n"
+    assert [r["content"] for r in mine] == ["# A\none two", expected[0], *[context + x for x in expected[1:]]]
+    assert all(r["tokens"] <= 12 or "```" in r["content"] for r in mine) and [r["chunk"] for r in mine] == list(range(len(mine)))
+
+
+def test_definitions_are_split(spark):
+    box = "class Box:\n    size = 1\n    def area(self, x):\n        if x(1):\n            return x\n    async def run(self):\n        return 1"
+    body = "import os\n" + box + "\ndef long():\n" + "\n".join(f"    a{i} = b + c" for i in range(12))
+    files = spark.createDataFrame([("f.py", body)], "file string, code string")
+    out = chunking.split_definitions(chunking.code_chunks(files, "file", "code"), "file", 15)
+    rows = sorted(out.collect(), key=lambda r: r["start_line"])
+    assert [(r["kind"], r["name"], r["parent"]) for r in rows[:4]] == [("import", "", None), ("class", "Box", None), ("method", "area", "Box"), ("method", "run", "Box")]
+    assert {(r["kind"], r["name"]) for r in rows[4:]} == {("def_partial", "long")} and len(rows) > 6
+    assert "\n".join(r["content"] for r in rows) == body
+
+
 def test_enclosing_range(spark):
     occ = spark.createDataFrame([("d", 1, 5), ("d", 2, 50), ("e", 3, 5)], "doc string, occ long, line long")
     ranges = spark.createDataFrame([("d", "outer", 0, 20), ("d", "inner", 4, 6), ("d", "other", 30, 40)], "doc string, symbol string, begin long, end long")
