@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -22,11 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="kvasir-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    """One folder a process; the setting itself can't be changed in a running session."""
+    return "file://" + tempfile.mkdtemp(prefix="kvasir-")
+
+
 class Stage:
     """Intermediate tables written to the shared folder: they cut lineage and survive lost executors."""
 
