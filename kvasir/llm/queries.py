@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm import embedding_dedup, exact_dedup, language, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
+from kvasir.llm import ball_kmeans, embedding_dedup, exact_dedup, language, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
 from kvasir.llm.common import documents
 
 
@@ -69,8 +69,12 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(documents(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op8_hnsw_near_dedup, op9_minmax_near_dedup, op10_language_spans)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op8_hnsw_near_dedup, op9_minmax_near_dedup, op10_language_spans, op11_ball_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -80,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_hnsw_near_dedup": embedding_dedup.ORACLE_SQL,
         "op9_minmax_near_dedup": minhash.ORACLE_SQL,
+        "op11_ball_kmeans": ball_kmeans.ORACLE_SQL,
     }
