@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvasir.llm import ball_kmeans, embedding_dedup, exact_dedup, language, line_dedup, minhash, packing, pieces, pii, secrets, token_counts
+from kvasir.llm import ball_kmeans, embedding_dedup, exact_dedup, language, line_dedup, minhash, packing, pieces, pii, quality, secrets, spelling, token_counts
 from kvasir.llm.common import documents
 
 
@@ -73,8 +73,18 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.ball_kmeans(documents(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = quality.score(docs, quality.fit_on_fold(docs, documents(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op8_hnsw_near_dedup, op9_minmax_near_dedup, op10_language_spans, op11_ball_kmeans)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_piece_codec, op3_length_buckets, op4_secret_ownership, op5_token_counts, op6_line_runs, op7_exact_dedup, op8_hnsw_near_dedup, op9_minmax_near_dedup, op10_language_spans, op11_ball_kmeans, op12_quality, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -85,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_hnsw_near_dedup": embedding_dedup.ORACLE_SQL,
         "op9_minmax_near_dedup": minhash.ORACLE_SQL,
         "op11_ball_kmeans": ball_kmeans.ORACLE_SQL,
+        "op13_spelling_variants": spelling.ORACLE_SQL,
     }
