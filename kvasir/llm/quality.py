@@ -7,9 +7,10 @@ the two classes scores it. A vector meets a score only through its product with
 average are averages of products, so a prediction adds up one number a feature.
 
 ``fit`` learns from a bounded sample: of each class at most ``per_class`` labelled rows, the first of each of 64 salts
-by a hash of their ids, whole texts. Their features are written once; each epoch, every shard of the sample runs
+by a hash of their ids, whole texts. In each of ``turns`` jobs every shard of the sample runs ``epochs`` passes of
 numpy's stochastic gradient descent, a document at a time, from the common vectors, and the shards' vectors are
-averaged by the documents they saw. Shards and their order come from hashes of ids, so a fit is repeatable.
+averaged by the documents they saw. A shard's features are held in its task, at most 2^bits slots a document. Shards
+and their order come from hashes of ids, so a fit is repeatable.
 
 Defined cases: null and empty texts have no feature and score as the softmax of the bias; labels other than 0 and 1,
 and null ones, are not learned from; a document with both labels teaches both; without labelled rows every score is
@@ -104,7 +105,8 @@ def features(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
         pair = pairs[pair_end[i - 1] if i else 0 : pair_end[i]]
         slot, at = np.unique(np.concatenate((own, pair)), return_inverse=True)
         weight = np.concatenate((np.repeat(times, count[used]) if len(used) else np.zeros(0), np.ones(len(pair))))
-        out.append((slot, np.bincount(at, weights=weight, minlength=len(slot))))
+        n = np.bincount(at, weights=weight, minlength=len(slot)).astype(np.int64)
+        out.append((slot.astype(np.int32), n.astype(np.min_scalar_type(int(n.max())) if len(n) else np.uint8)))
     return out
 
 
@@ -171,7 +173,7 @@ def _sampled(labelled: DataFrame, per_class: int) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, epochs: int = 10, shards: int = 8,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, turns: int = 3, epochs: int = 4, shards: int = 8,
     rate: float = 0.5, bits: int = 17, size: int = 8, seed: int = 12,
 ) -> QualityModel:
     """A model of the labelled documents; which rows it may learn from is the caller's to choose."""
@@ -181,33 +183,28 @@ def fit(
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("wanted"))
     # Labels may name documents that the caller has taken out, which mustn't use up the sample.
     chosen = stage.table(_sampled(labelled.join(rows.select("id").distinct(), "id", "left_semi"), per_class))
-    sample = rows.join(F.broadcast(chosen), "id")  # at most 2 * per_class ids
     shard = F.pmod(F.xxhash64("id", F.lit("quality shard")), F.lit(shards)).cast("int")
+    sample = rows.join(F.broadcast(chosen), "id")  # at most 2 * per_class ids
+    sample = stage.table(sample.select(shard.alias("shard"), F.xxhash64("id", "text", F.lit("quality order")).alias("draw"), "wanted", "text"))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(3)):
-                got = features(batch.column(3).slice(a, b - a), bits)
-                kept = [c.slice(a, b - a) for c in batch.columns[:3]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([s.astype(np.int32) for s, _ in got], pa.list_(pa.int32())), pa.array([n.astype(np.float32) for _, n in got], pa.list_(pa.float32()))], names=["shard", "draw", "wanted", "slots", "times"])
-
-    told = sample.select(shard.alias("shard"), F.xxhash64("id", "text", F.lit("quality order")).alias("draw"), "wanted", "text")
-    told = stage.table(told.mapInArrow(counted, "shard int, draw long, wanted int, slots array<int>, times array<float>"))
-
-    def pass_of(epoch: int):
+    def pass_of(turn: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["draw", "wanted"])
+            pdf, number = pdf.sort_values(["draw", "wanted"]), int(pdf["shard"].iloc[0])
+            texts = pa.array(pdf["text"], pa.string())
+            docs = [f for a, b in slices(texts) for f in features(texts.slice(a, b - a), bits)]
+            docs = [(slot, n, int(y)) for (slot, n), y in zip(docs, pdf["wanted"], strict=True)]
             mine = QualityModel(bits, size, seed)
-            mine.vectors, mine.output, mine.bias = model_now[0].copy(), model_now[1].copy(), model_now[2].copy()
-            seen = [(np.asarray(s, np.int64), np.asarray(n, np.float64), int(y)) for s, n, y in zip(pdf["slots"], pdf["times"], pdf["wanted"], strict=True)]
-            mine.learn(seen, rate * (1 - epoch / epochs), np.random.default_rng((seed, epoch, int(pdf["shard"].iloc[0]))))
-            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [len(seen)], "vectors": [mine.vectors.tobytes()], "output": [np.vstack((mine.output, mine.bias)).tobytes()]})
+            mine.vectors, mine.output, mine.bias = now[0].copy(), now[1].copy(), now[2].copy()
+            rng = np.random.default_rng((seed, turn, number))
+            for epoch in range(epochs):
+                mine.learn(docs, rate * (1 - (turn * epochs + epoch) / (turns * epochs)), rng)
+            return pd.DataFrame({"shard": [number], "n": [len(docs)], "vectors": [mine.vectors.tobytes()], "output": [np.vstack((mine.output, mine.bias)).tobytes()]})
 
-        model_now = (model.vectors, model.output, model.bias)
+        now = (model.vectors, model.output, model.bias)
         return run
 
-    for epoch in range(epochs):
-        got = told.groupBy("shard").applyInPandas(pass_of(epoch), "shard int, n long, vectors binary, output binary").collect()  # one model a shard
+    for turn in range(turns):
+        got = sample.groupBy("shard").applyInPandas(pass_of(turn), "shard int, n long, vectors binary, output binary").collect()  # one model a shard
         if not got:
             break
         got.sort(key=lambda r: r["shard"])

@@ -91,14 +91,14 @@ def test_defined_cases(spark):
     odd = [(100, None), (101, ""), (None, "fine text"), (1, "fine text of words 1"), (102, "word " * 50_000)]
     labels = [(i, i % 2) for i in range(60)] + [(3, 1), (4, 1), (5, None), (6, 7), (None, 1), (999, 0)]
     d, lab = table(spark, docs + odd, "doc_id long, text string"), table(spark, labels, "doc_id long, quality int")
-    model = Q.fit(d, lab, bits=12, epochs=8, shards=2)
+    model = Q.fit(d, lab, bits=12, turns=2, shards=2)
     out = Q.score(d, model).collect()
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(i for i, _ in docs + odd if i is not None) and len(out) == 65
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     by = {r.doc_id: r for r in out}
     assert by[100].score == by[101].score
     assert sum(by[i].predicted == i % 2 for i in range(60)) >= 58
-    again = Q.fit(d.repartition(5), lab.repartition(3), bits=12, epochs=8, shards=2)
+    again = Q.fit(d.repartition(5), lab.repartition(3), bits=12, turns=2, shards=2)
     assert np.allclose(again.vectors, model.vectors) and np.allclose(again.bias, model.bias)
 
 
