@@ -9,7 +9,7 @@ average are averages of products, so a prediction adds up one number a feature.
 ``fit`` learns from a bounded sample: of each class at most ``per_class`` labelled rows, the first of each of 64 salts
 by a hash of their ids, whole texts. In each of ``turns`` jobs every shard of the sample runs ``epochs`` passes of
 numpy's stochastic gradient descent, a document at a time, from the common vectors, and the shards' vectors are
-averaged by the documents they saw. A shard's features are held in its task, at most 2^bits slots a document. Shards
+averaged by the documents they saw; the driver gets that one model. A shard's features are held in its task, at most 2^bits slots a document. Shards
 and their order come from hashes of ids, so a fit is repeatable.
 
 Defined cases: null and empty texts have no feature and score as the softmax of the bias; labels other than 0 and 1,
@@ -113,7 +113,7 @@ def features(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
 class QualityModel:
     """``vectors``: slots x size; ``output``: size x 2; ``bias``: 2."""
 
-    def __init__(self, bits: int = 17, size: int = 8, seed: int = 12):
+    def __init__(self, bits: int = 16, size: int = 8, seed: int = 12):
         self.bits = bits
         self.vectors = np.random.default_rng(seed).uniform(-1 / size, 1 / size, (1 << bits, size)).astype(np.float32)
         self.output, self.bias = np.zeros((size, 2)), np.zeros(2)
@@ -174,7 +174,7 @@ def _sampled(labelled: DataFrame, per_class: int) -> DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, turns: int = 3, epochs: int = 4, shards: int = 8,
-    rate: float = 0.5, bits: int = 17, size: int = 8, seed: int = 12,
+    rate: float = 0.5, bits: int = 16, size: int = 8, seed: int = 12,
 ) -> QualityModel:
     """A model of the labelled documents; which rows it may learn from is the caller's to choose."""
     model = QualityModel(bits, size, seed)
@@ -203,14 +203,20 @@ def fit(
         now = (model.vectors, model.output, model.bias)
         return run
 
+    def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        share = pdf["n"] / pdf["n"].sum()
+        vectors = sum(np.frombuffer(v, np.float32) * np.float32(n) for v, n in zip(pdf["vectors"], share, strict=True))
+        output = sum(np.frombuffer(o) * n for o, n in zip(pdf["output"], share, strict=True))
+        return pd.DataFrame({"vectors": [vectors.tobytes()], "output": [output.tobytes()]})
+
     for turn in range(turns):
-        got = sample.groupBy("shard").applyInPandas(pass_of(turn), "shard int, n long, vectors binary, output binary").collect()  # one model a shard
-        if not got:
+        trained = sample.groupBy("shard").applyInPandas(pass_of(turn), "shard int, n long, vectors binary, output binary")
+        got = trained.groupBy(F.lit(0)).applyInPandas(averaged, "vectors binary, output binary").first()  # of one model a shard
+        if got is None:
             break
-        got.sort(key=lambda r: r["shard"])
-        n = sum(r["n"] for r in got)
-        model.vectors = sum(np.frombuffer(r["vectors"], np.float32).reshape(1 << bits, size) * np.float32(r["n"] / n) for r in got)
-        last = sum(np.frombuffer(r["output"]).reshape(size + 1, 2) * (r["n"] / n) for r in got)
+        model.vectors = np.frombuffer(got["vectors"], np.float32).reshape(1 << bits, size)
+        last = np.frombuffer(got["output"]).reshape(size + 1, 2)
         model.output, model.bias = last[:-1], last[-1]
     return model
 
