@@ -212,7 +212,7 @@ def fit(
 
     for turn in range(turns):
         trained = sample.groupBy("shard").applyInPandas(pass_of(turn), "shard int, n long, vectors binary, output binary")
-        got = trained.groupBy(F.lit(0)).applyInPandas(averaged, "vectors binary, output binary").first()  # of one model a shard
+        got = trained.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(averaged, "vectors binary, output binary").first()  # of one model a shard
         if got is None:
             break
         model.vectors = np.frombuffer(got["vectors"], np.float32).reshape(1 << bits, size)
