@@ -220,12 +220,42 @@ def code_graph(chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return nodes, calls.union(heritage("extends", "extends")).union(heritage("implements", "implements")).union(imports).distinct()
 
 
+def dyadic(begin: Column, end: Column) -> Column:
+    """array of (power, place): the pieces [place << power, (place + 1) << power) that make up begin..end, 0 <= begin <= end.
+
+    At most two a power, found by halving both ends.
+    """
+    odd = lambda c: c.bitwiseAND(1) == 1
+    piece = lambda here, k, at: F.when(here, F.array(F.struct(k.alias("power"), at.alias("place")))).otherwise(F.array().cast(PIECES))
+
+    def step(s, k):
+        on = s["l"] < s["r"]
+        out = F.concat(s["out"], piece(on & odd(s["l"]), k, s["l"]), piece(on & odd(s["r"]), k, s["r"] - 1))
+        return F.struct(F.shiftright(s["l"] + s["l"].bitwiseAND(1), 1).alias("l"), F.shiftright(s["r"] - s["r"].bitwiseAND(1), 1).alias("r"), out.alias("out"))
+
+    start = F.struct(begin.cast("long").alias("l"), (end.cast("long") + 1).alias("r"), F.array().cast(PIECES).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(POWERS)), start, step, lambda s: s["out"])
+
+
+#: Lines are below two to this power.
+POWERS = 40
+PIECES = "array<struct<power:int,place:bigint>>"
+
+
 def innermost(occurrences: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Occurrences (doc, occ, line) with the narrowest range (doc, symbol, begin, end) around them.
+    """Occurrences (doc, occ, line) with the narrowest range (doc, symbol, begin, end) around them, ties to the first symbol.
 
-    A containment join: equal documents, then the range condition; of an occurrence's ranges the narrowest,
-    ties to the first symbol.
+    A range is cut at whole powers of two into at most two pieces a power, and a line lies in one piece's place at each
+    power; so they meet by equal places, a power at a time, and never all ranges of a document. Of the ranges in one
+    place the narrowest is kept before they meet. Null lines, and ranges without an end, have no partner; a range may
+    be given twice; a line is a whole number from 0.
     """
-    both = occurrences.join(ranges, "doc").where("line >= begin AND line <= end")
-    k = F.row_number().over(Window.partitionBy("doc", "occ").orderBy(F.col("end") - F.col("begin"), "symbol"))
-    return both.withColumn("k", k).where("k = 1").select("doc", "occ", "line", "symbol")
+    ends = ranges.where("begin <= end").select("doc", "symbol", F.greatest(F.col("begin"), F.lit(0)).cast("long").alias("begin"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("begin")).alias("width")).where("begin <= end")
+    best = F.min(F.struct("width", "symbol")).alias("best")
+    pieces = ends.select("doc", "width", "symbol", F.explode(dyadic(F.col("begin"), F.col("end"))).alias("p")).groupBy("doc", "p.power", "p.place").agg(best)
+    # A line's places at the powers that its document's pieces have.
+    used = pieces.select("doc", "power").distinct()
+    lines = occurrences.where("line >= 0").select("doc", F.col("line").cast("long").alias("line")).distinct()
+    asked = lines.join(used, "doc").withColumn("place", F.expr("shiftright(line, power)"))
+    found = asked.join(pieces, ["doc", "power", "place"]).groupBy("doc", "line").agg(F.min("best").alias("best"))
+    return occurrences.join(found.select("doc", F.col("line").alias("at"), "best.symbol"), "doc").where("line = at").select("doc", "occ", "line", "symbol")

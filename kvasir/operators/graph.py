@@ -1,7 +1,7 @@
 """Graph traversals, components, modularity, communities and searches over edge tables.
 
 Traversals advance a frontier by one join a level and keep each node's least depth; what was visited leaves
-by an anti join. Levels are written to the checkpoint folder, so lineage doesn't grow and lost executors
+by an anti join. Levels are written to the shared folder, so lineage doesn't grow and lost executors
 cost nothing but a reread.
 """
 
@@ -12,15 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvasir.session import shared_dir
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The table, cut from its lineage in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+from kvasir.session import staged
 
 
 def directed(edges: DataFrame, direction: str, source: str = "from_node", target: str = "to_node") -> DataFrame:
@@ -31,10 +23,10 @@ def directed(edges: DataFrame, direction: str, source: str = "from_node", target
 
 def bfs(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, id, depth): nodes within ``depth`` steps (x, y) of each start (id), with their least depth."""
-    seen = frontier = checkpointed(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")))
+    seen = frontier = staged(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")))
     for d in range(1, depth + 1):
         near = frontier.join(steps, F.col("id") == F.col("x")).select("start", F.col("y").alias("id")).distinct()
-        frontier = checkpointed(near.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        frontier = staged(near.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.union(frontier)
     return seen
 
@@ -46,11 +38,11 @@ def incident(seen: DataFrame, steps: DataFrame) -> DataFrame:
 
 def shortest_paths(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, id, depth, path): one shortest outgoing path to each node, the least as a joined string."""
-    seen = frontier = checkpointed(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.col("id").alias("path")))
+    seen = frontier = staged(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.col("id").alias("path")))
     for d in range(1, depth + 1):
         near = frontier.join(steps, F.col("id") == F.col("x")).select("start", F.col("y").alias("id"), F.concat_ws(">", "path", "y").alias("path"))
         near = near.join(seen.select("start", "id"), ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min("path").alias("path"))
-        frontier = checkpointed(near.select("start", "id", F.lit(d).alias("depth"), "path"))
+        frontier = staged(near.select("start", "id", F.lit(d).alias("depth"), "path"))
         seen = seen.union(frontier)
     return seen
 
@@ -67,13 +59,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round every node takes the least label of its neighbours and then its label's label, so labels
     travel twice as far each time.
     """
-    both = checkpointed(edges.select("x", "y").union(edges.select("y", "x")).distinct())
-    label = checkpointed(nodes.select("id", F.col("id").alias("component")))
+    both = staged(edges.select("x", "y").union(edges.select("y", "x")).distinct())
+    label = staged(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(label.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
-        step = checkpointed(label.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("next")))
+        step = staged(label.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("next")))
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = checkpointed(step.join(jump, "next", "left").select("id", "component", F.least("next", "far").alias("next")))
+        new = staged(step.join(jump, "next", "left").select("id", "component", F.least("next", "far").alias("next")))
         if new.where("component <> next").isEmpty():
             return label
         label = new.select("id", F.col("next").alias("component"))
@@ -95,41 +87,144 @@ def modularity(adj: DataFrame, community: DataFrame, resolution: float = 1.0) ->
     return per.crossJoin(total).agg(F.sum(part).alias("modularity"))  # one row
 
 
-def communities(adj: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """(id, community): local moving in parallel. In each round, every other node (by a hash of the round and
-    the node, so that neighbours seldom move together) joins the neighbouring community with the greatest gain
-    of modularity, ties to the least label. Deterministic. Ends early when no node moves.
+#: A move must raise the modularity by more than this; a round that raises it by less than LEAST_RISE is its level's last.
+LEAST_GAIN, LEAST_RISE = 1e-9, 5e-4
+
+
+def _options(edges: DataFrame, label: DataFrame, total: float, resolution: float) -> DataFrame:
+    """Of each node (id, k, community) its links into its own community, the best community by gain, and what going there gains."""
+    size = label.groupBy("community").agg(F.sum("k").alias("size"))
+    near = edges.join(label.select(F.col("id").alias("neighbour"), "community"), "neighbour").select("id", "community", "weight")
+    own = label.select("id", "community", F.lit(0.0).alias("weight"))
+    linked = near.union(own).groupBy("id", "community").agg(F.sum("weight").alias("w"))
+    rows = linked.join(label.select("id", "k", F.col("community").alias("now")), "id").join(size, "community")
+    same = F.col("community") == F.col("now")
+    gain = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(same, F.col("k")).otherwise(0.0)) / total
+    # Rounded, so that sums taken in another order choose alike.
+    rows = rows.withColumn("gain", F.round(gain / total, 12)).withColumn("same", same)
+    best = F.min(F.struct((-F.col("gain")).alias("loss"), (~F.col("same")).alias("away"), F.col("community").alias("to")))
+    out = rows.groupBy("id").agg(F.max("k").alias("k"), F.max("now").alias("community"), best.alias("best"), F.max(F.when(F.col("same"), F.col("gain"))).alias("stay"), F.max(F.when(F.col("same"), F.col("w"))).alias("inside"))
+    return out.select("id", "k", "community", "inside", F.col("best.to").alias("to"), (-F.col("best.loss") - F.col("stay")).alias("more"))
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves (id, community, to, more) of which no two touch one community, the greatest first: their gains add up."""
+    touched = moves.select(F.explode(F.array("community", "to")).alias("c"), "id", "more")
+    first = touched.groupBy("c").agg(F.min(F.struct((-F.col("more")).alias("less"), F.col("id").alias("id"))).alias("f")).select("c", F.col("f.id").alias("id"))
+    free = first.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("id")
+    return moves.join(free, "id", "left_semi")
+
+
+def _moved(edges: DataFrame, label: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(id, k, community) after local moving, in parallel, until no node gains, or only so little that the next level may do it.
+
+    In a round a share of the nodes (by a hash of the round and the node, at first a half, so that neighbours seldom
+    move together) go to their best communities. A round that doesn't raise the modularity is taken back and the share
+    halved; one that does doubles it again. Where the share holds hardly a node, those moves are made that touch no
+    community twice, which raises it for certain; so moving ends.
     """
-    adj = checkpointed(adj)
-    degree = checkpointed(adj.groupBy("id").agg(F.sum("weight").alias("k")))
-    total = adj.agg(F.sum("weight")).first()[0] or 1.0
-    label = checkpointed(degree.select("id", "k", F.col("id").alias("community")))
-    quiet = 0
-    for step in range(rounds):
-        size = label.groupBy("community").agg(F.sum("k").alias("size"))
-        near = adj.join(label.select(F.col("id").alias("neighbour"), "community"), "neighbour").groupBy("id", "community").agg(F.sum("weight").alias("w"))
-        mine = label.select("id", "k", F.col("community").alias("now"))
-        options = near.join(mine, "id").join(size, "community")
-        rest = F.col("size") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
-        options = options.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)).where("gain > 0 OR community = now")
-        first = Window.partitionBy("id").orderBy(F.desc("gain"), (F.col("community") != F.col("now")).cast("int"), "community")
-        best = options.withColumn("n", F.row_number().over(first)).where("n = 1").select("id", F.col("community").alias("best"))
-        turn = F.pmod(F.xxhash64("id", F.lit(step // 2)), F.lit(2)) == step % 2
-        new = checkpointed(label.join(best, "id", "left").select("id", "k", "community", F.when(turn, F.coalesce("best", "community")).otherwise(F.col("community")).alias("next")))
-        quiet = quiet + 1 if new.where("community <> next").isEmpty() else 0
-        label = new.select("id", "k", F.col("next").alias("community"))
-        if quiet == 2:
+    best, step, bits, apart = None, 0, 1, False
+    while True:
+        state = staged(_options(edges, label, total, resolution))
+        sizes = state.groupBy("community").agg(F.sum("k").alias("size"), F.sum("inside").alias("inside"), F.sum((F.col("more") > LEAST_GAIN).cast("int")).alias("moves"))
+        got = sizes.agg(F.sum("inside").alias("inside"), F.sum("moves").alias("moves"), F.sum(F.pow(F.col("size") / total, 2)).alias("squares")).first()
+        quality, moving = (got["inside"] or 0.0) / total - resolution * (got["squares"] or 0.0), got["moves"]
+        rise = 1.0 if best is None else quality - best[0]
+        if rise <= 1e-12 and not apart:
+            (quality, state, moving), bits = best, bits + 1
+        elif not moving or rise < LEAST_RISE:
+            return state.select("id", "k", "community")
+        else:
+            bits = max(1, bits - 1)
+        best, apart = (quality, state, moving), moving < 2 << bits
+        moves = state.where(F.col("more") > LEAST_GAIN).select("id", "community", "to", "more")
+        moves = _apart(moves) if apart else moves.where(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << bits)) == 0)
+        label = state.select("id", "k", "community").join(moves.select("id", "to"), "id", "left").select("id", "k", F.coalesce("to", "community").alias("community"))
+        step += 1
+
+
+def _refined(edges: DataFrame, label: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(id, k, community, part): each community's nodes, from single ones merged into well-connected parts.
+
+    Only single nodes join, and only parts that stay where they are, so each part is connected. A node must be well
+    linked to its community and its part must be, and joining must not lower the modularity. A single node goes to the
+    part it gains most by; to another single node only if a hash puts it first of the two and the other doesn't go
+    itself. Rounds go on while any node could join.
+    """
+    here = label.select("id", "k", "community")
+    other = label.select(F.col("id").alias("neighbour"), F.col("community").alias("c2"))
+    own = staged(edges.join(label.select("id", "community"), "id").join(other, "neighbour").where("community = c2").select("id", "neighbour", "weight"))
+    whole = here.groupBy("community").agg(F.sum("k").alias("all"))
+    links = own.groupBy("id").agg(F.sum("weight").alias("w"))
+    enough = lambda w, k: w >= resolution * k * (F.col("all") - k) / total
+    nodes = here.join(whole, "community").join(links, "id", "left").withColumn("well", enough(F.coalesce("w", F.lit(0.0)), F.col("k"))).select("id", "k", "community", "all", "well", F.col("id").alias("part"))
+    step = 0
+    while True:
+        nodes = staged(nodes)
+        near = own.join(nodes.select(F.col("id").alias("neighbour"), F.col("part").alias("to")), "neighbour").groupBy("id", "to").agg(F.sum("weight").alias("w"))
+        met = staged(near.join(nodes.select("id", "part", "k", "well"), "id"))
+        cut = met.where("part <> to").groupBy(F.col("part").alias("to")).agg(F.sum("w").alias("out"))
+        parts = nodes.groupBy(F.col("part").alias("to")).agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("n"), F.max("all").alias("all"))
+        parts = parts.join(cut, "to", "left").withColumn("whole", enough(F.coalesce("out", F.lit(0.0)), F.col("size"))).select("to", "size", "n", "whole")
+        single = parts.where("n = 1").select(F.col("to").alias("part"))
+        can = met.where("part <> to AND well").join(single, "part", "left_semi").join(parts.where("whole"), "to")
+        can = can.withColumn("gain", F.round((F.col("w") - resolution * F.col("k") * F.col("size") / total) / total, 12)).where("gain >= 0")
+        best = F.min(F.struct((-F.col("gain")).alias("less"), F.col("to").alias("to"), F.col("n").alias("n"))).alias("b")
+        wish = staged(can.groupBy("id").agg(best).select("id", "b.to", (F.col("b.n") > 1).alias("held")))
+        if wish.isEmpty():
+            return nodes.select("id", "k", "community", "part")
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(step)), c)  # noqa: B023, E731
+        goes = wish.where(F.col("held") | (order("id") > order("to")))
+        best = goes.where("held").select("id", "to").union(goes.where("NOT held").join(goes.select(F.col("id").alias("to")), "to", "left_anti").select("id", "to"))
+        nodes = nodes.join(best, "id", "left").select("id", "k", "community", "all", "well", F.coalesce("to", "part").alias("part"))
+        step += 1
+
+
+def communities(adj: DataFrame, resolution: float = 1.0, degrees: DataFrame | None = None) -> DataFrame:
+    """(id, community): Leiden's method on a symmetric (id, neighbour, weight), each community named after its least id.
+
+    Local moving, refinement into connected parts, and aggregation of the parts to the nodes of the next, smaller
+    graph, until every community is one node there. A community is then connected; were one not refined, its
+    connected components are taken apart. Deterministic. ``degrees`` (id, k) gives the nodes' weights where the graph
+    is an aggregate itself.
+    """
+    edges = staged(adj.where("id <> neighbour").select("id", "neighbour", F.col("weight").cast("double").alias("weight")))
+    first = staged(edges.groupBy("id").agg(F.sum("weight").alias("k")) if degrees is None else degrees.select("id", F.col("k").cast("double").alias("k")))
+    total = first.agg(F.sum("k")).first()[0] or 1.0
+    member, label = first.select("id", F.col("id").alias("node")), first.withColumn("community", F.col("id"))
+    whole_edges = edges
+    while True:
+        label = staged(_moved(edges, label, total, resolution))
+        counts = label.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("community").alias("communities")).first()
+        if counts["nodes"] == counts["communities"]:
+            break
+        parts = staged(_refined(edges, label, total, resolution))
+        smaller = staged(parts.groupBy(F.col("part").alias("id")).agg(F.sum("k").alias("k"), F.min("community").alias("community")))
+        part = parts.select("id", "part")
+        member = staged(member.join(part.withColumnRenamed("id", "node"), "node").select("id", F.col("part").alias("node")))
+        if smaller.count() == counts["nodes"]:
             break
-    return label.select("id", "community")
+        ends = edges.join(part, "id").select(F.col("part").alias("x"), "neighbour", "weight").join(part.select(F.col("id").alias("neighbour"), F.col("part").alias("y")), "neighbour")
+        edges = staged(ends.where("x <> y").groupBy(F.col("x").alias("id"), F.col("y").alias("neighbour")).agg(F.sum("weight").alias("weight")))
+        label = smaller
+    of = staged(member.join(label.select(F.col("id").alias("node"), "community"), "node").select("id", "community"))
+    if counts["nodes"] != counts["communities"]:
+        inner = whole_edges.join(of, "id").join(of.select(F.col("id").alias("neighbour"), F.col("community").alias("c2")), "neighbour").where("community = c2")
+        of = connected_components(of.select("id"), inner.select(F.col("id").alias("x"), F.col("neighbour").alias("y"))).withColumnRenamed("component", "community")
+    least = of.groupBy("community").agg(F.min("id").alias("least"))
+    return of.join(least, "community").select("id", F.col("least").alias("community"))
 
 
 def hierarchy(adj: DataFrame, resolutions: tuple[float, ...] = (1.0, 0.5, 0.25)) -> DataFrame:
-    """(level, id, community, parent): communities at each resolution; a community's parent is the one at the
-    previous level that most of its members are in.
+    """(level, id, community, parent): communities at each resolution, those of a level made of whole ones of the level
+    before, whose communities are the nodes of its graph. A community's parent is the one at the level before that most
+    of its members are in.
     """
+    edges, degrees, member = adj, None, None
     out, before = None, None
     for level, r in enumerate(resolutions):
-        now = communities(adj, r)
+        found = staged(communities(edges, r, degrees))
+        now = found if member is None else staged(member.join(found.select(F.col("id").alias("node"), "community"), "node").select("id", "community"))
         if before is None:
             rows = now.withColumn("parent", F.lit(None).cast(now.schema["community"].dataType))
         else:
@@ -138,6 +233,11 @@ def hierarchy(adj: DataFrame, resolutions: tuple[float, ...] = (1.0, 0.5, 0.25))
             rows = now.join(best.select("community", "parent"), "community", "left").select("id", "community", "parent")
         rows = rows.select(F.lit(level).alias("level"), "id", "community", "parent")
         out, before = rows if out is None else out.union(rows), now
+        k = edges.groupBy("id").agg(F.sum("weight").cast("double").alias("k")) if degrees is None else degrees
+        degrees = staged(k.join(found, "id").groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")))
+        ends = edges.join(found, "id").join(found.select(F.col("id").alias("neighbour"), F.col("community").alias("c2")), "neighbour").where("community <> c2")
+        edges = staged(ends.groupBy(F.col("community").alias("id"), F.col("c2").alias("neighbour")).agg(F.sum("weight").alias("weight")))
+        member = now.select("id", F.col("community").alias("node"))
     return out
 
 
@@ -147,11 +247,11 @@ def local_search(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: int
     """
     strong = edges.where(F.col("strength") >= least)
     both = strong.select("x", "y", "strength").union(strong.select("y", "x", "strength"))
-    seen = frontier = checkpointed(seeds.select("id", F.lit(0).alias("depth"), F.col("score").cast("double").alias("score")))
+    seen = frontier = staged(seeds.select("id", F.lit(0).alias("depth"), F.col("score").cast("double").alias("score")))
     for d in range(1, depth + 1):
         near = frontier.join(both, F.col("id") == F.col("x")).select(F.col("y").alias("id"), (F.col("score") * (F.col("strength") / 10.0) * 0.8 ** d).alias("score"))
         near = near.groupBy("id").agg(F.max("score").alias("score")).join(seen.select("id"), "id", "left_anti")
-        frontier = checkpointed(near.select("id", F.lit(d).alias("depth"), "score"))
+        frontier = staged(near.select("id", F.lit(d).alias("depth"), "score"))
         seen = seen.union(frontier)
     return seen
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvasir.session import staged
+
 
 def lower_any(array: str | Column, wanted: list[str]) -> Column:
     """Whether any element equals one of ``wanted``, whatever the case."""
@@ -80,19 +83,6 @@ def preview(text: Column, size: int = 150) -> Column:
 # --- pair joins ----------------------------------------------------------------------------------
 
 
-def overlap_pairs(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """(a, b, shared, n_a, n_b) for keys a < b with a common item: an inverted index, never all pairs.
-
-    Items that one key has can't be shared and leave before the join.
-    """
-    rows = sets.select(F.col(key).alias("k"), F.size(F.array_distinct(items)).alias("n"), F.explode(F.array_distinct(items)).alias("item"))
-    common = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("item")
-    rows = rows.join(common, "item")
-    a = rows.select("item", F.col("k").alias("a"), F.col("n").alias("n_a"))
-    b = rows.select("item", F.col("k").alias("b"), F.col("n").alias("n_b"))
-    return a.join(b, "item").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
-
-
 def jaccard(shared: Column, n_a: Column, n_b: Column) -> Column:
     return shared / (n_a + n_b - shared)
 
@@ -107,22 +97,70 @@ def set_jaccard(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / union)
 
 
-def overlap_links(rows: DataFrame, key: str, items: str, score: Callable[[Column, Column, Column], Column], least: float) -> DataFrame:
+#: Sets of up to so many items are counted by their subsets.
+COUNTED = 10
+
+
+def _subsets(items: str) -> Column:
+    """All subsets of an array of at most COUNTED items but the empty one."""
+    masks = F.sequence(F.lit(1), F.expr(f"shiftleft(1, size({items}))") - 1)
+    return F.transform(masks, lambda mask: F.filter(items, lambda _, i: F.getbit(mask, i) == 1))
+
+
+def _links_by_counts(classes: DataFrame, score: Callable[[Column, Column, Column], Column], least: float) -> DataFrame:
+    """(class_id, n_links, best) among classes of at most COUNTED items, by inclusion and exclusion.
+
+    Each set adds to the counts of its subsets; a set's subsets then tell, for each size m, how many sets of that
+    size share exactly j items with it. Rows grow with sets times their subsets, and no two sets meet.
+    """
+    parts = classes.select("class_id", "n", F.size("items").alias("k"), F.explode(_subsets("items")).alias("part"))
+    counts = parts.groupBy("part", F.col("k").alias("m")).agg(F.sum("n").alias("c"))
+    held = parts.select("class_id", "k", "part").join(counts, "part").groupBy("class_id", "k", "m", F.size("part").alias("i")).agg(F.sum("c").alias("c"))
+    weight = lambda j: F.element_at(F.array(*[F.lit((-1) ** (i - j) * math.comb(i, j)) for i in range(1, COUNTED + 1)]), F.col("i"))
+    exact = held.groupBy("class_id", "k", "m").agg(F.array(*[F.sum(F.col("c") * weight(j)) for j in range(1, COUNTED + 1)]).alias("e"))
+    each = exact.select("class_id", "k", "m", F.posexplode("e").alias("j", "c")).withColumn("j", F.col("j") + 1)
+    itself = (F.col("j") == F.col("k")) & (F.col("m") == F.col("k"))
+    met = each.withColumn("others", F.col("c") - itself.cast("long")).withColumn("s", score(F.col("j"), F.col("k"), F.col("m"))).where("others > 0")
+    return met.where(F.col("s") >= least).groupBy("class_id").agg(F.sum("others").alias("n_links"), F.max("s").alias("best"))
+
+
+def _links_by_prefix(classes: DataFrame, score: Callable[[Column, Column, Column], Column], least: float, shared_least: Callable[[Column], Column]) -> DataFrame:
+    """(class_id, n_links, best) over pairs of which one has more than COUNTED items, by a join of the rarest items.
+
+    Two sets that share ``shared_least`` of their sizes share one of their rarest items, all less so many and one.
+    """
+    each = classes.select("class_id", "n", F.size("items").alias("k"), F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = each.join(often, "item").withColumn("pos", F.row_number().over(Window.partitionBy("class_id").orderBy("often", "item")))
+    first = ranked.where(F.col("pos") <= F.col("k") - shared_least(F.col("k")) + 1).select("class_id", "k", "item")
+    large = first.where(F.col("k") > COUNTED).select(F.col("class_id").alias("other"), "item")
+    one_way = first.join(large, "item").where(F.col("class_id") != F.col("other")).select("class_id", "other")
+    pairs = one_way.union(one_way.select("other", "class_id")).distinct()
+    own = classes.select("class_id", "items")
+    theirs = classes.select(F.col("class_id").alias("other"), F.col("items").alias("items_b"), F.col("n").alias("others"))
+    shared = pairs.join(own, "class_id").join(theirs, "other").select("class_id", "others", F.size("items").alias("k"), F.size("items_b").alias("m"), F.size(F.array_intersect("items", "items_b")).alias("j"))
+    copies = classes.where((F.size("items") > COUNTED) & (F.col("n") > 1)).select("class_id", (F.col("n") - 1).alias("others"), *[F.size("items").alias(x) for x in "kmj"])
+    met = shared.where("j > 0").union(copies).withColumn("s", score(F.col("j"), F.col("k"), F.col("m"))).where(F.col("s") >= least)
+    return met.groupBy("class_id").agg(F.sum("others").alias("n_links"), F.max("s").alias("best"))
+
+
+def overlap_links(
+    rows: DataFrame, key: str, items: str, score: Callable[[Column, Column, Column], Column], least: float, shared_least: Callable[[Column], Column] = lambda k: F.lit(1)
+) -> DataFrame:
     """(key, class_id, n_links, best): for each key the others whose items overlap with its own by ``least`` or more.
 
-    Keys with the same items are one class, named after its smallest key; only classes that share an item meet, so
-    copies cost nothing. n_links counts the other keys linked, best is the highest ``score(shared, n_a, n_b)``.
+    Keys with the same items are one class, named after its smallest key, so copies cost nothing. n_links counts the
+    other keys linked, best is the highest ``score(shared, n_a, n_b)``. Links of sets of up to COUNTED items are counted
+    without pairing sets, whatever the items' frequencies; larger sets meet by their rarest items, of which
+    ``shared_least`` (the least number of shared items by a set's size, for any partner) lets fewer suffice. Null and
+    empty sets have no links.
     """
-    own = rows.select(F.col(key), F.array_sort(F.array_distinct(items)).alias("items"))
+    own = rows.select(F.col(key), F.coalesce(F.array_sort(F.array_distinct(items)), F.array().cast("array<string>")).alias("items"))
     classes = own.groupBy("items").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("n"))
-    index = classes.select("class_id", "n", F.size("items").alias("k"), F.explode("items").alias("item"))
-    other = index.select(F.col("class_id").alias("other"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), "item")
-    shared = index.join(other, "item").groupBy("class_id", "other", "n", "n_b", "k", "k_b").agg(F.count(F.lit(1)).alias("shared"))
-    same = F.col("class_id") == F.col("other")
-    met = shared.withColumn("s", score(F.col("shared"), F.col("k"), F.col("k_b"))).withColumn("others", F.col("n_b") - same.cast("long")).where((F.col("s") >= least) & (F.col("others") > 0))
-    links = met.groupBy("class_id").agg(F.sum("others").alias("n_links"), F.max("s").alias("best"))
+    few = _links_by_counts(classes.where(F.size("items").between(1, COUNTED)), score, least)
+    links = few.union(_links_by_prefix(classes, score, least, shared_least)).groupBy("class_id").agg(F.sum("n_links").alias("n_links"), F.max("best").alias("best"))
     named = classes.select("items", "class_id").join(links, "class_id", "left")
-    return own.join(named, own["items"].eqNullSafe(named["items"])).select(key, "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "best")
+    return own.join(named, "items").select(key, "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "best")
 
 
 def band_links(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
@@ -186,17 +224,72 @@ def change_set(old: DataFrame, new: DataFrame) -> DataFrame:
 # --- strings as bigram multisets -------------------------------------------------------------------
 
 
-def bigrams(names: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, clean, size, gram, k): counts of the 2-letter parts of the name without white space."""
-    clean = F.regexp_replace(F.lower(name), r"\s+", "")
-    rows = names.select(F.col(key), clean.alias("clean")).withColumn("size", F.length("clean") - 1)
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.col("size"), F.lit(1))))
-    return rows.select(key, "clean", "size", at.alias("i")).withColumn("gram", F.expr("substring(clean, i, 2)")).where("length(gram) = 2").groupBy(key, "clean", "size", "gram").agg(F.count(F.lit(1)).alias("k"))
+def cleaned(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), r"\s+", "")
+
+
+def _grams(clean: Column) -> Column:
+    """The 2-letter parts of a string."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(clean) - 1, F.lit(1)))
+    return F.filter(F.transform(at, lambda i: F.substring(clean, i, F.lit(2))), lambda g: F.length(g) == 2)
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Dice coefficient of two names' bigrams with their multiplicities; 1 for equal names, 0 where one has no bigram."""
+    ca, cb = cleaned(a), cleaned(b)
+    ga, gb = _grams(ca), _grams(cb)
+    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+    common = F.aggregate(F.array_distinct(ga), F.lit(0), lambda t, g: t + F.least(times(ga, g), times(gb, g)))
+    n = F.size(ga) + F.size(gb)
+    return F.when(ca == cb, 1.0).when((F.size(ga) == 0) | (F.size(gb) == 0), 0.0).otherwise(2.0 * common / n)
+
 
+def gram_sets(forms: DataFrame) -> DataFrame:
+    """(clean, n, grams): each string's bigrams, those that fewest strings have first.
 
-def dice_pairs(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
-    """(a, b, dice) for all pairs with a common bigram: 2 * common / (bigrams of both)."""
-    x = bigrams(left, key, name).select(F.col(key).alias("a"), F.col("clean").alias("ca"), F.col("size").alias("na"), "gram", F.col("k").alias("ka"))
-    y = bigrams(right, key, name).select(F.col(key).alias("b"), F.col("clean").alias("cb"), F.col("size").alias("nb"), "gram", F.col("k").alias("kb"))
-    both = x.join(y, "gram").groupBy("a", "b", "ca", "cb", "na", "nb").agg(F.sum(F.least("ka", "kb")).alias("m"))
-    return both.select("a", "b", F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(2.0 * F.col("m") / (F.col("na") + F.col("nb"))).alias("dice"))
+    The i-th time a bigram occurs in a string is a bigram of its own, which makes multisets sets.
+    """
+    rows = forms.select("clean", F.explode(_grams(F.col("clean"))).alias("g")).groupBy("clean", "g").agg(F.count(F.lit(1)).alias("k"))
+    rows = rows.select("clean", F.explode(F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda i: F.concat("g", i.cast("string")))).alias("gram"))
+    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    ordered = rows.join(often, "gram").groupBy("clean").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))  # a name's
+    return ordered.select("clean", F.size("grams").alias("n"), F.transform("grams", lambda s: s["gram"]).alias("grams"))
+
+
+def dice_candidates(sets: DataFrame, least: float) -> DataFrame:
+    """(ca, cb), ca < cb: the pairs that common rare bigrams, their lengths and the bigrams' places let be similar by ``least``.
+
+    A string of n bigrams shares w = n * least / (2 - least) of them or more with any such partner, whatever its
+    length. So of the n, the rarest n - w + 1 hold one that is shared, and the rarest n - w + 2 hold two where w is 2
+    or more. From a threshold of a half on, strings meet by two bigrams, which few have together; by one only
+    where both may share no more.
+    """
+    w = F.ceil(F.col("n") * (least / (2 - least)) - 1e-9).cast("int")
+    first = lambda m: F.slice("grams", 1, F.least(F.col("n"), F.col("n") - w + m))
+    single = sets.where(w < 2) if least >= 0.5 else sets
+    keys = single.select("clean", "n", F.posexplode(first(1)).alias("pos", "key"))
+    if least >= 0.5:
+        twos = F.transform("p", lambda g, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda h, k: F.struct((i + 1 + k).alias("pos"), F.concat(g, F.lit(" "), h).alias("key"))))
+        keys = keys.union(sets.withColumn("p", first(2)).select("clean", "n", F.explode(F.flatten(twos)).alias("t")).select("clean", "n", "t.pos", "t.key"))
+    x = keys.select(F.col("clean").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), "key")
+    y = keys.select(F.col("clean").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "key")
+    wanted = F.ceil((F.col("na") + F.col("nb")) * (least / 2) - 1e-9)
+    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return x.join(y, "key").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= wanted) & (most >= wanted)).select("ca", "cb").distinct()
+
+
+def dice_join(left: DataFrame, right: DataFrame, key: str, name: str, least: float) -> DataFrame:
+    """(a, b, dice) for all pairs of keys whose names' Dice coefficient is ``least`` (over 0) or more.
+
+    Names that are equal without case and white space are compared once. Null names have no pair.
+    """
+    x = left.select(F.col(key).alias("a"), cleaned(F.col(name)).alias("ca"))
+    y = right.select(F.col(key).alias("b"), cleaned(F.col(name)).alias("cb"))
+    forms = x.select(F.col("ca").alias("clean")).union(y.select("cb")).where("clean IS NOT NULL").distinct()
+    sets = staged(gram_sets(forms))
+    mine, other = sets.select(F.col("clean").alias("ca"), F.col("n").alias("na"), F.col("grams").alias("ga")), sets.select(F.col("clean").alias("cb"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    common = F.size(F.array_intersect("ga", "gb"))
+    compared = dice_candidates(sets, least).join(mine, "ca").join(other, "cb").select("ca", "cb", (2.0 * common / (F.col("na") + F.col("nb"))).alias("dice"))
+    near = staged(compared.where(F.col("dice") >= least))
+    pairs = near.union(near.select("cb", "ca", "dice")).union(forms.select("clean", "clean", F.lit(1.0)))
+    return pairs.join(x, "ca").join(y, "cb").select("a", "b", "dice")

@@ -1,8 +1,9 @@
 """Vectors: cosine similarity, exact nearest neighbours, ranking and truncation.
 
-Nearest neighbours of a stated query set are found block by block: queries are gathered into blocks of
-bounded size, each block meets each partition of the vectors in a matrix product, and only a block's best k
-of a partition leave it. No pair table is made, whatever the number of vectors.
+Queries of up to ``QUERY_VALUES`` numbers, which is checked, travel to the tasks, and the vectors are read in place: a
+task holds the best k of each query so far and gives them once, at its end. More queries than that are gathered into
+blocks and meet the vectors' bounded groups by an equi-join, each pair of them in one matrix product. No pair table is
+made, whatever the number of vectors. ``operators/cells.py`` has the index that reads a part of the vectors only.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,65 @@ def top_k(df: DataFrame, by: list[str], k: int, *order: Column, rank: str = "ran
     return out.where(F.col(rank) <= k)
 
 
+#: Numbers in the queries that travel to every task (32 MB of doubles).
+QUERY_VALUES = 4_000_000
+#: Queries and vectors in one matrix product, and vectors of a group that meets blocks of queries.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE, GROUP = 512, 4096, 4096
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column, all of one length and without nulls, as doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def similarities(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines scaled to 0..1, of each row of x with each of y; .5 where a norm is 0."""
+    scale = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+    cos = np.divide(x @ y.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    return np.round(np.maximum(0.0, (cos + 1) / 2), 6)
+
+
+class Best:
+    """The k best (similarity, id) of each query among the vectors seen, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.bar = k, np.full(n, -1.0)
+        self.q, self.ids, self.sim = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+
+    def see(self, at: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> None:
+        """``sim``: a row for each query number of ``at``, a column for each id."""
+        bar = self.bar[at]
+        if sim.shape[1] > self.k:
+            bar = np.maximum(bar, np.partition(sim, -self.k, axis=1)[:, -self.k])
+        row, col = np.nonzero(sim >= bar[:, None])  # those below are behind k others
+        q, ids, sim = np.concatenate((self.q, at[row])), np.concatenate((self.ids, ids[col])), np.concatenate((self.sim, sim[row, col]))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -sim, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = order[place < self.k]
+        last = place == self.k - 1
+        self.bar[q[last]] = sim[order][last]
+        self.q, self.ids, self.sim = q[place < self.k], ids[kept], sim[kept]
+
+
+def small(queries: DataFrame) -> tuple[pa.Array, np.ndarray] | None:
+    """The queries' ids and vectors, if they have at most ``QUERY_VALUES`` numbers."""
+    size = queries.agg(F.sum(F.size("v").cast("long")).alias("n")).first()["n"] or 0
+    if size > QUERY_VALUES:
+        return None
+    got = queries.select("q_id", "v").toArrow().combine_chunks()
+    return pa.concat_arrays(got.column(0).chunks) if len(got) else pa.array([], got.schema.field(0).type), matrix(pa.concat_arrays(got.column(1).chunks)) if len(got) else np.zeros((0, 0))
+
+
+def _types(queries: DataFrame, vectors: DataFrame, name: str) -> str:
+    return f"q_id {queries.schema['q_id'].dataType.simpleString()}, {name} {vectors.schema[name].dataType.simpleString()}, similarity double"
+
+
+def _parts(n: int, size: int) -> Iterator[slice]:
+    return (slice(a, a + size) for a in range(0, n, size))
+
+
 def _blocks(queries: DataFrame, block: int) -> DataFrame:
     """(q: array of (q_id, v)): the stated queries in blocks of about ``block``."""
     share = F.pmod(F.xxhash64("q_id"), F.lit(1 << 20)) / F.lit(1 << 20)
@@ -51,51 +112,77 @@ def _blocks(queries: DataFrame, block: int) -> DataFrame:
     return numbered.groupBy("block").agg(F.collect_list(F.struct(F.col("q_id"), F.col("v"))).alias("q"))
 
 
-def _similarities(q: list, part: list) -> np.ndarray:
-    x, y = (np.array([r["v"] for r in rows], dtype=np.float64) for rows in (q, part))
-    scale = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
-    cos = np.divide(x @ y.T, scale, out=np.zeros_like(scale), where=scale > 0)
-    return np.round(np.maximum(0.0, (cos + 1) / 2), 6)
+def _met(queries: DataFrame, vectors: DataFrame, block: int, parts: int = 64) -> DataFrame:
+    """Every block of queries with every bounded group of vectors, which they reach over ``parts`` keys."""
+    row = F.monotonically_increasing_id()
+    grouped = vectors.withColumn("g", F.floor(row / GROUP)).groupBy("g").agg(F.collect_list(F.struct(*vectors.columns)).alias("vs"))
+    grouped = grouped.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)))
+    spread = _blocks(queries, block).select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    return grouped.join(spread, "part").select("q", "vs")
 
 
-def _met(queries: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
-    """Every block of queries with every bounded group of vectors."""
-    others = [c for c in vectors.columns]
-    grouped = vectors.withColumn("g", F.floor(F.monotonically_increasing_id() / 4096)).groupBy("g").agg(F.collect_list(F.struct(*others)).alias("vs"))
-    return grouped.crossJoin(_blocks(queries, block).select("q")).select("q", "vs")
+def _rows(rows: list, field: str) -> np.ndarray:
+    return np.array([r[field] for r in rows], dtype=np.float64)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """(q_id, id, similarity, rank): the k vectors (id, v) nearest to each query (q_id, v), ties by id."""
-    q_type, id_type = queries.schema["q_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERIES_AT_ONCE) -> DataFrame:
+    """(q_id, id, similarity, rank): the k vectors (id, v) nearest to each query (q_id, v), ties by id.
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null vectors and queries are left out; vectors of different lengths are an error.
+    """
+    queries, vectors = queries.where("v IS NOT NULL"), vectors.where("v IS NOT NULL").select("id", "v")
+    kind, own = _types(queries, vectors, "id"), small(queries)
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, x = own
+        best = Best(len(q_ids), k)
+        for batch in batches:
+            for a in range(0, batch.num_rows, VECTORS_AT_ONCE):
+                part = batch.slice(a, VECTORS_AT_ONCE)
+                ids, y = np.array(part.column(0).to_pylist(), dtype=object), matrix(part.column(1))
+                for s in _parts(len(x), QUERIES_AT_ONCE):
+                    best.see(np.arange(len(x))[s], ids, similarities(x[s], y))
+                kind_of = part.column(0).type
+        if len(best.q):
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(best.q)), pa.array(best.ids.tolist(), kind_of), pa.array(best.sim)], names=["q_id", "id", "similarity"])
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for q, part in zip(pdf["q"], pdf["vs"], strict=True):
-                ids, sim = np.array([r["id"] for r in part], dtype=object), _similarities(q, part)
-                n = min(k, len(ids))
-                rank = np.argsort(ids, kind="stable")
-                top = rank[np.argsort(-sim[:, rank], axis=1, kind="stable")[:, :n]]
-                yield pd.DataFrame({"q_id": np.repeat([r["q_id"] for r in q], n), "id": ids[top].ravel(), "similarity": np.take_along_axis(sim, top, axis=1).ravel()})
+                best = Best(len(q), k)
+                best.see(np.arange(len(q)), np.array([r["id"] for r in part], dtype=object), similarities(_rows(q, "v"), _rows(part, "v")))
+                yield pd.DataFrame({"q_id": np.array([r["q_id"] for r in q], dtype=object)[best.q], "id": best.ids, "similarity": best.sim})
 
-    found = _met(queries, vectors.select("id", "v"), block).mapInPandas(best, f"q_id {q_type}, id {id_type}, similarity double")
+    found = vectors.mapInArrow(in_place, kind) if own is not None else _met(queries, vectors, block).mapInPandas(met, kind)
     return top_k(found, ["q_id"], k, F.desc("similarity"), F.asc("id"))
 
 
-def best_of_group(queries: DataFrame, vectors: DataFrame, block: int = 512) -> DataFrame:
+def best_of_group(queries: DataFrame, vectors: DataFrame, block: int = QUERIES_AT_ONCE) -> DataFrame:
     """(q_id, grp, similarity): for each query the best similarity in each group of the vectors (grp, v).
 
-    A block's groups leave a task as their maxima, so rows are bounded by queries times groups.
+    A task's groups leave it as their maxima, so rows are bounded by tasks times queries times groups.
     """
-    q_type, g_type = queries.schema["q_id"].dataType.simpleString(), vectors.schema["grp"].dataType.simpleString()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    queries, vectors = queries.where("v IS NOT NULL"), vectors.where("v IS NOT NULL AND grp IS NOT NULL").select("grp", "v")
+    kind, own = _types(queries, vectors, "grp"), small(queries)
+
+    def maxima(q_ids: np.ndarray, x: np.ndarray, grp: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        groups, at = np.unique(grp, return_inverse=True)
+        top = np.zeros((len(x), len(groups)))
+        np.maximum.at(top.T, at, similarities(x, y).T)
+        return pd.DataFrame({"q_id": np.repeat(q_ids, len(groups)), "grp": np.tile(groups, len(x)), "similarity": top.ravel()})
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, x = own
+        for batch in batches:
+            grp, y = np.array(batch.column(0).to_pylist(), dtype=object), matrix(batch.column(1))
+            for s in _parts(len(x) if len(grp) else 0, QUERIES_AT_ONCE):
+                top = maxima(np.arange(len(x))[s], x[s], grp, y)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(top["q_id"])), pa.array(top["grp"].tolist(), batch.column(0).type), pa.array(top["similarity"])], names=["q_id", "grp", "similarity"])
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for q, part in zip(pdf["q"], pdf["vs"], strict=True):
-                groups, at = np.unique(np.array([r["grp"] for r in part]), return_inverse=True)
-                top = np.zeros((len(q), len(groups)))
-                np.maximum.at(top.T, at, _similarities(q, part).T)
-                yield pd.DataFrame({"q_id": np.repeat([r["q_id"] for r in q], len(groups)), "grp": np.tile(groups, len(q)), "similarity": top.ravel()})
+                yield maxima(np.array([r["q_id"] for r in q], dtype=object), _rows(q, "v"), np.array([r["grp"] for r in part], dtype=object), _rows(part, "v"))
 
-    found = _met(queries, vectors.select("grp", "v"), block).mapInPandas(best, f"q_id {q_type}, grp {g_type}, similarity double")
+    found = vectors.mapInArrow(in_place, kind) if own is not None else _met(queries, vectors, block).mapInPandas(met, kind)
     return found.groupBy("q_id", "grp").agg(F.max("similarity").alias("similarity"))

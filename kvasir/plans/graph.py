@@ -11,6 +11,7 @@ from kvasir.operators import vectors as v
 from kvasir.plans.registry import query
 from kvasir.plans.relational import more
 from kvasir.plans.scoring import r6
+from kvasir.session import staged
 from kvasir.sources import adapters as a
 from kvasir.sources.adapters import with_
 
@@ -194,7 +195,7 @@ def _(spark, d):
         found = g.local_search(rel, near.select("id", F.col("similarity").alias("score")), 2, 2)
         mean = found.join(ent, "id").orderBy(F.desc("score"), "id").limit(5).select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
         nxt = mean.groupBy(F.lit(0).alias("q_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))  # one row
-        moved = g.checkpointed(nxt.join(q.select("q_id", F.col("v").alias("old")), "q_id").select("q_id", "v", v.cosine(F.col("v"), F.col("old")).alias("c")))
+        moved = staged(nxt.join(q.select("q_id", F.col("v").alias("old")), "q_id").select("q_id", "v", v.cosine(F.col("v"), F.col("old")).alias("c")))
         q = moved.select("q_id", "v")
         if not moved.where("c < 0.9").head(1):
             break

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kvasir.operators import cells
 from kvasir.operators import relational as r
 from kvasir.operators import vectors as v
 from kvasir.plans.registry import query
 from kvasir.plans.scoring import r6
+from kvasir.session import shared_dir
 from kvasir.sources import adapters as a
 from kvasir.sources.adapters import NOW, with_
 
@@ -246,6 +250,26 @@ def _(spark, d):
     return v.top_k(near, ["q_id"], 5, F.desc("similarity"), F.asc("id")).drop("label")
 
 
+def _index(spark, d):
+    e = a.read(spark, d, "embeddings")
+    return cells.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), f"{shared_dir(spark)}/kvasir-cells-{uuid.uuid4().hex}")
+
+
+@query("knn_index_exact", f"WITH {_KNN} SELECT q_id, id, similarity, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, id) AS k FROM kn) WHERE k <= 10")
+def _(spark, d):
+    """An index of cells over all vectors, searched until no unread cell can hold a nearer one."""
+    return cells.search(_index(spark, d), _vec(spark, d)[0], 10, exact=True)
+
+
+@query("knn_index_recall")
+def _(spark, d):
+    """Of each query the share of its exact neighbours that the audited number of cells gives, and the audit's."""
+    q, x = _vec(spark, d)
+    index = _index(spark, d)
+    found = cells.recall_of(cells.search(index, q, 10), v.knn(q, x.select("id", "v"), 10))
+    return found.select("q_id", r6(F.col("recall"), "recall"), F.lit(index.probes).cast("long").alias("probes"), F.lit(len(index.centroids)).cast("long").alias("cells"), F.lit(round(index.recall, 6)).alias("audited"))
+
+
 @query("hydrate_results", more(M, f"{_KNN}\nSELECT q_id, m.id, m.type, similarity FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, id) AS k FROM kn) t JOIN memories m ON m.id = 'mem_' || t.id WHERE k <= 10"))
 def _(spark, d):
     q, x = _vec(spark, d)
@@ -376,30 +400,44 @@ dc AS (SELECT x.name AS a, y.name AS b, CASE WHEN x.c = y.c THEN 1.0::DOUBLE ELS
 _NAMES = "WITH " + _GRAMS.format(name="p_name", table="part")
 
 
-def _dice(spark, d):
+def _dice(spark, d, least):
     n = a.read(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return r.dice_pairs(n, n, "name", "name")
+    return r.dice_join(n, n, "name", "name", least)
 
 
 @query("pairwise_duplicates", f"{_NAMES} SELECT a, b, round(dice, 6) AS dice FROM dc WHERE a < b AND dice >= 0.7")
 def _(spark, d):
-    return _dice(spark, d).where("a < b AND dice >= 0.7").select("a", "b", r6(F.col("dice"), "dice"))
+    return _dice(spark, d, 0.7).where("a < b").select("a", "b", r6(F.col("dice"), "dice"))
+
+
+_PAIR = f"{E} entities entity_relationships"
+_PAIR_DICE = """gr AS (SELECT source, target, s.name AS a, t.name AS b, regexp_replace(lower(s.name), '\\s+', '', 'g') AS ca, regexp_replace(lower(t.name), '\\s+', '', 'g') AS cb FROM entity_relationships JOIN entities s ON s.entity_id = source JOIN entities t ON t.entity_id = target),
+lg AS (SELECT *, list_transform(range(1, length(ca)), lambda i: substring(ca, CAST(i AS INT), 2)) AS ga, list_transform(range(1, length(cb)), lambda i: substring(cb, CAST(i AS INT), 2)) AS gb FROM gr),
+pd AS (SELECT source, target, a, b, CASE WHEN ca = cb THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(ga), lambda g: least(len(list_filter(ga, lambda z: z = g)), len(list_filter(gb, lambda z: z = g))))) / (len(ga) + len(gb)) END AS dice FROM lg)"""
+
+
+def _related_names(spark, d):
+    e = a.entities(spark, d)
+    x, y = e.select(F.col("entity_id").alias("source"), F.col("name").alias("a")), e.select(F.col("entity_id").alias("target"), F.col("name").alias("b"))
+    return a.entity_relationships(spark, d).select("source", "target").join(x, "source").join(y, "target").withColumn("dice", r.dice(F.col("a"), F.col("b")))
 
 
-@query("dice_similarity", f"{_NAMES} SELECT a, b, round(dice, 6) AS dice FROM dc WHERE a < b")
+@query("dice_similarity", more(_PAIR, f"{_PAIR_DICE} SELECT source, target, round(dice, 6) AS dice FROM pd"))
 def _(spark, d):
-    return _dice(spark, d).where("a < b").select("a", "b", r6(F.col("dice"), "dice"))
+    """F28, of the names of related entities."""
+    return _related_names(spark, d).select("source", "target", r6(F.col("dice"), "dice"))
 
 
-@query("pseudo_levenshtein", f"{_NAMES} SELECT a, b, CAST(floor((1 - dice) * greatest(length(a), length(b)) + 0.5) AS BIGINT) AS distance, floor((1 - dice) * greatest(length(a), length(b)) + 0.5) <= 3 AS within FROM dc WHERE a < b")
+@query("pseudo_levenshtein", more(_PAIR, f"{_PAIR_DICE} SELECT source, target, CAST(floor((1 - dice) * greatest(length(a), length(b)) + 0.5) AS BIGINT) AS distance, floor((1 - dice) * greatest(length(a), length(b)) + 0.5) <= 3 AS within FROM pd"))
 def _(spark, d):
+    """F29, of the names of related entities."""
     dist = F.floor((1 - F.col("dice")) * F.greatest(F.length("a"), F.length("b")) + 0.5).cast("long")
-    return _dice(spark, d).where("a < b").select("a", "b", dist.alias("distance"), (dist <= 3).alias("within"))
+    return _related_names(spark, d).select("source", "target", dist.alias("distance"), (dist <= 3).alias("within"))
 
 
 @query("best_matches", f"{_NAMES} SELECT a, b, round(dice, 6) AS dice, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(dice, 6) DESC, b) AS k FROM dc WHERE a <> b AND dice >= 0.3) WHERE k <= 10")
 def _(spark, d):
-    p = _dice(spark, d).where("a <> b AND dice >= 0.3").withColumn("dice", F.round("dice", 6))
+    p = _dice(spark, d, 0.3).where("a <> b").withColumn("dice", F.round("dice", 6))
     return v.top_k(p, ["a"], 10, F.desc("dice"), F.asc("b"))
 
 
@@ -545,7 +583,7 @@ def _(spark, d):
 
 @query("detect_keyword", linked("{}.tags", "s / (4 - s) >= 0.6", "least(1.0::DOUBLE, 1.2 * s / (4 - s))"))
 def _(spark, d):
-    out = r.overlap_links(a.memories(spark, d).select("id", "tags"), "id", "tags", r.jaccard, 0.6)
+    out = r.overlap_links(a.memories(spark, d).select("id", "tags"), "id", "tags", r.jaccard, 0.6, lambda k: F.ceil(k * 0.6))
     return out.select("id", "class_id", "n_links", r6(F.when(F.col("best").isNotNull(), F.least(F.lit(1.0), 1.2 * F.col("best"))), "best"))
 
 
@@ -655,7 +693,7 @@ def _(spark, d):
 def _(spark, d):
     """D9 in its exact-then-Dice stages: a name joins the first similar name before it."""
     n = a.read(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    h = _dice(spark, d).where("b < a AND dice >= 0.85").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("b"))
+    h = _dice(spark, d, 0.85).where("b < a").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("b"))
     return n.join(h, "name", "left").select("name", F.coalesce("b", "name").alias("canonical"))
 
 

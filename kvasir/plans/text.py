@@ -158,7 +158,7 @@ def _(spark, d):
     """F32: exact, alias, else Dice over the canonical names; a taxonomy is small and broadcast."""
     q, x = frame(spark, _SUGGEST, "q string"), _tax(spark)
     exact = q.join(F.broadcast(x), (F.col("q") == F.col("canonical")) | (F.col("q") == F.col("alias"))).select("q", "canonical", F.when(F.col("q") == F.col("canonical"), 1.0).otherwise(0.99).alias("score"))
-    near = r.dice_pairs(q.withColumn("name", F.col("q")), x.select(F.col("canonical").alias("q"), F.col("canonical").alias("name")), "q", "name").where("dice >= 0.3").select(F.col("a").alias("q"), F.col("b").alias("canonical"), F.col("dice").alias("score"))
+    near = r.dice_join(q.withColumn("name", F.col("q")), x.select(F.col("canonical").alias("q"), F.col("canonical").alias("name")), "q", "name", 0.3).select(F.col("a").alias("q"), F.col("b").alias("canonical"), F.col("dice").alias("score"))
     return exact.union(near).groupBy("q", "canonical").agg(r6(F.max("score"), "score"))
 
 

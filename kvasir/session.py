@@ -2,8 +2,9 @@
 
 import functools
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kvasir") -> SparkSession:
@@ -36,3 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 def _local_dir() -> str:
     """One folder a process; the setting itself can't be changed in a running session."""
     return "file://" + tempfile.mkdtemp(prefix="kvasir-")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: computed once, cut from its lineage, safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/kvasir-{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

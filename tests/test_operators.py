@@ -105,11 +105,10 @@ def test_similarities(spark):
     assert lit(spark, j) == pytest.approx(1 / 3)
     assert lit(spark, relational.set_jaccard(F.array().cast("array<string>"), F.array(F.lit("a")))) == 0
     sets = spark.createDataFrame([("x", ["a"]), ("y", ["a", "b", "c"]), ("z", ["q"])], "k string, s array<string>")
-    p = relational.overlap_pairs(sets, "k", "s").first()
-    assert (p["a"], p["b"], p["shared"]) == ("x", "y", 1)
-    assert one(relational.overlap_pairs(sets, "k", "s"), relational.overlap_coefficient(F.col("shared"), F.col("n_a"), F.col("n_b"))) == 1
+    best = {r["k"]: (r["n_links"], r["best"]) for r in relational.overlap_links(sets, "k", "s", relational.overlap_coefficient, 1e-9).collect()}
+    assert best == {"x": (1, 1.0), "y": (1, 1.0), "z": (0, None)}
     names = spark.createDataFrame([("healed",), ("sealed",), ("h ealed",)], "n string")
-    dice = {(r["a"], r["b"]): r["dice"] for r in relational.dice_pairs(names, names, "n", "n").collect()}
+    dice = {(r["a"], r["b"]): r["dice"] for r in relational.dice_join(names, names, "n", "n", 0.5).collect()}
     assert dice["healed", "sealed"] == pytest.approx(0.8) and dice["healed", "h ealed"] == 1
 
 
