@@ -20,14 +20,16 @@ within buckets are then found without pairing a bucket's members with each other
    The edits that most members have are moved into the reference. Members whose q is at most minus the least q
    are then linked with the member that has it, unseen.
 3. Any other link needs common edits. With e(x) edits that others have, too, x can only be linked with a y of
-   q(y) <= 14 e(x) - q(x), and the other way round; who has no such y leaves. Edits are ordered by how few
-   members have them; of a member that needs k in common with anyone, only the rarest (all less k, and one) can be
-   the first common one. The members that have such an edit, with their further edits, form a smaller family of
-   at most half the size. Families of up to ``PAIRED`` members are compared pair by pair, by their edits;
-   the larger ones are divided again.
+   q(y) <= 14 e(x) - q(x), and the other way round; who has no such y leaves. Edits that the very same members of a
+   family have are one edit, with their number as its weight. Edits are ordered by how few members have them; of a
+   member that needs a weight k in common with anyone, only an edit with k or more from it on can be the first common
+   one. The members that have such an edit, with their further edits, form a smaller family of at most half the size.
+   Families of up to ``PAIRED`` members, and those that have no more pairs than their division would have rows, are
+   compared pair by pair, by their edits; the larger ones are divided again, less those that a level's links have
+   joined to one component.
 
-So no link between candidates that would join components is lost, no bucket or candidate list is capped, and
-work grows with the edits between copies and not with the square of a group.
+So no link between candidates that would join components is lost and no bucket or candidate list is capped. A level
+never makes more rows than its families have pairs (sixteen members' pairs aside), and a family halves at least.
 
 Sets are held as 64-bit hashes of their shingles. Ids may be of any type that has an order.
 
@@ -46,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvasir.llm.common import Stage
@@ -199,64 +201,105 @@ def _families(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Sta
     lacks, adds = F.array_except("sb", "sa"), F.array_except("sa", "sb")
     found = _with_sets(rows.join(mixed, "b"), sets).select(F.col("b").alias("g"), "a", "component", "n", "c", lacks.alias("lacks"), adds.alias("adds"))
     q = (6 * F.col("n") + 14 * F.size("lacks") - 7 * F.col("c")).cast("long")
-    return stage.table(found.select("g", "a", "component", q.alias("q"), F.concat("lacks", "adds").alias("edits")))
+    edits = F.transform(F.concat("lacks", "adds"), lambda x: F.struct(x.alias("x"), F.lit(1).alias("w")))
+    return stage.table(found.select("g", "a", "component", q.alias("q"), edits.alias("edits")))
+
+
+EDITS = "array<struct<x:bigint,w:int>>"
+
+
+def _weight(edits: Column) -> Column:
+    return F.aggregate(edits, F.lit(0).cast("long"), lambda t, e: t + e["w"])
+
+
+def _merged(rows: DataFrame, stage: Stage) -> DataFrame:
+    """The rows (g, a, component, q, edits) with each family's edits that the very same members have made one, of their
+    weights' sum: a word changed is five shingles, and copies of one editing share all of it."""
+    each = rows.select("g", "a", F.explode("edits").alias("e")).select("g", "a", "e.x", "e.w")
+    # The members' sets are told apart by two 64-bit sums of their hashes.
+    of = [F.expr("bit_xor(xxhash64(a))").alias("s1"), F.expr("bit_xor(xxhash64(a, 1))").alias("s2")]
+    have = each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k"), F.max("w").alias("w"), *of)
+    one = stage.table(have.groupBy("g", "k", "s1", "s2").agg(F.min("x").alias("x"), F.sum("w").cast("int").alias("w")).select("g", "x", "w"))
+    left = each.select("g", "a", "x").join(one, ["g", "x"]).groupBy("g", "a").agg(F.collect_list(F.struct("x", "w")).alias("edits"))
+    return stage.table(rows.drop("edits").join(left, ["g", "a"], "left").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS))))
 
 
 def _agreed(rows: DataFrame, stage: Stage) -> DataFrame:
     """The rows after the edits of most members have gone into the reference."""
     sizes = stage.table(rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")))
-    each = rows.select("g", F.explode("edits").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("k"))
+    each = rows.select("g", F.explode("edits").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("k"))
     # Of most members' edits there are at most twice as many as a member has on average.
-    turned = stage.table(each.join(sizes, "g").where("2 * k > members").groupBy("g").agg(F.collect_list("x").alias("most")))
-    most = F.coalesce("most", F.array().cast("array<bigint>"))
+    turned = stage.table(each.join(sizes, "g").where("2 * k > members").groupBy("g").agg(F.collect_list("e").alias("most")))
+    most = F.coalesce("most", F.array().cast(EDITS))
     not_mine = F.array_except(most, "edits")
-    q = F.col("q") - 7 * F.size(most) + 14 * F.size(not_mine)
+    q = F.col("q") - 7 * _weight(most) + 14 * _weight(not_mine)
     return stage.table(rows.join(turned, "g", "left").select("g", "a", "component", q.alias("q"), F.concat(F.array_except("edits", most), not_mine).alias("edits")))
 
 
 def _divided(rows: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """One level: the links (a, b) that are certain or confirmed on the edits, and the smaller families that remain."""
-    put = _agreed(rows, stage)
-    each = put.select("g", "a", F.explode("edits").alias("x"))
+    put = _agreed(_merged(rows, stage), stage)
+    each = put.select("g", "a", F.explode("edits").alias("e")).select("g", "a", "e.x", "e.w")
     often = stage.table(each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
-    ranked = stage.table(each.join(often, ["g", "x"]).groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("e")))
-    e = F.coalesce("e", F.array().cast("array<struct<k:bigint,x:bigint>>"))
-    put = put.drop("edits").join(ranked, ["g", "a"], "left").withColumn("e", e).withColumn("room", 14 * F.size("e") - F.col("q"))
+    # s: the weight of an edit and of all behind it.
+    behind = Window.partitionBy("g", "a").orderBy(F.desc("k"), F.desc("x"))
+    each = each.join(often, ["g", "x"]).withColumn("s", F.sum("w").over(behind.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = stage.table(each.groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("k", "x", "w", "s"))).alias("e")))
+    e = F.coalesce("e", F.array().cast("array<struct<k:bigint,x:bigint,w:int,s:bigint>>"))
+    put = put.drop("edits").join(ranked, ["g", "a"], "left").withColumn("e", e).withColumn("room", 14 * _weight(F.col("e")) - F.col("q"))
     put = stage.table(put)
     best = stage.table(put.groupBy("g").agg(F.min(F.struct("q", "a", "component")).alias("best"), F.max("room").alias("most_room")))
     put = put.join(best, "g")
     sure = F.col("q") + F.col("best.q") <= 0
     certain = put.where(sure & (F.col("component") != F.col("best.component"))).select("a", F.col("best.a").alias("b"))
     put = put.withColumn("component", F.when(sure, F.col("best.component")).otherwise(F.col("component")))
-    alive = stage.table(put.where("q <= most_room AND room >= best.q"))
-    mixed = stage.table(alive.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("best.q")) / 14))
+    firsts = F.filter("e", lambda t: t["s"] >= need)
+    alive = stage.table(put.where("q <= most_room AND room >= best.q").withColumn("firsts", F.size(firsts)))
+    sizes = alive.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("firsts").alias("rows")).where("low <> high")
+    # A family is divided only where that makes fewer rows than it has pairs.
+    mixed = stage.table(sizes.select("g", (F.col("n") * (F.col("n") - 1) <= 2 * F.col("rows")).alias("paired")))
     if mixed.isEmpty():
         return stage.table(certain), rows.limit(0)
-    need = F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("best.q")) / 14)).cast("int")
-    first = alive.join(mixed, "g").withColumn("need", need).where(F.size("e") >= F.col("need"))
-    first = first.select("g", "a", "component", (F.col("q") - 7).alias("q"), F.size("e").alias("n"), F.posexplode(F.slice("e", F.lit(1), F.size("e") - F.col("need") + 1)).alias("pos", "at"))
-    first = stage.table(first.select("g", "a", F.col("at.x").alias("x"), "pos", "component", "q", (14 * (F.col("n") - F.col("pos") - 1) - F.col("q")).alias("room")))
+    here = alive.join(mixed, "g")
+    first = here.where("NOT paired AND firsts > 0").select("g", "a", "component", "q", F.posexplode(F.slice("e", F.lit(1), F.col("firsts"))).alias("pos", "at"))
+    q = F.col("q") - 7 * F.col("at.w")
+    first = stage.table(first.select("g", "a", F.col("at.x").alias("x"), "pos", "component", q.alias("q"), (14 * (F.col("at.s") - F.col("at.w")) - q).alias("room")))
     bounds = first.groupBy("g", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("q").alias("least"), F.max("room").alias("most_room")).where("low <> high")
     inside = stage.table(first.join(stage.table(bounds.drop("low", "high")), ["g", "x"]).where("q <= most_room AND room >= least").drop("least", "most_room"))
     sizes = inside.groupBy("g", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
     inside = stage.table(inside.join(stage.table(sizes.select("g", "x", "members")), ["g", "x"]))
-    few = inside.where(F.col("members") <= PAIRED)
+    few = inside.where(F.col("members") <= PAIRED).select("g", "x", "a", "component", "q", "room")
+    few = few.union(here.where("paired").select("g", F.lit(0).cast("long").alias("x"), "a", "component", "q", "room"))
     other = few.select("g", "x", F.col("a").alias("b"), F.col("component").alias("component_b"), F.col("q").alias("q_b"), F.col("room").alias("room_b"))
     pairs = stage.table(few.join(other, ["g", "x"]).where("a > b AND component <> component_b AND q <= room_b AND q_b <= room").select("g", "a", "b").distinct())
-    edited = alive.select("g", "a", "q", F.transform("e", lambda t: t["x"]).alias("edits"))
+    edited = alive.select("g", "a", "q", F.transform("e", lambda t: F.struct(t["x"].alias("x"), t["w"].alias("w"))).alias("edits"))
     both = pairs.join(edited, ["g", "a"]).join(edited.select("g", F.col("a").alias("b"), F.col("q").alias("q_b"), F.col("edits").alias("edits_b")), ["g", "b"])
-    linked = both.where(14 * F.size(F.array_intersect("edits", "edits_b")) >= F.col("q") + F.col("q_b")).select("a", "b")
+    linked = both.where(14 * _weight(F.array_intersect("edits", "edits_b")) >= F.col("q") + F.col("q_b")).select("a", "b")
     many = inside.where(F.col("members") > PAIRED).select("g", "x", "a", "pos", "component", "q").join(edited.select("g", "a", "edits"), ["g", "a"])
     further = F.slice("edits", F.col("pos") + 2, F.size("edits"))
     return stage.table(certain.union(linked)), stage.table(many.select(F.xxhash64("g", "x").alias("g"), "a", "component", "q", further.alias("edits")))
 
 
+def _relabelled(smaller: DataFrame, rows: DataFrame, links: DataFrame, stage: Stage) -> DataFrame:
+    """The smaller families with the components that a level's links between its rows have joined; those of one component go."""
+    of = stage.table(rows.select("a", "component").distinct())
+    ends = links.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("component").alias("component_b")), "b")
+    joined = components(ends.select(F.col("component").alias("a"), F.col("component_b").alias("b")), "minhash-level")
+    now = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    found = stage.table(smaller.join(now, "component", "left").select("g", "a", F.coalesce("now", "component").alias("component"), "q", "edits"))
+    mixed = found.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
+    return stage.table(found.join(stage.table(mixed), "g"))
+
+
 def _further(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame:
     """Links (a, b), so that any two linked members of one hub's family end up in one component."""
     rows, found = _families(compared, label, sets, stage), None
     while not rows.isEmpty():
-        links, rows = _divided(rows, stage)
+        links, smaller = _divided(rows, stage)
         found = links if found is None else found.union(links)
+        # What a level has linked needs no further comparing in any family.
+        rows = smaller if smaller.isEmpty() or links.isEmpty() else _relabelled(smaller, rows, links, stage)
     return compared.select("a", "b").limit(0) if found is None else found
 
 

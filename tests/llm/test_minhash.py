@@ -101,3 +101,31 @@ def test_components(spark):
     out = {r["id"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 1 for i in range(1, 61)) and all(out[i] == 100 for i in (100, 200, 300)) and all(out[i] == 1000 for i in range(1000, 1200))
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited_family(n):
+    """Copies of one text of 200 words, each with 7 of 16 places replaced by one of two words."""
+    rng = random.Random(11)
+    places = [6 + 12 * i for i in range(16)]
+    rows = []
+    for k in range(n):
+        t = [f"t{i}" for i in range(200)]
+        for at in rng.sample(places, 7):
+            t[at] = f"e{at}_{rng.randrange(2)}"
+        rows.append((k, " ".join(t)))
+    return rows
+
+
+def test_common_edits_in_many_combinations_make_few_rows(spark, monkeypatch):
+    """The rows of all levels together stay below all pairs, though each document is in a family of every band, and shrink."""
+    made, whole = [], minhash._divided
+
+    def counted(rows, stage):
+        links, smaller = whole(rows, stage)
+        made.append(smaller.count())
+        return links, smaller
+
+    monkeypatch.setattr(minhash, "_divided", counted)
+    rows = edited_family(300)
+    check(spark, rows)
+    assert sum(made) <= 300 * 299 / 2 and all(y <= x / 4 for x, y in zip(made, made[1:], strict=False))
