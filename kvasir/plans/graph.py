@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from kvasir.functions import text as t
 from kvasir.operators import graph as g
-from kvasir.operators import graphrag
 from kvasir.operators import vectors as v
 from kvasir.plans.registry import query
 from kvasir.plans.relational import more
@@ -228,17 +227,3 @@ def _(spark, d):
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v"))
     best = v.best_of_group(q, e.select(F.col("label").alias("grp"), F.col("embedding").alias("v")))
     return v.top_k(best, ["q_id"], 3, F.desc("similarity"), F.asc("grp")).select("q_id", F.col("grp").alias("report"), F.col("similarity").alias("score"))
-
-
-BUILD_NOTES = [
-    ("m1", "We use PostgreSQL with Redis at Acme Corp. Jane Smith chose Docker and Kubernetes."), ("m2", "Redis and PostgreSQL were slow. Acme Corp pays."),
-    ("m3", "Docker runs on Kubernetes. Jane Smith knows Docker."), ("m4", "nothing here"),
-]
-
-
-@query("graphrag_build")
-def _(spark, d):
-    """D11 over a few memories: every entity with its community's report."""
-    made = graphrag.build(spark.createDataFrame(BUILD_NOTES, "id string, content string"))
-    of = made["communities"].select(F.col("id").alias("alias"), "community")
-    return made["entities"].join(of, "alias", "left").join(made["reports"], "community", "left").select("alias", "kind", "mentions", "title")

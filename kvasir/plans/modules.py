@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["scoring", "relational", "metrics", "text", "graph", "retrieval"]
+NAMES = ["scoring", "relational", "metrics", "text", "graph", "retrieval", "projects"]
 
 
 def load() -> None:

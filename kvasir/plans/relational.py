@@ -191,14 +191,6 @@ def _(spark, d):
     return p.where(F.exists(hints, lambda h: F.contains(F.lower("path"), h))).groupBy("path").agg(F.count(F.lit(1)).alias("node_count"))
 
 
-_PATHS = ["src/a.ts", ".git/HEAD", "x/node_modules/y.js", "yarn.lock", "package-lock.json", "web/app.min.js", "a.map", "dist/z.js", "lib/main.py"]
-
-
-@query("ignored_files", "SELECT unnest(['src/a.ts', 'lib/main.py']) AS path")
-def _(spark, d):
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").where(~r.ignored_file(F.col("path")))
-
-
 @query("nocase_equality", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) = (SELECT lower(min(p_name)) FROM part)")
 def _(spark, d):
     p = a.read(spark, d, "part")

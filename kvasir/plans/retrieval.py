@@ -15,7 +15,6 @@ from kvasir.operators import vectors as v
 from kvasir.plans.registry import query
 from kvasir.plans.relational import more
 from kvasir.plans.scoring import r6
-from kvasir.plans.text import frame, values
 from kvasir.sources import adapters as a
 from kvasir.sources import files as s
 from kvasir.sources.adapters import with_
@@ -120,11 +119,6 @@ def _(spark, d):
 
 # --- chunking ----------------------------------------------------------------------------------------
 
-MARKDOWN = [
-    (1, "# Guide\nintro\n## Setup\nrun it\n```\n# not a header\n```\n### Deep\nx\n## Use\ny\n# Other\nz"), (2, "---\ntitle: T\n---\nplain\n# H\ntext"), (3, "no header\nat all"), (4, "## Two\n# One\n### Three"),
-]
-
-
 @query("chunk_markdown")
 def _(spark, d):
     """Each document under a heading of its language, in sections of at most 64 tokens."""
@@ -137,48 +131,11 @@ def _(spark, d):
     return c.markdown_sections(a.read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "section", "start_line", "end_line", F.length("content").alias("size"))
 
 
-@query("header_stack")
-def _(spark, d):
-    return c.markdown_sections(frame(spark, MARKDOWN, "k int, m string"), "k", "m").select("k", "start_line", F.concat_ws(" > ", "headers").alias("path"))
-
-
 @query("chunk_code_fallback")
 def _(spark, d):
     return c.pack_lines(a.read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", 512).select("doc_id", "chunk", "start_line", "end_line", "tokens")
 
 
-SOURCE = [
-    ("src/a.ts", "import { b } from './b'\nimport fs from 'fs'\nexport function add(x) {\n  return helper(x)\n}\nfunction helper(x) { return x }\nexport class Box extends Base implements Shape {\n}"),
-    ("src/b.ts", "export class Base {}\nexport interface Shape {}\nfunction run() { add(1) }"), ("lib/c.py", "import os\nfrom math import pi\ndef area(r):\n    return scale(r)\ndef scale(x):\n    return x"), ("d.rs", "use std::io\npub fn main() { go() }"),
-]
-
-
-def _code(spark):
-    return c.code_chunks(frame(spark, SOURCE, "file string, code string"), "file", "code")
-
-
-@query("split_code_chunks")
-def _(spark, d):
-    """Definitions of more than 12 tokens by method or by line."""
-    return c.split_definitions(_code(spark), "file", 12)
-
-
-@query("chunk_code")
-def _(spark, d):
-    return _code(spark).select("file", "chunk", "kind", "name", "start_line", "end_line")
-
-
-_EDGES = [
-    ("src/a.ts:function:add", "src/a.ts:function:helper", "calls"), ("src/b.ts:function:run", "src/a.ts:function:add", "calls"), ("lib/c.py:function:area", "lib/c.py:function:scale", "calls"), ("src/a.ts:class:Box", "src/b.ts:class:Base", "extends"),
-    ("src/a.ts:class:Box", "src/b.ts:interface:Shape", "implements"), ("src/a.ts:module", "./b:module", "imports"), ("src/a.ts:module", "npm:fs", "imports"), ("lib/c.py:module", "npm:os", "imports"), ("lib/c.py:module", "npm:math", "imports"), ("d.rs:module", "npm:std::io", "imports"),
-]
-
-
-@query("graph_extraction", "SELECT * FROM " + values(_EDGES, "from_node, to_node, edge_type"))
-def _(spark, d):
-    return c.code_graph(_code(spark), "file")[1]
-
-
 _RANGES = "rg AS (SELECT l_orderkey % 500 AS doc, 's' || l_linenumber || '_' || l_partkey AS symbol, l_partkey % 100 AS b, l_partkey % 100 + l_suppkey % 40 AS e FROM lineitem), oc AS (SELECT DISTINCT o_orderkey % 500 AS doc, o_orderkey AS occ, o_custkey % 140 AS line FROM orders)"
 
 
@@ -193,23 +150,6 @@ def _(spark, d):
 
 # --- sources -----------------------------------------------------------------------------------------
 
-LOG = [(0, "Ann|ann@x.org|100"), (1, "src/a.ts"), (2, "src/b.ts"), (3, ""), (4, "Bob|bob@x.org|200"), (5, "src/a.ts"), (6, "Ann|ann@x.org|300"), (7, "lib/c.py")]
-
-
-@query("git_log_source", "SELECT * FROM " + values([("r", "Ann", "ann@x.org", 100, "src/a.ts"), ("r", "Ann", "ann@x.org", 100, "src/b.ts"), ("r", "Bob", "bob@x.org", 200, "src/a.ts"), ("r", "Ann", "ann@x.org", 300, "lib/c.py")], "repo, author, email, ts_s, file").replace("SELECT *", "SELECT repo, author, email, CAST(ts_s AS BIGINT) AS ts_s, file", 1))
-def _(spark, d):
-    return s.git_log(frame(spark, [("r", n, x) for n, x in LOG], "repo string, n int, line string"))
-
-
-ADR = [("a.md", "# Use Parquet\n\n## Status\nAccepted\n## Context\n" + "Files are large. " * 8 + "\n## Decision\nWe use Parquet."), ("b.md", "# Short"), ("c.md", "plain text that goes on " * 6)]
-
-
-@query("markdown_import", "SELECT * FROM " + values([("a.md", "decision", "Use Parquet", "Accepted", "We use Parquet."), ("c.md", "note", "", "", "")], "path, type, title, status, decision"))
-def _(spark, d):
-    n = s.markdown_notes(frame(spark, ADR, "path string, content string"))
-    return n.select("path", "type", "adr.title", "adr.status", "adr.decision")
-
-
 @query("file_discovery")
 def _(spark, d):
     return s.discover(spark, d, ("parquet",)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")

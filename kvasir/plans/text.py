@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from kvasir.functions import budget as b
 from kvasir.functions import text as t
+from kvasir.operators import extraction as ex
 from kvasir.operators import relational as r
 from kvasir.operators import vectors as v
 from kvasir.plans.registry import query
-from kvasir.plans.relational import more
 from kvasir.plans.scoring import r6
 from kvasir.sources import adapters as a
 from kvasir.sources.adapters import NOW, with_
@@ -125,46 +123,7 @@ def _(spark, d):
     return both.select("source_type", "target_type", r.infer_relation(F.col("source_type"), F.col("target_type"), F.lit(True), F.lit(1.0)).alias("relation"))
 
 
-# --- tags ------------------------------------------------------------------------------------------
-
-#: A small taxonomy: canonical tag, aliases, category and parent.
-TAXONOMY = [
-    ("typescript", "ts", "language", "programming"), ("javascript", "js", "language", "programming"), ("python", "py", "language", "programming"), ("postgresql", "postgres", "database", "storage"),
-    ("kubernetes", "k8s", "infrastructure", "deployment"), ("authentication", "auth", "security", "security"), ("continuous-integration", "ci", "practice", "deployment"),
-]
-TAGS = [(1, " TS "), (2, "Postgres"), (3, "Big  Data!"), (4, "kubernetes"), (5, "CI"), (6, "K8S")]
-_TAGS = ("documents", "doc_id", [*TAGS, (7, ""), (8, "Data ")], ("tag",), ((" ", "lang"),))
-_TAX = values(TAXONOMY, "canonical, alias, category, parent")
-
-
-def _tax(spark):
-    return frame(spark, TAXONOMY, "canonical string, alias string, category string, parent string")
-
-
-@query("tag_normalise", f"SELECT CAST(k AS INT) AS k, coalesce(x.canonical, regexp_replace(regexp_replace(lower(trim(tag)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS canonical FROM {phrased_sql(*_TAGS)} g LEFT JOIN {_TAX} x ON lower(trim(g.tag)) IN (x.canonical, x.alias)")
-def _(spark, d):
-    x = _tax(spark)
-    known = x.select(F.col("alias").alias("low"), "canonical").union(x.select("canonical", "canonical"))
-    g = phrased(spark, d, *_TAGS).withColumn("low", F.lower(F.trim("tag")))
-    return g.join(F.broadcast(known), "low", "left").select("k", F.coalesce("canonical", t.slug(F.col("tag"))).alias("canonical"))
-
-
 _DICE = "2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(qg), lambda g: least(len(list_filter(qg, lambda z: z = g)), len(list_filter(cg, lambda z: z = g))))), 0) / (len(qg) + len(cg))"
-_SUGGEST = [("typscript",), ("postgre",), ("js",), ("python",), ("authentic",)]
-
-
-@query("tag_suggest", f"SELECT q, canonical, round(score, 6) AS score FROM (SELECT q, canonical, CASE WHEN q = canonical THEN 1.0::DOUBLE WHEN q = alias THEN 0.99 ELSE {_DICE} END AS score FROM (SELECT q, canonical, alias, list_transform(range(1, length(q)), lambda i: substring(q, CAST(i AS INT), 2)) AS qg, list_transform(range(1, length(canonical)), lambda i: substring(canonical, CAST(i AS INT), 2)) AS cg FROM {values(_SUGGEST, 'q')} CROSS JOIN {_TAX})) WHERE score >= 0.3")
-def _(spark, d):
-    """F32: exact, alias, else Dice over the canonical names; a taxonomy is small and broadcast."""
-    q, x = frame(spark, _SUGGEST, "q string"), _tax(spark)
-    exact = q.join(F.broadcast(x), (F.col("q") == F.col("canonical")) | (F.col("q") == F.col("alias"))).select("q", "canonical", F.when(F.col("q") == F.col("canonical"), 1.0).otherwise(0.99).alias("score"))
-    near = r.dice_join(q.withColumn("name", F.col("q")), x.select(F.col("canonical").alias("q"), F.col("canonical").alias("name")), "q", "name", 0.3).select(F.col("a").alias("q"), F.col("b").alias("canonical"), F.col("dice").alias("score"))
-    return exact.union(near).groupBy("q", "canonical").agg(r6(F.max("score"), "score"))
-
-
-@query("tag_hierarchy", f"SELECT parent, category, string_agg(canonical, ',' ORDER BY canonical) AS children FROM {_TAX} GROUP BY parent, category")
-def _(spark, d):
-    return _tax(spark).groupBy("parent", "category").agg(F.concat_ws(",", F.array_sort(F.collect_list("canonical"))).alias("children"))
 
 
 # --- queries ---------------------------------------------------------------------------------------
@@ -271,33 +230,27 @@ def _(spark, d):
 
 # --- technology and entity extraction --------------------------------------------------------------
 
-TECH = r"\b(TypeScript|JavaScript|Python|Rust|React|Node\.js|PostgreSQL|Redis|Docker|Kubernetes|GraphQL|SQLite)\b"
-ORG = r"\b([A-Z][A-Za-z]+ (?:Inc|Corp|Ltd|GmbH))\b"
-NAMES = r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){1,3})\b"
-NOTES = [(1, "We use PostgreSQL and Redis at Acme Corp with Jane Smith"), (2, "The team moved to Kubernetes, says Data Platform Group"), (3, "no entities here"), (4, "Python or Rust? Python.")]
+NOTES = [
+    (1, "We use PostgreSQL and redis at Acme Corp, as Jane Smith said"), (2, "The team moved to Kubernetes. Data Platform Group wrote it, then Big Data Platform paid"), (3, "no entities here"), (4, "python or Rust? Python."),
+    (5, "See the Observer Pattern and Error, Todo, Monday! Monday Morning. Ask Bo or Ann Lee"), (6, "Northwind Traders Labs uses Go, go, npm and the GitHub Actions of GitHub"),
+]
 # Word borders beside letters outside ASCII differ between engines, so the tail is plain.
 _NOTES = ("documents", "doc_id", NOTES, ("s",), ((" ", "source"),))
-_ENT = f"list_concat(list_concat(list_transform(regexp_extract_all(s, '{TECH}', 1), lambda x: 'TECHNOLOGY:' || x), list_transform(regexp_extract_all(s, '{ORG}', 1), lambda x: 'ORGANIZATION:' || x)), list_transform(list_filter(regexp_extract_all(s, '{NAMES}', 1), lambda x: NOT regexp_matches(x, '(Inc|Corp|Ltd|GmbH)$')), lambda x: 'PERSON:' || x))"
-
-
-@query("extract_entities", f"SELECT CAST(k AS INT) AS k, array_to_string(list_sort(list_distinct({_ENT})), '|') AS entities FROM {phrased_sql(*_NOTES)}")
-def _(spark, d):
-    s = F.col("s")
-    found = lambda p, kind: F.transform(F.regexp_extract_all(s, F.lit(p), F.lit(1)), lambda x: F.concat(F.lit(kind + ":"), x))
-    people = F.filter(F.regexp_extract_all(s, F.lit(NAMES), F.lit(1)), lambda x: ~x.rlike("(Inc|Corp|Ltd|GmbH)$"))
-    names = F.concat(found(TECH, "TECHNOLOGY"), found(ORG, "ORGANIZATION"), F.transform(people, lambda x: F.concat(F.lit("PERSON:"), x)))
-    return phrased(spark, d, *_NOTES).select("k", F.concat_ws("|", F.array_sort(F.array_distinct(names))).alias("entities"))
-
-
-# Dependency names to stack parts, first match first.
-STACK = [(1, "next", "framework", "Next.js"), (2, "react", "framework", "React"), (3, "express", "framework", "Express"), (4, "pg", "database", "PostgreSQL"), (5, "mongoose", "database", "MongoDB"), (6, "passport", "auth", "Passport"), (7, "vitest", "testing", "Vitest"), (8, "jest", "testing", "Jest")]
-DEPS = [("a", "react"), ("a", "next"), ("a", "jest"), ("b", "express"), ("b", "mongoose"), ("b", "pg"), ("c", "left-pad")]
+_FOUND = lambda p, kind, sure: f"list_transform(regexp_extract_all(s, '{p}', 1), lambda x: {{'kind': {kind}, 'name': regexp_replace(regexp_replace(trim(x), '\\s+', ' ', 'g'), '(?i)^the\\s+', ''), 'sure': {sure}}})"
+_INNER = f"regexp_replace(s, '([.!?]\\W){ex.CAPITALISED[2:]}', '\\1#', 'gs')"
+_CAPITAL = f"list_transform(list_filter(regexp_extract_all({_INNER}, '{ex.CAPITALISED}', 1), lambda x: length(x) >= 4 AND x NOT IN ({', '.join(map(repr, ex.COMMON))})), lambda x: {{'kind': NULL::VARCHAR, 'name': x, 'sure': 0.3::DOUBLE}})"
+_ENT = [_FOUND(p, "'TECHNOLOGY'", "0.6::DOUBLE") for p in ex.TECHNOLOGY] + [_FOUND(p, "'ORGANIZATION'", "0.5::DOUBLE") for p in ex.ORGANIZATION] + [_CAPITAL]
+_NEAR = "substring(lower(s), greatest(spot - 50, 1), spot + length(name) + 50 - greatest(spot - 50, 1))"
+_ANY = lambda words, x: " OR ".join(f"contains({x}, '{w}')" for w in words)
+_KIND = f"CASE WHEN kind IS NOT NULL THEN kind WHEN {_ANY(ex.PERSON, _NEAR)} THEN 'PERSON' WHEN {_ANY(ex.CONCEPT, 'lower(name)')} THEN 'CONCEPT' ELSE 'OTHER' END"
 
 
-@query("stack_detect", f"SELECT project, part, arg_min(label, i) AS label FROM {values(DEPS, 'project, dep')} x JOIN {values(STACK, 'i, dep, part, label')} s ON s.dep = x.dep GROUP BY project, part")
+@query("extract_entities", f"""WITH s AS (SELECT k, s, flatten([{', '.join(_ENT)}]) AS l FROM {phrased_sql(*_NOTES)}),
+e AS (SELECT k, s, i, l[i].kind AS kind, l[i].name AS name, l[i].sure AS sure, instr(lower(s), lower(l[i].name)) AS spot FROM s, (SELECT unnest(range(1, 40)) AS i) WHERE i <= len(l)),
+f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY k, lower(name) ORDER BY i) = 1) SELECT CAST(k AS INT) AS k, {_KIND} AS kind, name, sure AS confidence FROM f""")
 def _(spark, d):
-    rules = frame(spark, STACK, "i int, dep string, part string, label string")
-    return frame(spark, DEPS, "project string, dep string").join(F.broadcast(rules), "dep").groupBy("project", "part").agg(F.min_by("label", "i").alias("label"))
+    """each document's entities with their kinds and confidences."""
+    return ex.entities(phrased(spark, d, *_NOTES), "k", "s").select("k", "kind", "name", "confidence")
 
 
 # --- dates, vectors, json, budget ------------------------------------------------------------------
@@ -365,11 +318,6 @@ for _name, _r in b.RATIOS.items():
         return total.select("total", *[x.alias(c) for c, x in b.allocate(F.col("total"), ratios, _LOW, _HIGH).items()])
 
 
-@query("model_windows", "SELECT * FROM " + values(list(b.WINDOWS.items()), "model, window_tokens").replace("SELECT *", "SELECT model, CAST(window_tokens AS INT) AS window_tokens", 1))
-def _(spark, d):
-    return spark.createDataFrame(list(b.WINDOWS.items()), "model string, window_tokens int")
-
-
 @query("regex_token_count", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) AS BIGINT) AS tokens FROM documents")
 def _(spark, d):
     return a.read(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"), F.lit(0))).cast("long").alias("tokens"))

@@ -329,12 +329,12 @@ def test_enclosing_range(spark):
 
 def test_graph_build(spark):
     from kvasir.operators import graphrag
-    from kvasir.plans.graph import BUILD_NOTES
+    from kvasir.plans.projects import SENTENCES
 
-    notes = spark.createDataFrame(BUILD_NOTES, "id string, content string")
+    notes = spark.createDataFrame([(f"m{n}", text) for n, text in enumerate(SENTENCES, 1)], "id string, content string")
     made = graphrag.build(notes)
     found = {r["alias"]: (r["kind"], r["mentions"]) for r in made["entities"].collect()}
-    assert found["postgresql"] == ("TECHNOLOGY", 2) and found["acme corp"][0] == "ORGANIZATION" and found["jane smith"] == ("PERSON", 2)
+    assert found["postgresql"] == ("TECHNOLOGY", 2) and found["acme"][0] == "ORGANIZATION" and found["jane smith"] == ("PERSON", 2)
     rel = {(r["x"], r["y"]): r["strength"] for r in made["relationships"].collect()}
     assert rel["postgresql", "redis"] == 4 and ("jane smith", "redis") not in rel
     of = {r["id"]: r["community"] for r in made["communities"].collect()}
