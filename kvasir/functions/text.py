@@ -190,3 +190,11 @@ def code_summary(code: Column) -> Column:
 def branch_title(branch: Column) -> Column:
     bare = F.regexp_replace(branch, "^(feature|feat|fix|bugfix|hotfix|chore|docs)/", "")
     return capitalised(F.regexp_replace(bare, "[-_]+", " "))
+
+
+def stable_json(text: Column) -> Column:
+    """The JSON text with the keys of all objects, nested ones too, in order and no white space; null if it isn't JSON
+    or names a key twice. Whole numbers lose their decimals; numbers written with an exponent keep Spark's form.
+    """
+    sorted_keys = F.to_json(F.try_parse_json(text))
+    return F.regexp_replace(sorted_keys, r'("(?:[^"\\]|\\.)*+")|(-?\d+)\.0(?![\dE])', "$1$2")

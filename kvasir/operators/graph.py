@@ -31,6 +31,21 @@ def bfs(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def pair_distances(steps: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """(start, target, distance): of each pair the least number of steps (x, y), where that is ``depth`` or less.
+
+    Searched from both ends: all starts together half of the way, all targets together back the rest, so frontiers grow
+    with the square root of what one side alone would visit. A shortest path has a node where both meet.
+    """
+    back = depth // 2
+    pairs = staged(pairs.select("start", "target").distinct())
+    ahead = bfs(steps, pairs.select(F.col("start").alias("id")).distinct(), depth - back).select("start", "id", F.col("depth").alias("d1"))
+    behind = bfs(steps.select(F.col("y").alias("x"), F.col("x").alias("y")), pairs.select(F.col("target").alias("id")).distinct(), back)
+    behind = behind.select(F.col("start").alias("target"), "id", F.col("depth").alias("d2"))
+    met = pairs.join(ahead, "start").join(behind, ["target", "id"])
+    return met.groupBy("start", "target").agg(F.min(F.col("d1") + F.col("d2")).alias("distance"))
+
+
 def incident(seen: DataFrame, steps: DataFrame) -> DataFrame:
     """(start, x, y): steps from any visited node, those that leave the last layer included."""
     return seen.select("start", F.col("id").alias("x")).join(steps, "x").distinct()

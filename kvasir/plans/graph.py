@@ -118,6 +118,24 @@ def _sparse(spark, d):
     return e.select(F.explode(F.array("x", "y")).alias("id")).distinct(), e
 
 
+@query("traverse_many_starts", more(R, f"st AS ({_BOTH_R}), wk(start, id, d) AS (SELECT DISTINCT x, x, 0 FROM st WHERE CAST(x[5:] AS BIGINT) % 50 = 0 UNION SELECT wk.start, st.y, wk.d + 1 FROM wk JOIN st ON st.x = wk.id WHERE wk.d < 2) SELECT start, id, CAST(min(d) AS INT) AS depth FROM wk GROUP BY start, id"))
+def _(spark, d):
+    """G1 from every memory whose number 50 divides, all at once."""
+    steps = staged(g.directed(a.memory_relations(spark, d), "both", "source_id", "target_id"))
+    starts = steps.where(F.substring("x", 5, 20).cast("long") % 50 == 0).select(F.col("x").alias("id")).distinct()
+    return g.bfs(steps, starts, 2)
+
+
+@query("pair_distances", more(R, f"st AS ({_BOTH_R}), pr AS (SELECT DISTINCT x AS start, 'mem_' || ((CAST(x[5:] AS BIGINT) * 7 + 3) % (SELECT count(*) FROM documents)) AS target FROM st WHERE CAST(x[5:] AS BIGINT) % 50 = 0), wk(start, id, d) AS (SELECT DISTINCT start, start, 0 FROM pr UNION SELECT wk.start, st.y, wk.d + 1 FROM wk JOIN st ON st.x = wk.id WHERE wk.d < 4) SELECT pr.start, target, CAST(min(d) AS INT) AS distance FROM pr JOIN wk ON wk.start = pr.start AND wk.id = target GROUP BY pr.start, target"))
+def _(spark, d):
+    """G3 for many pairs: their distances within four steps, searched from both ends."""
+    n = a.read(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))  # one row
+    steps = staged(g.directed(a.memory_relations(spark, d), "both", "source_id", "target_id"))
+    k = F.substring("x", 5, 20).cast("long")
+    pairs = steps.where(k % 50 == 0).select("x").distinct().crossJoin(F.broadcast(n)).select(F.col("x").alias("start"), a.memory_id((k * 7 + 3) % F.col("n")).alias("target"))
+    return g.pair_distances(steps, pairs, 4)
+
+
 @query("connected_components", more(E, f"{_SPARSE}, re(id, root) AS (SELECT id, id FROM nd UNION SELECT bo.y, re.root FROM re JOIN bo ON bo.x = re.id WHERE re.root < bo.y) SELECT id, min(root) AS component FROM re GROUP BY id"))
 def _(spark, d):
     return g.connected_components(*_sparse(spark, d))

@@ -286,11 +286,12 @@ def _(spark, d):
     return a.read(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stable_json", "SELECT event_id, '{\"k\":' || (props->>'k') || ',\"type\":\"' || event_type || '\",\"user\":' || user_id || '}' AS doc FROM events")
+@query("stable_json", """SELECT event_id, '{"props":{"k":' || (props->>'k') || ',"list":[{"x":' || CAST(round(value * 100) AS BIGINT) || ',"y":"' || event_type || '"},[],null]},"type":"' || event_type || '","user":' || user_id || '}' AS doc FROM events""")
 def _(spark, d):
-    e = a.read(spark, d, "events")
-    parts = {"user": F.col("user_id"), "k": F.get_json_object("props", "$.k").cast("long"), "type": F.col("event_type")}
-    return e.select("event_id", F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)])).alias("doc"))
+    """nested objects whose keys come in no order."""
+    hundred, k = F.round(F.col("value") * 100).cast("long").cast("string"), F.get_json_object("props", "$.k")
+    parts = ['{ "user" : ', F.col("user_id").cast("string"), ', "props":{"list":[{"y":"', F.col("event_type"), '", "x":', hundred, '.0},[], null],"k":', k, '}, "type":"', F.col("event_type"), '"}']
+    return a.read(spark, d, "events").select("event_id", t.stable_json(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).alias("doc"))
 
 
 def _budget_sql(ratios, low, high):

@@ -149,3 +149,24 @@ def test_one_document_of_many_ranges_stays_linear(spark):
     ranges = spark.range(4000).select(F.lit(1).alias("doc"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("symbol"), (F.col("id") * 7 % 4000).alias("begin"), (F.col("id") * 7 % 4000 + 1 + F.col("id") % 900).alias("end"))
     pieces = ranges.select(F.explode(chunking.dyadic(F.col("begin"), F.col("end"))).alias("p")).groupBy("p.power", "p.place").count()
     assert pieces.count() <= 2 * 5000 and pieces.select("power").distinct().count() <= 12
+
+
+def test_pair_distances_equal_breadth_first_search(spark):
+    rng = random.Random(8)
+    steps = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(110)})
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)] + [(3, 3), (99, 3), (3, 99)]
+    near: dict[int, set[int]] = {}
+    for x, y in steps:
+        near.setdefault(x, set()).add(y)
+    for depth in (1, 4, 5):
+        expected = set()
+        for a, b in pairs:
+            seen, front = {a}, {a}
+            for d in range(depth + 1):
+                if b in front:
+                    expected.add((a, b, d))
+                    break
+                front = {y for x in front for y in near.get(x, ())} - seen
+                seen |= front
+        got = graph.pair_distances(spark.createDataFrame(steps, "x long, y long"), spark.createDataFrame(pairs, "start long, target long"), depth)
+        assert {tuple(r) for r in got.collect()} == expected

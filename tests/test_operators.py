@@ -348,3 +348,12 @@ def test_cache_queries_of_any_script(spark):
     from kvasir.functions import text
 
     assert [r[0] for r in q.select(text.cache_query(q["q"])).collect()] == ["привет, мир", "你好？", "?!", "a-b"]
+
+
+def test_stable_json(spark):
+    given = {
+        '{"b":{"z":1,"a":[{"y":2,"x":1},3]}, "a" : null}': '{"a":null,"b":{"a":[{"x":1,"y":2},3],"z":1}}', '{"n":1.0,"s":"2.0, \\"3.0","d":-0.50,"m":-7.0}': '{"d":-0.5,"m":-7,"n":1,"s":"2.0, \\"3.0"}',
+        "[]": "[]", '"x"': '"x"', "": None, "{bad": None, None: None, '{"a":1,"a":2}': None,
+    }
+    rows = spark.createDataFrame([(k,) for k in given], "s string")
+    assert {r["s"]: r["j"] for r in rows.select("s", text.stable_json(F.col("s")).alias("j")).collect()} == given
