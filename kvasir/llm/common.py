@@ -33,6 +33,10 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="kvasir-")
 
 
+#: Rows that a task writes where a table's size is known.
+ROWS_A_TASK = 200_000
+
+
 class Stage:
     """Intermediate tables written to the shared folder: they cut lineage and survive lost executors."""
 
@@ -40,8 +44,11 @@ class Stage:
         self.spark, self.root = spark, f"{shared_dir(spark)}/kvasir-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: about how many there are at most, where that is known; few of them then need few tasks and files."""
         self.count += 1
+        if rows is not None:
+            df = df.coalesce(1 + rows // ROWS_A_TASK)
         path = f"{self.root}/{self.count:03d}"
         df.write.option("compression", "snappy").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

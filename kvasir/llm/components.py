@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from kvasir.llm.common import Stage
 
 
-def _star(edges: DataFrame, stage: Stage, large: bool) -> DataFrame:
+def _star(edges: DataFrame, stage: Stage, large: bool, rows: int) -> DataFrame:
     """edges (a, b) with a > b. Large: each node's greater neighbours join its least one; small: its lesser ones do."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = stage.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), rows)
         return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    least = stage.table(edges.groupBy("a").agg(F.min("b").alias("m")))
+    least = stage.table(edges.groupBy("a").agg(F.min("b").alias("m")), rows)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
@@ -36,8 +36,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     )
     state = _state(now)
     while True:
-        wide = stage.table(_star(now, stage, True).where("a <> b").distinct())
-        nxt = stage.table(_star(wide, stage, False).where("a <> b").distinct())
+        rows = 2 * state[0]  # no step makes more
+        wide = stage.table(_star(now, stage, True, rows).where("a <> b").distinct(), rows)
+        nxt = stage.table(_star(wide, stage, False, rows).where("a <> b").distinct(), rows)
         for old in (now, wide):
             stage.drop(old)
         now, before, state = nxt, state, _state(nxt)

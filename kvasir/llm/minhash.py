@@ -212,95 +212,106 @@ def _weight(edits: Column) -> Column:
     return F.aggregate(edits, F.lit(0).cast("long"), lambda t, e: t + e["w"])
 
 
-def _merged(rows: DataFrame, stage: Stage) -> DataFrame:
+def _merged(rows: DataFrame, stage: Stage, n: int) -> DataFrame:
     """The rows (g, a, component, q, edits) with each family's edits that the very same members have made one, of their
     weights' sum: a word changed is five shingles, and copies of one editing share all of it."""
     each = rows.select("g", "a", F.explode("edits").alias("e")).select("g", "a", "e.x", "e.w")
     # The members' sets are told apart by two 64-bit sums of their hashes.
     of = [F.expr("bit_xor(xxhash64(a))").alias("s1"), F.expr("bit_xor(xxhash64(a, 1))").alias("s2")]
     have = each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k"), F.max("w").alias("w"), *of)
-    one = stage.table(have.groupBy("g", "k", "s1", "s2").agg(F.min("x").alias("x"), F.sum("w").cast("int").alias("w")).select("g", "x", "w"))
+    one = stage.table(have.groupBy("g", "k", "s1", "s2").agg(F.min("x").alias("x"), F.sum("w").cast("int").alias("w")).select("g", "x", "w"), n)
     left = each.select("g", "a", "x").join(one, ["g", "x"]).groupBy("g", "a").agg(F.collect_list(F.struct("x", "w")).alias("edits"))
-    return stage.table(rows.drop("edits").join(left, ["g", "a"], "left").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS))))
+    return stage.table(rows.drop("edits").join(left, ["g", "a"], "left").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS))), n)
 
 
-def _agreed(rows: DataFrame, stage: Stage) -> DataFrame:
+def _agreed(rows: DataFrame, stage: Stage, n: int) -> DataFrame:
     """The rows after the edits of most members have gone into the reference."""
-    sizes = stage.table(rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")))
+    sizes = stage.table(rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")), n)
     each = rows.select("g", F.explode("edits").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("k"))
     # Of most members' edits there are at most twice as many as a member has on average.
-    turned = stage.table(each.join(sizes, "g").where("2 * k > members").groupBy("g").agg(F.collect_list("e").alias("most")))
+    turned = stage.table(each.join(sizes, "g").where("2 * k > members").groupBy("g").agg(F.collect_list("e").alias("most")), n)
     most = F.coalesce("most", F.array().cast(EDITS))
     not_mine = F.array_except(most, "edits")
     q = F.col("q") - 7 * _weight(most) + 14 * _weight(not_mine)
-    return stage.table(rows.join(turned, "g", "left").select("g", "a", "component", q.alias("q"), F.concat(F.array_except("edits", most), not_mine).alias("edits")))
+    return stage.table(rows.join(turned, "g", "left").select("g", "a", "component", q.alias("q"), F.concat(F.array_except("edits", most), not_mine).alias("edits")), n)
 
 
-def _divided(rows: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """One level: the links (a, b) that are certain or confirmed on the edits, and the smaller families that remain."""
-    put = _agreed(_merged(rows, stage), stage)
+def _divided(rows: DataFrame, stage: Stage, n: int) -> tuple[DataFrame, DataFrame]:
+    """One level: the links (a, b) that are certain or confirmed on the edits, and the smaller families that remain.
+
+    ``n`` is the number of the rows' edits, by which the tables are dealt over tasks.
+    """
+    put = _agreed(_merged(rows, stage, n), stage, n)
     each = put.select("g", "a", F.explode("edits").alias("e")).select("g", "a", "e.x", "e.w")
-    often = stage.table(each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    often = stage.table(each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), n)
     # s: the weight of an edit and of all behind it.
     behind = Window.partitionBy("g", "a").orderBy(F.desc("k"), F.desc("x"))
     each = each.join(often, ["g", "x"]).withColumn("s", F.sum("w").over(behind.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = stage.table(each.groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("k", "x", "w", "s"))).alias("e")))
+    ranked = stage.table(each.groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("k", "x", "w", "s"))).alias("e")), n)
     e = F.coalesce("e", F.array().cast("array<struct<k:bigint,x:bigint,w:int,s:bigint>>"))
     put = put.drop("edits").join(ranked, ["g", "a"], "left").withColumn("e", e).withColumn("room", 14 * _weight(F.col("e")) - F.col("q"))
-    put = stage.table(put)
-    best = stage.table(put.groupBy("g").agg(F.min(F.struct("q", "a", "component")).alias("best"), F.max("room").alias("most_room")))
+    put = stage.table(put, n)
+    best = stage.table(put.groupBy("g").agg(F.min(F.struct("q", "a", "component")).alias("best"), F.max("room").alias("most_room")), n)
     put = put.join(best, "g")
     sure = F.col("q") + F.col("best.q") <= 0
     certain = put.where(sure & (F.col("component") != F.col("best.component"))).select("a", F.col("best.a").alias("b"))
     put = put.withColumn("component", F.when(sure, F.col("best.component")).otherwise(F.col("component")))
     need = F.greatest(F.lit(1), F.ceil((F.col("q") + F.col("best.q")) / 14))
     firsts = F.filter("e", lambda t: t["s"] >= need)
-    alive = stage.table(put.where("q <= most_room AND room >= best.q").withColumn("firsts", F.size(firsts)))
+    alive = stage.table(put.where("q <= most_room AND room >= best.q").withColumn("firsts", F.size(firsts)), n)
     sizes = alive.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("firsts").alias("rows")).where("low <> high")
     # A family is divided only where that makes fewer rows than it has pairs.
-    mixed = stage.table(sizes.select("g", (F.col("n") * (F.col("n") - 1) <= 2 * F.col("rows")).alias("paired")))
+    mixed = stage.table(sizes.select("g", (F.col("n") * (F.col("n") - 1) <= 2 * F.col("rows")).alias("paired")), n)
     if mixed.isEmpty():
-        return stage.table(certain), rows.limit(0)
+        return stage.table(certain, n), rows.limit(0)
     here = alive.join(mixed, "g")
     first = here.where("NOT paired AND firsts > 0").select("g", "a", "component", "q", F.posexplode(F.slice("e", F.lit(1), F.col("firsts"))).alias("pos", "at"))
     q = F.col("q") - 7 * F.col("at.w")
-    first = stage.table(first.select("g", "a", F.col("at.x").alias("x"), "pos", "component", q.alias("q"), (14 * (F.col("at.s") - F.col("at.w")) - q).alias("room")))
+    first = stage.table(first.select("g", "a", F.col("at.x").alias("x"), "pos", "component", q.alias("q"), (14 * (F.col("at.s") - F.col("at.w")) - q).alias("room")), n)
     bounds = first.groupBy("g", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("q").alias("least"), F.max("room").alias("most_room")).where("low <> high")
-    inside = stage.table(first.join(stage.table(bounds.drop("low", "high")), ["g", "x"]).where("q <= most_room AND room >= least").drop("least", "most_room"))
+    inside = stage.table(first.join(stage.table(bounds.drop("low", "high"), n), ["g", "x"]).where("q <= most_room AND room >= least").drop("least", "most_room"), n)
     sizes = inside.groupBy("g", "x").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-    inside = stage.table(inside.join(stage.table(sizes.select("g", "x", "members")), ["g", "x"]))
+    inside = stage.table(inside.join(stage.table(sizes.select("g", "x", "members"), n), ["g", "x"]), n)
     few = inside.where(F.col("members") <= PAIRED).select("g", "x", "a", "component", "q", "room")
     few = few.union(here.where("paired").select("g", F.lit(0).cast("long").alias("x"), "a", "component", "q", "room"))
     other = few.select("g", "x", F.col("a").alias("b"), F.col("component").alias("component_b"), F.col("q").alias("q_b"), F.col("room").alias("room_b"))
-    pairs = stage.table(few.join(other, ["g", "x"]).where("a > b AND component <> component_b AND q <= room_b AND q_b <= room").select("g", "a", "b").distinct())
+    pairs = stage.table(few.join(other, ["g", "x"]).where("a > b AND component <> component_b AND q <= room_b AND q_b <= room").select("g", "a", "b").distinct(), n)
     edited = alive.select("g", "a", "q", F.transform("e", lambda t: F.struct(t["x"].alias("x"), t["w"].alias("w"))).alias("edits"))
     both = pairs.join(edited, ["g", "a"]).join(edited.select("g", F.col("a").alias("b"), F.col("q").alias("q_b"), F.col("edits").alias("edits_b")), ["g", "b"])
     linked = both.where(14 * _weight(F.array_intersect("edits", "edits_b")) >= F.col("q") + F.col("q_b")).select("a", "b")
     many = inside.where(F.col("members") > PAIRED).select("g", "x", "a", "pos", "component", "q").join(edited.select("g", "a", "edits"), ["g", "a"])
     further = F.slice("edits", F.col("pos") + 2, F.size("edits"))
-    return stage.table(certain.union(linked)), stage.table(many.select(F.xxhash64("g", "x").alias("g"), "a", "component", "q", further.alias("edits")))
+    return stage.table(certain.union(linked), n), stage.table(many.select(F.xxhash64("g", "x").alias("g"), "a", "component", "q", further.alias("edits")), n)
 
 
-def _relabelled(smaller: DataFrame, rows: DataFrame, links: DataFrame, stage: Stage) -> DataFrame:
-    """The smaller families with the components that a level's links between its rows have joined; those of one component go."""
-    of = stage.table(rows.select("a", "component").distinct())
+def _joined(links: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """(component, now) of the components of the rows ``of`` (a, component) that links (a, b) between them join."""
     ends = links.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("component").alias("component_b")), "b")
-    joined = components(ends.select(F.col("component").alias("a"), F.col("component_b").alias("b")), "minhash-level")
-    now = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    joined = components(ends.select(F.col("component").alias("a"), F.col("component_b").alias("b")), name)
+    return joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+
+
+def _relabelled(smaller: DataFrame, rows: DataFrame, links: DataFrame, stage: Stage, n: int) -> DataFrame:
+    """The smaller families with the components that a level's links between its rows have joined; those of one component go."""
+    now = _joined(links, stage.table(rows.select("a", "component").distinct(), n), "minhash-level")
     found = stage.table(smaller.join(now, "component", "left").select("g", "a", F.coalesce("now", "component").alias("component"), "q", "edits"))
     mixed = found.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    return stage.table(found.join(stage.table(mixed), "g"))
+    return stage.table(found.join(stage.table(mixed, n), "g"))
+
+
+def _weight_of(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.size("edits") + 1)).first()[0] or 0
 
 
-def _further(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame:
-    """Links (a, b), so that any two linked members of one hub's family end up in one component."""
+def _further(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame | None:
+    """Links (a, b), so that any two linked members of one hub's family end up in one component; None: no family to divide."""
     rows, found = _families(compared, label, sets, stage), None
-    while not rows.isEmpty():
-        links, smaller = _divided(rows, stage)
+    while n := _weight_of(rows):
+        links, smaller = _divided(rows, stage, n)
         found = links if found is None else found.union(links)
         # What a level has linked needs no further comparing in any family.
-        rows = smaller if smaller.isEmpty() or links.isEmpty() else _relabelled(smaller, rows, links, stage)
-    return compared.select("a", "b").limit(0) if found is None else found
+        rows = smaller if smaller.isEmpty() or links.isEmpty() else _relabelled(smaller, rows, links, stage, n)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,8 +334,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = stage.table(_with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(_compare, "a long, b long, n_a long, n_b long, common long"))
     links = compared.where(LINKED).select("a", "b")
     label = stage.table(components(links, "minhash-star"))
-    links = links.union(_further(compared, label, sets, stage))
-    label = stage.table(candidates.select(F.col("class").alias("id"), "rep").join(components(links, "minhash-all"), "id"))
+    if (more := _further(compared, label, sets, stage)) is not None:
+        # Only what the further links join is searched again.
+        all_of = stage.table(candidates.select(F.col("class").alias("id")).join(label, "id", "left").select(F.col("id").alias("a"), F.coalesce("component", "id").alias("component")))
+        now = stage.table(_joined(more, all_of, "minhash-all"))
+        label = stage.table(all_of.join(now, "component", "left").select(F.col("a").alias("id"), F.coalesce("now", "component").alias("component")))
+    label = stage.table(candidates.select(F.col("class").alias("id"), "rep").join(label, "id"))
     least = stage.table(label.groupBy("component").agg(F.min("rep").alias("least")))
     linked = label.join(least, "component").select(F.col("id").alias("class"), "least")
     class_of = stage.table(classes.select("class", "set_key", "rep").join(linked, "class", "left").select("set_key", F.coalesce("least", "rep").alias("component")))

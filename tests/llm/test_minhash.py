@@ -120,8 +120,8 @@ def test_common_edits_in_many_combinations_make_few_rows(spark, monkeypatch):
     """The rows of all levels together stay below all pairs, though each document is in a family of every band, and shrink."""
     made, whole = [], minhash._divided
 
-    def counted(rows, stage):
-        links, smaller = whole(rows, stage)
+    def counted(rows, stage, n):
+        links, smaller = whole(rows, stage, n)
         made.append(smaller.count())
         return links, smaller
 
