@@ -144,10 +144,35 @@ def user_friendly(message: Column) -> Column:
     return capitalised(reduce(lambda t, pr: F.regexp_replace(t, "(?i)" + pr[0], pr[1]), FRIENDLY, message))
 
 
+# Words that look like class names and aren't.
+NO_CLASS = (
+    "JavaScript", "TypeScript", "Python", "Service", "Handler", "Controller", "Manager", "Factory", "Repository", "Provider", "Interface", "Component", "Function", "Class", "Method", "Object", "Array", "String",
+    "Number", "Boolean", "Promise", "Async", "Await", "Import", "Export", "Module", "Package", "Version", "Update", "Delete", "Create", "Read",
+)
+
+
+def reference_kind(name: Column) -> Column:
+    """Of a name in back ticks: file, class, function or generic."""
+    file = F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")) | name.rlike(r"\.[A-Za-z]+$")
+    return F.when(file, "file").when(name.rlike("^[A-Z]"), "class").when(name.rlike("^[a-z][a-zA-Z0-9]*$"), "function").otherwise("generic")
+
+
+def around(text: Column, part: Column, size: int = 50) -> Column:
+    """The first place of a part in the text with ``size`` letters on both sides, dots where that cuts, in one line."""
+    at = F.instr(text, part)
+    start, end = F.greatest(at - size, F.lit(1)), F.least(at + F.length(part) + size, F.length(text) + 1)
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, end - start), F.when(end <= F.length(text), "...").otherwise(""))
+    return F.trim(F.replace(cut, F.lit("\n"), F.lit(" ")))
+
+
 def code_references(text: Column) -> Column:
-    """Distinct (kind, name): identifiers in back ticks, file paths and class names, in that order."""
-    found = lambda p, kind: F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1))), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
-    return F.concat(found(BACKTICK, "identifier"), found(FILE_PATH, "file"), found(CLASS_NAME, "class"))
+    """Distinct (source, kind, name, context): names in back ticks, file paths and class names but common words, in that order."""
+    names = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1)))
+    entry = lambda source, kind, name, part: F.struct(F.lit(source).alias("source"), kind.alias("kind"), name.alias("name"), around(text, part).alias("context"))
+    ticks = F.transform(names(BACKTICK), lambda n: entry("backtick", reference_kind(n), n, F.concat(F.lit("`"), n, F.lit("`"))))
+    files = F.transform(names(FILE_PATH), lambda n: entry("path", F.lit("file"), n, n))
+    classes = F.transform(F.filter(names(CLASS_NAME), lambda n: ~n.isin(*NO_CLASS)), lambda n: entry("name", F.lit("class"), n, n))
+    return F.concat(ticks, files, classes)
 
 
 def code_language(path: Column) -> Column:

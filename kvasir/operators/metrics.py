@@ -106,3 +106,19 @@ def reviewers(owned: DataFrame, files: DataFrame, limit: int = 5) -> DataFrame:
     g = g.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
     half = -(-limit // 2)
     return g.where(F.when(F.col("category") == "required", F.col("place") <= half).otherwise(F.col("place") <= limit)).select("author_email", "expertise_pct", "relevance", "category")
+
+
+def pr_summary(commits: DataFrame, key: str, message: str, files: str) -> DataFrame:
+    """(key, summary): what each pull request does by the types of its commits, or how much it touches.
+
+    Only counts are kept of a request, however many commits it has.
+    """
+    kind = F.lower(F.regexp_extract(message, r"(?i)^(feat|fix|docs|style|refactor|test|chore)(?:\((.+)\))?:", 1))
+    told = ("feat", "fix", "refactor", "docs", "test")
+    g = commits.withColumn("_kind", kind).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(files).alias("files"), *[F.sum((F.col("_kind") == k).cast("int")).alias(k) for k in told])
+    say = lambda k, before, after: F.when(F.col(k) > 0, F.concat(F.lit(before), F.col(k).cast("string"), F.lit(after)))
+    parts = F.concat_ws(
+        ". ", say("feat", "Adds ", " new feature(s)"), say("fix", "Fixes ", " bug(s)"), say("refactor", "Refactors ", " component(s)"), F.when(F.col("docs") > 0, "Updates documentation"), F.when(F.col("test") > 0, "Adds/updates tests")
+    )
+    other = F.concat(F.lit("This PR includes "), F.col("n").cast("string"), F.lit(" commit(s) affecting "), F.col("files").cast("string"), F.lit(" file(s)."))
+    return g.select(key, F.when(parts == "", other).otherwise(F.concat(parts, F.lit("."))).alias("summary"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kvasir.functions import budget as b
 from kvasir.functions import text as t
 from kvasir.operators import extraction as ex
+from kvasir.operators import metrics as m
 from kvasir.operators import relational as r
 from kvasir.operators import vectors as v
 from kvasir.plans.registry import query
@@ -161,13 +162,18 @@ def _(spark, d):
     return phrased(spark, d, *_QUERIES).select("k", F.concat_ws("|", F.array_sort(F.transform(t.code_entities(F.col("q")), t.kebab))).alias("kebab"))
 
 
-_REFS = f"""list_concat(list_concat(list_transform(regexp_extract_all(s, '{t.BACKTICK}', 1), lambda n: 'identifier:' || n), list_transform(regexp_extract_all(s, '{t.FILE_PATH.replace("'", "''")}', 1), lambda n: 'file:' || n)), list_transform(regexp_extract_all(s, '{t.CLASS_NAME}', 1), lambda n: 'class:' || n))"""
+_TICK_KIND = "CASE WHEN contains(n, '/') OR regexp_matches(n, '\\.[A-Za-z]+$') THEN 'file' WHEN regexp_matches(n, '^[A-Z]') THEN 'class' WHEN regexp_matches(n, '^[a-z][a-zA-Z0-9]*$') THEN 'function' ELSE 'generic' END"
+_REF = lambda source, p, kind, part: f"SELECT k, s, '{source}' AS source, n, {kind} AS kind, {part} AS part FROM (SELECT DISTINCT k, s, unnest(regexp_extract_all(s, '{p}', 1)) AS n FROM sn)"
+_REFS = " UNION ALL ".join((_REF("backtick", t.BACKTICK, _TICK_KIND, "'`' || n || '`'"), _REF("path", t.FILE_PATH.replace("'", "''"), "'file'", "n"), _REF("name", t.CLASS_NAME, "'class'", "n")))
+_AT = "instr(s, part)"
+_CUT = f"CASE WHEN {_AT} - 50 > 1 THEN '...' ELSE '' END || substring(s, greatest({_AT} - 50, 1), least({_AT} + length(part) + 50, length(s) + 1) - greatest({_AT} - 50, 1)) || CASE WHEN {_AT} + length(part) + 50 <= length(s) THEN '...' ELSE '' END"
 
 
-@query("extract_code_refs", f"SELECT CAST(k AS INT) AS k, array_to_string(list_sort(list_distinct({_REFS})), '|') AS refs FROM {phrased_sql(*_SNIPPETS)}")
+@query("extract_code_refs", f"WITH sn AS (SELECT * FROM {phrased_sql(*_SNIPPETS)}) SELECT CAST(k AS INT) AS k, source, kind, n AS name, trim(replace({_CUT}, chr(10), ' ')) AS context FROM ({_REFS})")
 def _(spark, d):
-    refs = F.transform(t.code_references(F.col("s")), lambda x: F.concat_ws(":", x["kind"], x["name"]))
-    return phrased(spark, d, *_SNIPPETS).select("k", F.concat_ws("|", F.array_sort(refs)).alias("refs"))
+    """names, their kinds and what stands around them."""
+    found = phrased(spark, d, *_SNIPPETS).select("k", F.explode(t.code_references(F.col("s"))).alias("r"))
+    return found.select("k", "r.source", "r.kind", "r.name", "r.context")
 
 
 @query("detect_code_language", f"SELECT CAST(k AS INT) AS k, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) {' '.join(f'''WHEN '{e}' THEN '{n}' ''' for e, n in t.LANGUAGES.items())} END AS language FROM {phrased_sql(*_PATHS)}")
@@ -212,6 +218,22 @@ BRANCHES = [(1, "feature/add_login-page"), (2, "fix/db"), (3, "main"), (4, "chor
 _BRANCHES = ("orders", "o_orderkey", BRANCHES, ("b",), (("-", "o_custkey"),))
 
 
+_PR = phrased_sql("orders", "o_orderkey", MESSAGES, ("m",), ((" #", "o_custkey"),))
+_KINDS = "lower(regexp_extract(m, '(?i)^(feat|fix|docs|style|refactor|test|chore)(?:\\((.+)\\))?:', 1))"
+_SAYS = [("feat", "'Adds ' || feat || ' new feature(s)'"), ("fix", "'Fixes ' || fix || ' bug(s)'"), ("refactor", "'Refactors ' || refactor || ' component(s)'"), ("docs", "'Updates documentation'"), ("test", "'Adds/updates tests'")]
+
+
+@query("pr_summary", f"""WITH c AS (SELECT o_custkey AS pr, {_KINDS} AS kind, n FROM {_PR} p JOIN orders ON o_orderkey = p.k JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = p.k),
+g AS (SELECT pr, count(*) AS commits, sum(n) AS files, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}" for k, _ in _SAYS)} FROM c GROUP BY pr)
+SELECT pr, CASE WHEN {' + '.join(k for k, _ in _SAYS)} = 0 THEN 'This PR includes ' || commits || ' commit(s) affecting ' || CAST(files AS BIGINT) || ' file(s).' ELSE concat_ws('. ', {', '.join(f'CASE WHEN {k} > 0 THEN {x} END' for k, x in _SAYS)}) || '.' END AS summary FROM g""")
+def _(spark, d):
+    """what a pull request does, by its commits' types; a customer's orders are one."""
+    files = a.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("files"))
+    orders = a.read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("pr")).join(files, "o_orderkey")
+    said = phrased(spark, d, *_MESSAGES).withColumnRenamed("k", "o_orderkey")
+    return m.pr_summary(orders.join(said, "o_orderkey"), "pr", "m", "files")
+
+
 @query("branch_title", f"SELECT CAST(k AS INT) AS k, upper(c[1]) || c[2:] AS title FROM (SELECT k, regexp_replace(regexp_replace(b, '^(feature|feat|fix|bugfix|hotfix|chore|docs)/', ''), '[-_]+', ' ', 'g') AS c FROM {phrased_sql(*_BRANCHES)})")
 def _(spark, d):
     return phrased(spark, d, *_BRANCHES).select("k", t.branch_title(F.col("b")).alias("title"))

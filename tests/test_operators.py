@@ -357,3 +357,20 @@ def test_stable_json(spark):
     }
     rows = spark.createDataFrame([(k,) for k in given], "s string")
     assert {r["s"]: r["j"] for r in rows.select("s", text.stable_json(F.col("s")).alias("j")).collect()} == given
+
+
+def test_code_references(spark):
+    given = "x" * 60 + " uses `run`, `parse.Query`, `Box`, `a_b`, `src/a` no, in src/api/handler.ts with\nAuthService and Interface"
+    row = spark.createDataFrame([(given,)], "s string").select(text.code_references(F.col("s")).alias("r")).first()["r"]
+    got = [(r["source"], r["kind"], r["name"]) for r in row]
+    assert got == [("backtick", "function", "run"), ("backtick", "file", "parse.Query"), ("backtick", "class", "Box"), ("backtick", "generic", "a_b"), ("path", "file", "src/api/handler.ts"), ("name", "class", "AuthService")]
+    assert row[0]["context"].startswith("...xxx") and row[0]["context"].endswith("...") and "`run`" in row[0]["context"]
+    assert row[5]["context"].endswith("with AuthService and Interface")
+
+
+def test_pr_summary(spark):
+    rows = [(1, "feat(ui): a", 2), (1, "Feat: b", 1), (1, "fix: c", 1), (1, "docs: d", 1), (2, "update things", 3), (2, "feat!: e", 4), (3, None, 1)]
+    got = {r["k"]: r["summary"] for r in metrics.pr_summary(spark.createDataFrame(rows, "k int, m string, f int"), "k", "m", "f").collect()}
+    assert got == {
+        1: "Adds 2 new feature(s). Fixes 1 bug(s). Updates documentation.", 2: "This PR includes 2 commit(s) affecting 7 file(s).", 3: "This PR includes 1 commit(s) affecting 1 file(s).",
+    }
