@@ -253,7 +253,7 @@ def _(spark, d):
 
 #: Sentences that the documents take in turn.
 SENTENCES = [
-    "We use PostgreSQL with Redis at Acme Corp. There Jane Smith designed Docker and Kubernetes.", "Redis and PostgreSQL were slow. So Acme Corp pays.", "Docker runs on Kubernetes. As Jane Smith said, Docker.", "nothing here",
+    "We use PostgreSQL with Redis at Acme Corp. later Jane Smith designed Docker and Kubernetes.", "Redis and PostgreSQL were slow. now Acme Corp pays.", "Docker runs on Kubernetes. later Jane Smith said so of Docker.", "nothing here",
 ]
 
 
