@@ -223,3 +223,12 @@ def stable_json(text: Column) -> Column:
     """
     sorted_keys = F.to_json(F.try_parse_json(text))
     return F.regexp_replace(sorted_keys, r'("(?:[^"\\]|\\.)*+")|(-?\d+)\.0(?![\dE])', "$1$2")
+
+
+#: A token with the white space before it: a run of word letters or a single other sign.
+TOKEN = r"\s*(?:[A-Za-z0-9_]+|[^\sA-Za-z0-9_])"
+
+
+def truncate_tokens(text: Column, limit: int) -> Column:
+    """The text up to its ``limit``-th token, whole tokens only; what follows the last one, white space too, goes."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), 1, limit), "")

@@ -191,6 +191,11 @@ def without_related(candidates: DataFrame, relations: DataFrame) -> DataFrame:
     return c.join(have, ["lo", "hi"], "left_anti").drop("lo", "hi")
 
 
+def without_same(candidates: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
+    """Candidates whose key no relation has yet, as (memory, node, type) across layers; null parts are equal to none."""
+    return candidates.join(relations.select(*key).distinct(), key, "left_anti")
+
+
 def best_per_target(candidates: DataFrame, key: list[str]) -> DataFrame:
     """The surest candidate of each key, with all its reasons in order of method."""
     w = Window.partitionBy(*key)

@@ -319,6 +319,15 @@ def _links(spark, d, items, score, least):
     return out.select("id", "class_id", "n_links", r6(F.col("best"), "best"))
 
 
+@query("cross_layer_exists_anti", with_("entity_memories", "SELECT memory_id, entity_id AS node_id, t AS type FROM entity_memories CROSS JOIN (VALUES ('documents'), ('addresses')) v(t) WHERE NOT (t = 'documents' AND CAST(entity_id[2:] AS BIGINT) % 3 = 0)"))
+def _(spark, d):
+    """J7 across layers: a candidate is known only with its own memory, node and type."""
+    em = a.entity_memories(spark, d).select("memory_id", F.col("entity_id").alias("node_id"))
+    cand = em.select("*", F.explode(F.array(F.lit("documents"), F.lit("addresses"))).alias("type"))
+    have = em.where(F.substring("node_id", 2, 20).cast("long") % 3 == 0).withColumn("type", F.lit("documents"))
+    return r.without_same(cand, have, ["memory_id", "node_id", "type"])
+
+
 @query("tag_overlap_join", linked("{}.tags", "s > 0", "s"))
 def _(spark, d):
     return _links(spark, d, "tags", lambda s, x, y: s.cast("double"), 1.0)

@@ -346,6 +346,12 @@ def _(spark, d):
     return a.read(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"), F.lit(0))).cast("long").alias("tokens"))
 
 
+@query("truncate_tokens", f"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '{t.TOKEN}'), 1, 64), '') AS head FROM documents")
+def _(spark, d):
+    """the first 64 tokens of each document."""
+    return a.read(spark, d, "documents").select("doc_id", t.truncate_tokens(F.col("text"), 64).alias("head"))
+
+
 @query("split_token_chunks", "SELECT doc_id, i // 48 AS chunk, array_to_string(list_slice(ws, i + 1, i + 64), ' ') AS content FROM (SELECT doc_id, ws, unnest(generate_series(0, greatest(len(ws) - 1, 0), 48)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS ws FROM documents))")
 def _(spark, d):
     """Windows of 64 words that overlap by 16."""

@@ -374,3 +374,14 @@ def test_pr_summary(spark):
     assert got == {
         1: "Adds 2 new feature(s). Fixes 1 bug(s). Updates documentation.", 2: "This PR includes 2 commit(s) affecting 7 file(s).", 3: "This PR includes 1 commit(s) affecting 1 file(s).",
     }
+
+
+def test_truncate_tokens(spark):
+    given = {"a b, c": "a b,", "  x": "  x", "": "", "one two_2  ": "one two_2", None: None}
+    rows = spark.createDataFrame([(k,) for k in given], "s string")
+    assert {r["s"]: r["t"] for r in rows.select("s", text.truncate_tokens(F.col("s"), 3).alias("t")).collect()} == given
+
+
+def test_candidates_known_across_layers(spark):
+    cand = spark.createDataFrame([("m", "n", "documents"), ("m", "n", "addresses"), ("m", "o", "documents")], "memory_id string, node_id string, type string")
+    assert {tuple(r) for r in relational.without_same(cand, cand.limit(1), cand.columns).collect()} == {("m", "n", "addresses"), ("m", "o", "documents")}
