@@ -206,10 +206,52 @@ def fused_score(vector: Column, lexical: Column) -> Column:
     return F.when((vector > 0) & (lexical > 0), F.least(F.lit(1.0), 0.72 * vector + 0.28 * lexical)).when(vector > 0, vector).otherwise(lexical)
 
 
-def code_summary(code: Column) -> Column:
-    """(source, confidence): a doc string, else a comment, else the signature."""
-    doc, comment = code.rlike(r"/\*\*|\"\"\""), code.rlike(r"(?m)^\s*(//|#)")
-    return F.struct(F.when(doc, "docstring").when(comment, "comment").otherwise("signature").alias("source"), F.when(doc, 0.9).when(comment, 0.7).otherwise(0.5).alias("confidence"))
+def _leading(lines: Column, marks: tuple[str, ...]) -> Column:
+    """The lines that begin with a mark, up to the first line of anything else, without the mark, in one."""
+    marked = lambda x: reduce(lambda a, b: a | b, [F.startswith(F.trim(x), F.lit(m)) for m in marks])
+    other = F.array_position(F.transform(lines, lambda x: ~marked(x) & (F.trim(x) != "")), True)
+    head = F.when(other > 0, F.slice(lines, F.lit(1), other.cast("int") - 1)).otherwise(lines)
+    return F.array_join(F.transform(F.filter(head, marked), lambda x: F.trim(F.substring(F.trim(x), len(marks[0]) + 1, 1_000_000))), " ")
+
+
+def docstring(code: Column, language: Column) -> Column:
+    """The documentation that a language's own form gives, or an empty text."""
+    lines = F.split(code, "\n")
+    block = F.regexp_replace(F.regexp_extract(code, r"(?s)/\*\*\s*\n.*?\*/", 0), r"/\*\*|\*/|\*", "")
+    block = F.array_join(F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
+    quoted = r"""(?s)"{3}(.*?)"{3}|'{3}(.*?)'{3}"""
+    python = F.trim(F.concat(F.regexp_extract(code, quoted, 1), F.regexp_extract(code, quoted, 2)))
+    script = language.isin("typescript", "tsx", "javascript", "jsx")
+    return F.when(script, block).when(language == "python", python).when(language == "go", _leading(lines, ("//",))).when(language == "rust", _leading(lines, ("///", "//!"))).otherwise("")
+
+
+def first_comment(code: Column) -> Column:
+    """The first comment in the first three lines, or an empty text."""
+    pattern = r"//\s*(.+)|#\s*(.+)"
+    said = F.transform(F.slice(F.split(code, "\n"), 1, 3), lambda x: F.trim(F.concat(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2))))
+    return F.coalesce(F.get(F.filter(said, lambda x: x != ""), F.lit(0)), F.lit(""))
+
+
+def exported(code: Column) -> Column:
+    """Whether the first line that is no comment says so."""
+    lines = F.transform(F.split(code, "\n"), lambda x: F.trim(x))
+    first = F.get(F.filter(lines, lambda x: ~x.rlike(r"^(//|/\*|\*|#|$)")), F.lit(0))
+    return F.coalesce(first.rlike("^(export|public|pub) | (export|public|pub) "), F.lit(False))
+
+
+def code_summary(code: Column, language: Column, kind: Column, name: Column, least: float = 0.6) -> Column:
+    """(summary, source, confidence, needs_ai): documentation, else a first comment, else what the signature says.
+
+    A hybrid run leaves to a model what is less sure than ``least``, and what is exported.
+    """
+    doc, comment = docstring(code, language), first_comment(code)
+    named = F.when(F.coalesce(name, F.lit("")) == "", "anonymous").otherwise(name)
+    said = F.concat(F.when(kind == "function", "Function ").when(kind == "class", "Class ").otherwise("Code unit "), named)
+    sure = F.when(doc != "", 0.9).when(comment != "", 0.7).otherwise(0.5)
+    return F.struct(
+        F.when(doc != "", doc).when(comment != "", comment).otherwise(said).alias("summary"), F.when(doc != "", "docstring").when(comment != "", "comment").otherwise("signature").alias("source"),
+        sure.alias("confidence"), ((sure < least) | exported(code)).alias("needs_ai"),
+    )
 
 
 def branch_title(branch: Column) -> Column:

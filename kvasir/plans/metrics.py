@@ -242,11 +242,6 @@ def _(spark, d):
     return g.groupBy("level").agg(F.count(F.lit(1)).alias("communities"), r6(F.avg("n"), "avg_size"))
 
 
-@query("summary_stats", with_("code_nodes", "SELECT CASE WHEN length(name) % 3 = 0 THEN 'docstring' WHEN length(name) % 3 = 1 THEN 'comment' ELSE 'signature' END AS source, count(*) AS n FROM code_nodes GROUP BY 1"))
-def _(spark, d):
-    return a.code_nodes(spark, d).groupBy(a.pick(F.length("name") % 3, ["docstring", "comment", "signature"]).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _HIST = "h AS (SELECT event_type AS branch, CAST(ts AS DATE) AS day, count(*) AS n, list_sort(list(value)) AS xs FROM events GROUP BY ALL), p AS (SELECT branch, day, xs[CAST(greatest(1, ceil(0.5::DOUBLE * n)) AS INT)] AS p50, xs[CAST(greatest(1, ceil(0.95::DOUBLE * n)) AS INT)] AS p95 FROM h)"
 
 

@@ -27,7 +27,6 @@ QUERIES = [
 SNIPPETS = [
     (1, "Use `parse.Query` and `run` in src/api/handler.ts with AuthService"), (2, "See ./lib/util.py, (web/app.tsx) or \"a.go\"; `run` again `run`"), (3, "UserController extends BaseHandlerFactory"), (4, "nothing here"),
 ]
-CODE = [(1, "src/a.ts", "/** Adds. */\nfunction add(a, b) {}"), (2, "lib/b.py", "# helper\ndef f():\n    pass"), (3, "c.rs", "fn main() {}"), (4, "d.SQL", "SELECT 1"), (5, "readme", '"""doc"""\nx = 1')]
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -60,7 +59,6 @@ _QUERIES = ("documents", "doc_id", QUERIES, ("q",), ((" ", "text"),))
 _SNIPPETS = ("documents", "doc_id", SNIPPETS, ("s",), ((" ", "text"),))
 _ENDINGS = [(1, "a."), (2, "lib/b.py."), (3, "c."), (4, "d/e."), (5, "readme")]
 _PATHS = ("documents", "doc_id", _ENDINGS, ("path",), (("", "lang"),))
-_CODE = ("documents", "doc_id", [(k, code) for k, _, code in CODE], ("code",), (("\n", "text"),))
 _MSG = phrased_sql(*_MESSAGES)
 _OR = lambda words, x: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
@@ -181,9 +179,43 @@ def _(spark, d):
     return phrased(spark, d, *_PATHS).select("k", t.code_language(F.col("path")).alias("language"))
 
 
-@query("code_summary", f"""SELECT CAST(k AS INT) AS k, CASE WHEN regexp_matches(code, '/\\*\\*|"""+'\\"\\"\\"'.replace('\\','')+f"""') THEN 'docstring' WHEN regexp_matches(code, '(?m)^\\s*(//|#)') THEN 'comment' ELSE 'signature' END AS source, CAST(CASE WHEN regexp_matches(code, '/\\*\\*|"""+'"""'+f"""') THEN 0.9 WHEN regexp_matches(code, '(?m)^\\s*(//|#)') THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM {phrased_sql(*_CODE)}""")
+#: Language, kind, name and code that documents take in turn, before their own texts.
+UNITS = [
+    ("typescript", "function", "add", "/**\n * Adds *two* numbers.\n *\n * Well.\n */\nexport function add(a, b) {}"), ("python", "function", "f", 'def f():\n    """ Doc of f. """\n    pass'), ("python", "function", "g", "# helper\ndef g():\n    pass"),
+    ("go", "function", "Run", "// Run does it.\n\n// More.\nfunc Run() {}\n// not this"), ("rust", "function", "main", "/// Runs it.\n//! Inner.\npub fn main() {}"), ("typescript", "class", "Box", "class Box {}\n\n\n"), ("sql", "other", "", "SELECT 1\n\n\n"),
+    ("javascript", "other", "x", "const x = 1 // trailing"), ("typescript", "function", "h", "/** one line */\nfunction h() {}\n\n"), ("rust", "class", "S", "struct S;\n\n\n"),
+]
+
+
+def _units(spark, d):
+    k = F.col("doc_id") % len(UNITS)
+    lang, kind, name, code = (a.pick(k, [u[i] for u in UNITS]) for i in range(4))
+    rows = a.read(spark, d, "documents").select("doc_id", lang.alias("language"), kind.alias("kind"), name.alias("name"), F.concat(code, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("code"))
+    return rows.select("doc_id", t.code_summary(F.col("code"), F.col("language"), F.col("kind"), F.col("name")).alias("s")).select("doc_id", "s.*")
+
+
+_TAKE = lambda i: f"CASE doc_id % {len(UNITS)} " + " ".join("WHEN {} THEN '{}'".format(n, u[i].replace("'", "''")) for n, u in enumerate(UNITS)) + " END"
+_HEAD = lambda marks: f"(SELECT coalesce(string_agg(trim(substr(trim(y), {len(marks[0]) + 1})), ' ' ORDER BY i), '') FROM (SELECT y, i, count(*) FILTER (NOT regexp_matches(trim(y), '^({'|'.join(marks)})') AND trim(y) <> '') OVER (ORDER BY i) AS other FROM (SELECT unnest(ls) AS y, unnest(range(len(ls))) AS i)) WHERE other = 0 AND regexp_matches(trim(y), '^({'|'.join(marks)})'))"
+_BLOCK = "array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_extract(code, '(?s)/\\*\\*\\s*\\n.*?\\*/'), '/\\*\\*|\\*/|\\*', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ')"
+_QUOTED = """'(?s)"{3}(.*?)"{3}|''{3}(.*?)''{3}'"""
+_SUMMARY = f"""un AS (SELECT doc_id, {_TAKE(0)} AS language, {_TAKE(1)} AS kind, {_TAKE(2)} AS name, {_TAKE(3)} || chr(10) || coalesce(text, '') AS code FROM documents), ul AS (SELECT *, string_split(code, chr(10)) AS ls FROM un),
+ud AS (SELECT *, CASE WHEN language IN ('typescript', 'javascript') THEN {_BLOCK} WHEN language = 'python' THEN trim(regexp_extract(code, {_QUOTED}, 1) || regexp_extract(code, {_QUOTED}, 2)) WHEN language = 'go' THEN {_HEAD(('//',))} WHEN language = 'rust' THEN {_HEAD(('///', '//!'))} ELSE '' END AS doc,
+  coalesce(list_filter(list_transform(ls[1:3], lambda x: trim(regexp_extract(x, '//\\s*(.+)|#\\s*(.+)', 1) || regexp_extract(x, '//\\s*(.+)|#\\s*(.+)', 2))), lambda x: x <> '')[1], '') AS comment,
+  coalesce(regexp_matches(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^(//|/\\*|\\*|#|$)'))[1], '^(export|public|pub) | (export|public|pub) '), false) AS public FROM ul),
+us AS (SELECT doc_id, CASE WHEN doc <> '' THEN doc WHEN comment <> '' THEN comment ELSE CASE kind WHEN 'function' THEN 'Function ' WHEN 'class' THEN 'Class ' ELSE 'Code unit ' END || CASE name WHEN '' THEN 'anonymous' ELSE name END END AS summary,
+  CASE WHEN doc <> '' THEN 'docstring' WHEN comment <> '' THEN 'comment' ELSE 'signature' END AS source, CAST(CASE WHEN doc <> '' THEN 0.9 WHEN comment <> '' THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence, (doc = '' AND comment = '') OR public AS needs_ai FROM ud)"""
+
+
+@query("code_summary", f"WITH {_SUMMARY} SELECT * FROM us")
+def _(spark, d):
+    """what code says of itself, and whether a hybrid run asks a model."""
+    return _units(spark, d)
+
+
+@query("summary_stats", f"WITH {_SUMMARY} SELECT source, count(*) AS n, CAST(count(*) FILTER (needs_ai) AS BIGINT) AS needs_ai, round(avg(confidence), 6) AS confidence FROM us GROUP BY source")
 def _(spark, d):
-    return phrased(spark, d, *_CODE).select("k", t.code_summary(F.col("code")).alias("s")).select("k", "s.source", "s.confidence")
+    """Summaries by where they come from."""
+    return _units(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("needs_ai"), 1)).alias("needs_ai"), r6(F.avg("confidence"), "confidence"))
 
 
 @query("entity_alias_normalise", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_brand || '_' || p_name), '[_./-]', ' ', 'g'), '\\s+', ' ', 'g')) AS alias FROM part")

@@ -385,3 +385,14 @@ def test_truncate_tokens(spark):
 def test_candidates_known_across_layers(spark):
     cand = spark.createDataFrame([("m", "n", "documents"), ("m", "n", "addresses"), ("m", "o", "documents")], "memory_id string, node_id string, type string")
     assert {tuple(r) for r in relational.without_same(cand, cand.limit(1), cand.columns).collect()} == {("m", "n", "addresses"), ("m", "o", "documents")}
+
+
+def test_code_summaries(spark):
+    cases = [
+        ("typescript", "/**\n * Adds *two*.\n */\nexport function add() {}", "function", "add", ("Adds two.", "docstring", 0.9, True)), ("python", 'def f():\n  """ Doc """\n', "function", "f", ("Doc", "docstring", 0.9, False)),
+        ("python", "x = 1 # note\n", "other", "x", ("note", "comment", 0.7, False)), ("go", "// One\n\n// two\nfunc f() {}\n// no", "function", "f", ("One two", "docstring", 0.9, False)), ("rust", "/// A\n//! b\npub fn f() {}", "function", "f", ("A b", "docstring", 0.9, True)),
+        ("typescript", "class Box {}", "class", "Box", ("Class Box", "signature", 0.5, True)), ("sql", "", "other", None, ("Code unit anonymous", "signature", 0.5, True)), ("javascript", "\n\n\n// late", "function", "g", ("Function g", "signature", 0.5, True)),
+    ]
+    rows = spark.createDataFrame([(n, *c[:4]) for n, c in enumerate(cases)], "n int, language string, code string, kind string, name string")
+    got = rows.select("n", text.code_summary(F.col("code"), F.col("language"), F.col("kind"), F.col("name")).alias("s")).orderBy("n").collect()
+    assert [tuple(r["s"]) for r in got] == [c[4] for c in cases]
