@@ -17,3 +17,14 @@ def test_pseudo_levenshtein_takes_all_pairs_of_names(spark):
     grams = {n: {c[i : i + 2] for i in range(len(c) - 1)} for n, c in pieces.items()}
     wanted = {(x, y) for x, y in itertools.combinations(sorted(names), 2) if grams[x] & grams[y]}
     assert {(r["a"], r["b"]) for r in run(spark, "pseudo_levenshtein").collect()} == wanted
+
+
+def test_detect_semantic_links_from_its_first_threshold(spark):
+    """A row for each pair of a query and another vector of confidence .6 or more, 50 a query at most."""
+    sim = lambda x, y: round((sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5 + 1) / 2, 6)
+    rows = {r["vec_id"]: [float(v) for v in r["embedding"]] for r in spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    wanted = 0
+    for q in rows:
+        if q % 50 == 0:
+            wanted += min(50, sum(i != q and sim(rows[q], rows[i]) >= 0.6 for i in rows))
+    assert run(spark, "detect_semantic").count() == wanted > 0
