@@ -3,6 +3,7 @@
 import itertools
 
 import __spark_entry__ as entry
+from kvasir.operators import relational
 
 D = "/root/testdata/sf0.001"
 
@@ -28,3 +29,20 @@ def test_detect_semantic_links_from_its_first_threshold(spark):
         if q % 50 == 0:
             wanted += min(50, sum(i != q and sim(rows[q], rows[i]) >= 0.6 for i in rows))
     assert run(spark, "detect_semantic").count() == wanted > 0
+
+
+def test_documented_pairs_come_once_and_are_not_grouped(spark, monkeypatch):
+    """Repeated memories and nodes, null paths, one large path in many groups; the same as grouping all pairs."""
+    monkeypatch.setattr(relational, "PAIRS_A_GROUP", 50)
+    refs = [(f"m{i}", f"n{i % 9}", None if i % 11 == 0 else f"f{i % 3}") for i in range(60)] + [("m1", "n1", "f1"), ("m1", "n2", "f2"), ("m2", None, "f0")]
+    nodes = [(f"p{i}", f"n{i % 13}", "module" if i % 4 == 0 else "class", f"f{i % 3}") for i in range(50)] + [("p1", "n1", "class", "f1"), ("p1", "n9", "class", "f2"), ("p7", "n1", "class", None)]
+    wanted: dict = {}
+    for m, name, path in refs:
+        named = min((i for i, n, _, _ in nodes if n == name), default=None)
+        for i, _, kind, at in nodes:
+            if path is not None and path == at and kind != "module":
+                wanted[m, i] = max(wanted.get((m, i), 0), 0.75)
+        if named:
+            wanted[m, named] = 0.9
+    df = relational.documented(spark.createDataFrame(refs, "memory_id string, name string, file_path string"), spark.createDataFrame(nodes, "id string, name string, type string, file_path string"))
+    assert sorted((r["memory_id"], r["node_id"], r["confidence"]) for r in df.collect()) == sorted((m, i, c) for (m, i), c in wanted.items())
