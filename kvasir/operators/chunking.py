@@ -223,7 +223,7 @@ def code_graph(chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def dyadic(begin: Column, end: Column) -> Column:
     """array of (power, place): the pieces [place << power, (place + 1) << power) that make up begin..end, 0 <= begin <= end.
 
-    At most two a power, found by halving both ends.
+    At most two a power, found by halving both ends, as many times as the end has binary digits.
     """
     odd = lambda c: c.bitwiseAND(1) == 1
     piece = lambda here, k, at: F.when(here, F.array(F.struct(k.alias("power"), at.alias("place")))).otherwise(F.array().cast(PIECES))
@@ -234,7 +234,7 @@ def dyadic(begin: Column, end: Column) -> Column:
         return F.struct(F.shiftright(s["l"] + s["l"].bitwiseAND(1), 1).alias("l"), F.shiftright(s["r"] - s["r"].bitwiseAND(1), 1).alias("r"), out.alias("out"))
 
     start = F.struct(begin.cast("long").alias("l"), (end.cast("long") + 1).alias("r"), F.array().cast(PIECES).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(POWERS)), start, step, lambda s: s["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.least(F.length(F.bin(end.cast("long") + 1)), F.lit(POWERS))), start, step, lambda s: s["out"])
 
 
 #: Lines are below two to this power.
@@ -247,12 +247,13 @@ def innermost(occurrences: DataFrame, ranges: DataFrame) -> DataFrame:
 
     A range is cut at whole powers of two into at most two pieces a power, and a line lies in one piece's place at each
     power; so they meet by equal places, a power at a time, and never all ranges of a document. Of the ranges in one
-    place the narrowest is kept before they meet. Null lines, and ranges without an end, have no partner; a range may
+    place the narrowest is kept before they meet, as of the ranges between the same lines before they are cut. Null lines, and ranges without an end, have no partner; a range may
     be given twice; a line is a whole number from 0.
     """
     ends = ranges.where("begin <= end").select("doc", "symbol", F.greatest(F.col("begin"), F.lit(0)).cast("long").alias("begin"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("begin")).alias("width")).where("begin <= end")
     best = F.min(F.struct("width", "symbol")).alias("best")
-    pieces = ends.select("doc", "width", "symbol", F.explode(dyadic(F.col("begin"), F.col("end"))).alias("p")).groupBy("doc", "p.power", "p.place").agg(best)
+    ends = ends.groupBy("doc", "begin", "end").agg(best)
+    pieces = ends.select("doc", "best", F.explode(dyadic(F.col("begin"), F.col("end"))).alias("p")).groupBy("doc", "p.power", "p.place").agg(F.min("best").alias("best"))
     # A line's places at the powers that its document's pieces have.
     used = pieces.select("doc", "power").distinct()
     lines = occurrences.where("line >= 0").select("doc", F.col("line").cast("long").alias("line")).distinct()
