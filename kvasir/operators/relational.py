@@ -268,14 +268,22 @@ def _grams(clean: Column) -> Column:
     return F.filter(F.transform(at, lambda i: F.substring(clean, i, F.lit(2))), lambda g: F.length(g) == 2)
 
 
+def _numbered(clean: Column) -> Column:
+    """A string's bigrams, each with the number of times it has come so far: a set with the multiset's size."""
+    each = lambda g: F.transform(g, lambda x, i: F.concat(x, (i - F.array_position(g, x)).cast("string")))
+    return F.element_at(F.transform(F.array(F.array_sort(_grams(clean))), each), 1)
+
+
 def dice(a: Column, b: Column) -> Column:
-    """Dice coefficient of two names' bigrams with their multiplicities; 1 for equal names, 0 where one has no bigram."""
-    ca, cb = cleaned(a), cleaned(b)
-    ga, gb = _grams(ca), _grams(cb)
-    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    common = F.aggregate(F.array_distinct(ga), F.lit(0), lambda t, g: t + F.least(times(ga, g), times(gb, g)))
-    n = F.size(ga) + F.size(gb)
-    return F.when(ca == cb, 1.0).when((F.size(ga) == 0) | (F.size(gb) == 0), 0.0).otherwise(2.0 * common / n)
+    """Dice coefficient of two names' bigrams with their multiplicities; 1 for equal names, 0 where one has no bigram, null where one is null.
+
+    The strings and then their bigrams are named by functions over arrays of one, so that each is made once a pair.
+    """
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    n = lambda s: F.size(s["ga"]) + F.size(s["gb"])
+    shared = lambda s: F.when((F.size(s["ga"]) == 0) | (F.size(s["gb"]) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(s["ga"], s["gb"])) / n(s))
+    sets = lambda c: F.struct(_numbered(c["ca"]).alias("ga"), _numbered(c["cb"]).alias("gb"))
+    return once(F.struct(cleaned(a).alias("ca"), cleaned(b).alias("cb")), lambda c: F.when(c["ca"] == c["cb"], 1.0).when(c["ca"].isNotNull() & c["cb"].isNotNull(), once(sets(c), shared)))
 
 
 def gram_sets(forms: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Queries that had been narrowed, and steps that had been slow or large: the whole job, by comparing plainly."""
 
 import itertools
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kvasir.operators import relational
+from kvasir.operators import chunking, relational
 
 D = "/root/testdata/sf0.001"
 
@@ -46,3 +49,29 @@ def test_documented_pairs_come_once_and_are_not_grouped(spark, monkeypatch):
             wanted[m, named] = 0.9
     df = relational.documented(spark.createDataFrame(refs, "memory_id string, name string, file_path string"), spark.createDataFrame(nodes, "id string, name string, type string, file_path string"))
     assert sorted((r["memory_id"], r["node_id"], r["confidence"]) for r in df.collect()) == sorted((m, i, c) for (m, i), c in wanted.items())
+
+
+def test_dice_counts_bigrams_as_often_as_they_come(spark):
+    names = ["aaaa", "aaa b", "AAAAB", "abab ab", "bababa", "a", "", "night", "nacht", None]
+    rows = [(x, y) for x in names for y in names]
+
+    def plain(x, y):
+        if x is None or y is None:
+            return None
+        x, y = "".join(x.lower().split()), "".join(y.lower().split())
+        g, h = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (x, y))
+        return 1.0 if x == y else 0.0 if not g or not h else 2.0 * (g & h).total() / (g.total() + h.total())
+
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", relational.dice(F.col("a"), F.col("b")).alias("d"))
+    assert sorted((str(r["a"]), str(r["b"]), str(r["d"])) for r in df.collect()) == sorted((str(x), str(y), str(plain(x, y))) for x, y in rows)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4  # each name is cleaned once
+
+
+def test_ranges_are_cut_by_as_many_halvings_as_their_end_has_digits(spark):
+    ranges = [(0, f"s{i}", i * 7 % 40, i * 7 % 40 + i % 25) for i in range(300)] + [(0, "far", 0, 2**39 - 1)]
+    occ = [(0, i, i) for i in range(80)]
+    df = chunking.innermost(spark.createDataFrame(occ, "doc long, occ long, line long"), spark.createDataFrame(ranges, "doc long, symbol string, begin long, end long"))
+    wanted = [(i, min((e - b, s) for _, s, b, e in ranges if b <= i <= e)[1]) for _, i, _ in occ]
+    assert sorted((r["occ"], r["symbol"]) for r in df.collect()) == wanted
+    steps = spark.range(1).select(F.size(chunking.dyadic(F.lit(0), F.lit(100))).alias("n"), F.length(F.bin(F.lit(101))).alias("digits")).first()
+    assert steps["n"] <= 2 * steps["digits"]
