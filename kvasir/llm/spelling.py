@@ -13,7 +13,8 @@ whatever the number of words, and the join emits links, each once and in both di
 that share a deletion at different places. Keys are 64-bit hashes, so every link is verified by its exact distance.
 A word's links are aggregated to their number and its form: the near word of largest n, if that is ``least_ratio``
 times the word's own. Forms have a larger n than their words, so following them ends; the roots are found by joins
-that double the way followed each round.
+that double the way followed each round. Words grow with the input, so all joins are by sorted merges: a broadcast table
+would be built in the driver.
 
 Defined cases: null texts have no words; a null id counts as empty in the hash that damages runs; repeated rows
 count again; very long runs are words like others (their deletions travel as hashes); ties go to the smallest word
@@ -72,9 +73,9 @@ def links(words: DataFrame) -> DataFrame:
     made = deletions(words)
     near_made = made.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "at", "key")
     exact = F.levenshtein("word", "near", 1) == 1
-    replaced = made.select("word", "n", "at", "key").join(near_made, ["key", "at"]).where((F.col("word") != F.col("near")) & exact).select("word", "n", "near", "near_n")
+    replaced = made.select("word", "n", "at", "key").join(near_made.hint("merge"), ["key", "at"]).where((F.col("word") != F.col("near")) & exact).select("word", "n", "near", "near_n")
     itself = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.xxhash64("word").alias("key"))
-    shorter = made.where("first").select("word", "n", "key").join(itself, "key").where(exact).select("word", "n", "near", "near_n")
+    shorter = made.where("first").select("word", "n", "key").join(itself.hint("merge"), "key").where(exact).select("word", "n", "near", "near_n")
     longer = shorter.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return replaced.union(shorter).union(longer)
 
@@ -82,7 +83,7 @@ def links(words: DataFrame) -> DataFrame:
 def forms(words: DataFrame, least_ratio: int = 5) -> DataFrame:
     """(word, n, n_near, form, form_n) for every word."""
     best = links(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("b"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     enough = -F.col("b.less") >= least_ratio * F.col("n")
     return found.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("b.near")).alias("form"), F.when(enough, -F.col("b.less")).alias("form_n")
@@ -94,7 +95,7 @@ def roots(found: DataFrame, stage: Stage) -> DataFrame:
     step = stage.table(found.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
     while True:
         ahead = step.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        new = stage.table(step.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")))
+        new = stage.table(step.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")))
         stage.drop(step)
         step = new
         if new.where("moved").isEmpty():
@@ -106,7 +107,7 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stage = Stage(docs.sparkSession, "spelling")
     words = stage.table(count_words(docs, id_col, text_col, least_length, least_n, every))
     found = stage.table(forms(words, least_ratio))
-    return found.join(roots(found, stage), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return found.join(roots(found, stage).hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 #: The same in DuckDB's SQL: crc32 by its table, a byte at a time; every pair that shares a deletion, by edit distance.
