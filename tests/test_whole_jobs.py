@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kvasir.operators import chunking, relational
+from kvasir.sources import adapters
 
 D = "/root/testdata/sf0.001"
 
@@ -75,3 +76,14 @@ def test_ranges_are_cut_by_as_many_halvings_as_their_end_has_digits(spark):
     assert sorted((r["occ"], r["symbol"]) for r in df.collect()) == wanted
     steps = spark.range(1).select(F.size(chunking.dyadic(F.lit(0), F.lit(100))).alias("n"), F.length(F.bin(F.lit(101))).alias("digits")).first()
     assert steps["n"] <= 2 * steps["digits"]
+
+
+def test_edges_are_dealt_out_by_their_lines_and_made_distinct_as_numbers(spark, monkeypatch):
+    once = sorted(map(tuple, adapters.code_edges(spark, D).collect()))
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 100)
+    df = adapters.code_edges(spark, D)
+    lines = spark.read.parquet(f"{D}/lineitem.parquet").count()
+    assert sorted(map(tuple, df.collect())) == once and len(set(once)) == len(once)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert f", {1 + lines // 100}), REPARTITION_BY_NUM" in plan
+    assert "concat(" not in plan[plan.rindex("HashAggregate(") :]  # names are made after the duplicates are gone
