@@ -102,6 +102,27 @@ def test_sparse_random_graph_is_as_good_as_moving_one_by_one(spark):
     assert plain_modularity(edges, got) >= plain_modularity(edges, sequential(edges)) - 0.005
 
 
+def test_communities_take_few_small_jobs(spark, monkeypatch):
+    """A graph without groups, on which rounds of joins over all its nodes took over a hundred staged tables."""
+    rng = random.Random(8)
+    edges = sorted({(*sorted(rng.sample([f"n{i:03d}" for i in range(300)], 2)), 1.0) for _ in range(2400)})
+    tables, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df: tables.append(1) or staged(df))
+    got = of(graph.communities(adjacency(spark, edges)))
+    assert all(connected(edges, g) for g in got.values())
+    assert plain_modularity(edges, got) >= plain_modularity(edges, sequential(edges)) - 0.005
+    assert len(tables) <= 90
+
+
+def test_several_blocks_move_and_refine_as_well_as_one(spark, monkeypatch):
+    """Blocks of few links: several blocks move at once, and communities of more links are refined by rounds."""
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    names, edges = planted(3, 16, 0.9, 0.03, 4)
+    got = of(graph.communities(adjacency(spark, edges)))
+    assert sorted(map(sorted, got.values())) == sorted(names)
+    assert all(connected(edges, g) for g in got.values())
+
+
 def test_hierarchy_levels_are_nested(spark):
     names, edges = planted(8, 6, 0.9, 0.0, 3)
     edges += [(names[g][0], names[g + 1][0], 1.0) for g in range(0, 8, 2)] + [(names[g][1], names[g + 1][1], 1.0) for g in range(0, 8, 2)]
