@@ -87,3 +87,18 @@ def test_edges_are_dealt_out_by_their_lines_and_made_distinct_as_numbers(spark,
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert f", {1 + lines // 100}), REPARTITION_BY_NUM" in plan
     assert "concat(" not in plan[plan.rindex("HashAggregate(") :]  # names are made after the duplicates are gone
+
+
+def test_cooccurring_pairs_are_counted_in_tasks_by_their_lines(spark, monkeypatch):
+    """The same first pairs as by counting plainly, whose names' order isn't that of the numbers (e10 before e9)."""
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 1000)
+    rows = spark.read.parquet(f"{D}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    orders: dict = {}
+    for r in rows:
+        orders.setdefault(r["l_orderkey"], set()).add(f"e{r['l_partkey']}")
+    count = Counter(p for es in orders.values() if 2 <= len(es) <= 8 for p in itertools.combinations(sorted(es), 2))
+    wanted = sorted(((a, b, c) for (a, b), c in count.items()), key=lambda p: (-p[2], p[0], p[1]))[:64]
+    df = run(spark, "cooccurrence")
+    assert [(r["a"], r["b"], r["strength"]) for r in df.collect()] == [(a, b, min(10, 2 + c)) for a, b, c in wanted]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert all(f", {1 + n // 1000}), REPARTITION_BY_NUM" in plan for n in (len(rows), 4 * len(rows)))
