@@ -103,7 +103,7 @@ def test_sparse_random_graph_is_as_good_as_moving_one_by_one(spark):
 
 
 def test_communities_take_few_small_jobs(spark, monkeypatch):
-    """A graph without groups, on which rounds of joins over all its nodes took over a hundred staged tables."""
+    """A graph without groups, on which rounds of joins over all its nodes hadn't ended after 100 seconds."""
     rng = random.Random(8)
     edges = sorted({(*sorted(rng.sample([f"n{i:03d}" for i in range(300)], 2)), 1.0) for _ in range(2400)})
     tables, staged = [], graph.staged
