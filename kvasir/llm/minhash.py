@@ -17,18 +17,22 @@ within buckets are then found without pairing a bucket's members with each other
 
        14 * common edits >= q(x) + q(y),   q(x) = 6 |x| + 14 l(x) - 7 |c|.
 
-   The edits that most members have are moved into the reference. Members whose q is at most minus the least q
+   A family is dealt into blocks of about ``BLOCK`` members and ``BLOCK_EDITS`` edits, and any two blocks meet in a
+   group, which counts the common edits of all their pairs as products of matrices and writes no pairs but the links
+   that join components. So a member's edits are sent as often as its family has blocks. Only families of more than
+   ``BLOCKS`` blocks are divided, until their parts have no more: the steps 3 and 4.
+3. The edits that most members have are moved into the reference. Members whose q is at most minus the least q
    are then linked with the member that has it, unseen.
-3. Any other link needs common edits. With e(x) edits that others have, too, x can only be linked with a y of
+4. Any other link needs common edits. With e(x) edits that others have, too, x can only be linked with a y of
    q(y) <= 14 e(x) - q(x), and the other way round; who has no such y leaves. Edits that the very same members of a
    family have are one edit, with their number as its weight. Edits are ordered by how few members have them; of a
    member that needs a weight k in common with anyone, only an edit with k or more from it on can be the first common
    one. The members that have such an edit, with their further edits, form a smaller family of at most half the size.
    Families of up to ``PAIRED`` members, and those that have no more pairs than their division would have rows, are
-   compared pair by pair, by their edits; the larger ones are divided again, less those that a level's links have
+   compared pair by pair, by their edits; the larger ones go through step 2 again, less those that a level's links have
    joined to one component.
 
-So no link between candidates that would join components is lost and no bucket or candidate list is capped. A level
+So no link between candidates that would join components is lost and no bucket or candidate list is capped. A division
 never makes more rows than its families have pairs (sixteen members' pairs aside), and a family halves at least.
 
 Sets are held as 64-bit hashes of their shingles. Ids may be of any type that has an order.
@@ -42,6 +46,7 @@ whole; an empty table gives no rows; other columns are ignored whatever their na
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +61,12 @@ from kvasir.llm.components import components
 
 WORDS, FUNCTIONS, ROWS = 5, 56, 4
 REMEMBERED, LONG_WORD = 400_000, 64
-#: Families of so many members are compared pair by pair; larger ones are divided further.
+#: A family's blocks have about so many members and edits at most; families of more blocks than the third are divided.
+BLOCK, BLOCK_EDITS, BLOCKS = 1024, 500_000, 64
+#: Parts of a divided family that have so many members are compared pair by pair; larger ones are dealt into blocks again.
 PAIRED = 16
+#: An edit that one pair of so many has is counted as a column of a matrix, a rarer one pair by pair; so many at once.
+DENSE, COLUMNS, AT_ONCE = 64, 1024, 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -208,6 +217,78 @@ def _families(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Sta
 EDITS = "array<struct<x:bigint,w:int>>"
 
 
+def _common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], weights: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The weight of the edits that each of n members has in common with each of m; a side is its edits' members and numbers."""
+    (rows, xs), (cols, ys) = left, right
+    out, have, got = np.zeros((n, m)), np.bincount(xs, minlength=len(weights)), np.bincount(ys, minlength=len(weights))
+    dense = have * got * DENSE >= n * m
+    names = np.flatnonzero(dense)
+    for at in range(0, len(names), COLUMNS):
+        now, seat = names[at : at + COLUMNS], np.full(len(weights), -1)
+        seat[now] = np.arange(len(now))
+        a, b = np.zeros((n, len(now))), np.zeros((m, len(now)))
+        here, there = seat[xs] >= 0, seat[ys] >= 0
+        a[rows[here], seat[xs[here]]] = weights[xs[here]]
+        b[cols[there], seat[ys[there]]] = 1
+        out += a @ b.T
+    rare = ~dense[xs] & (got[xs] > 0)
+    rows, xs = rows[rare], xs[rare]
+    order = np.argsort(ys, kind="stable")
+    cols, first, times = cols[order], (np.cumsum(got) - got)[xs], got[xs]
+    # An edit of a member on the left meets those who have it on the right.
+    cuts = np.searchsorted(np.cumsum(times), np.arange(AT_ONCE, times.sum() + AT_ONCE, AT_ONCE), side="right")
+    for a, b in itertools.pairwise([0, *cuts]):
+        k = times[a:b]
+        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[a:b], k)
+        np.add.at(out, (np.repeat(rows[a:b], k), cols[place]), np.repeat(weights[xs[a:b]], k).astype(float))
+    return out
+
+
+def _join_blocks(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """(g, i, j, block, a, component, q, edits) of two blocks i and j, or one, to links (a, b) that join all components that links between them join."""
+    group = group.combine_chunks()
+    block, ids, q = (group.column(c).to_numpy() for c in ("block", "a", "q"))
+    names, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
+    found = []
+    if len(names) > 1:
+        edits = group.column("edits").combine_chunks()
+        flat = pc.list_flatten(edits)
+        member = np.repeat(np.arange(len(ids)), pc.list_value_length(edits).to_numpy())
+        _, first, number = np.unique(flat.field("x").to_numpy(), return_index=True, return_inverse=True)
+        weights = flat.field("w").to_numpy()[first].astype(np.int64)
+        sides = []
+        for k in (key[1].as_py(), key[2].as_py()):
+            of = np.flatnonzero(block == k)
+            seat = np.full(len(ids), -1)
+            seat[of] = np.arange(len(of))
+            mine = seat[member] >= 0
+            sides.append((of, (seat[member[mine]], number[mine])))
+        (left, a), (right, b) = sides
+        linked = 14 * _common(a, b, weights, len(left), len(right)) >= q[left][:, None] + q[right][None, :]
+        linked &= component[left][:, None] != component[right][None, :]
+        root = np.arange(len(names))
+        for r in np.flatnonzero(linked.any(axis=1)):
+            to = right[linked[r]]
+            for x, at in zip(*np.unique(root[component[to]], return_index=True), strict=True):
+                if x != (own := root[component[left[r]]]):
+                    found.append((ids[left[r]], ids[to[at]]))
+                    root[root == x] = own
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _in_blocks(rows: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame | None]:
+    """The links (a, b) that join components in the families of up to ``BLOCKS`` blocks, and the other families' rows; None: there are none."""
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("edits")).alias("edits"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("edits") / BLOCK_EDITS)).cast("int")
+    sizes = stage.table(sizes.select("g", blocks.alias("blocks")))
+    here = rows.join(sizes.where(F.col("blocks") <= BLOCKS), "g").withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = here.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "component", "q", "edits")
+    links = stage.table(dealt.groupBy("g", "i", "j").applyInArrow(_join_blocks, "a long, b long"))
+    large = sizes.where(F.col("blocks") > BLOCKS).select("g")
+    return links, None if large.isEmpty() else stage.table(rows.join(large, "g"))
+
+
 def _weight(edits: Column) -> Column:
     return F.aggregate(edits, F.lit(0).cast("long"), lambda t, e: t + e["w"])
 
@@ -306,11 +387,15 @@ def _weight_of(rows: DataFrame) -> int:
 def _further(compared: DataFrame, label: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame | None:
     """Links (a, b), so that any two linked members of one hub's family end up in one component; None: no family to divide."""
     rows, found = _families(compared, label, sets, stage), None
-    while n := _weight_of(rows):
-        links, smaller = _divided(rows, stage, n)
+    while rows is not None and not rows.isEmpty():
+        links, rows = _in_blocks(rows, stage)
         found = links if found is None else found.union(links)
-        # What a level has linked needs no further comparing in any family.
-        rows = smaller if smaller.isEmpty() or links.isEmpty() else _relabelled(smaller, rows, links, stage, n)
+        if rows is not None:
+            n = _weight_of(rows)
+            links, smaller = _divided(rows, stage, n)
+            found = found.union(links)
+            # What a level has linked needs no further comparing in any family.
+            rows = smaller if smaller.isEmpty() or links.isEmpty() else _relabelled(smaller, rows, links, stage, n)
     return found
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from kvasir.llm import components as cc
 from kvasir.llm import minhash
 
@@ -129,3 +131,53 @@ def test_common_edits_in_many_combinations_make_few_rows(spark, monkeypatch):
     rows = edited_family(300)
     check(spark, rows)
     assert sum(made) <= 300 * 299 / 2 and all(y <= x / 4 for x, y in zip(made, made[1:], strict=False))
+
+
+def parts_of_one_text(n):
+    """Copies of one lost text, each without some of its 12 lines and half of them with a word changed; some are linked."""
+    rng = random.Random(13)
+    lines = [[f"t{k}x{i}" for i in range(12)] for k in range(12)]
+    rows = []
+    for k in range(n):
+        t = [w for line in sorted(rng.sample(range(12), rng.choice([7, 8, 9]))) for w in lines[line]]
+        if k % 2:
+            t[rng.randrange(len(t))] = f"own{k}"
+        rows.append((k, " ".join(t)))
+    return rows
+
+
+def test_families_are_compared_in_blocks_without_dividing(spark, monkeypatch):
+    """Division made subfamilies whose edits grew far faster than the documents; a member's edits now go once to each block."""
+
+    def divided(*_):
+        raise AssertionError("a family of one block was divided")
+
+    monkeypatch.setattr(minhash, "_divided", divided)
+    rows = parts_of_one_text(160)
+    assert 20 < len({c for _, c in brute(rows).values()}) < 160
+    check(spark, rows)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    check(spark, rows)
+
+
+def test_families_of_too_many_blocks_are_divided(spark, monkeypatch):
+    calls, whole = [], minhash._divided
+    monkeypatch.setattr(minhash, "_divided", lambda *x: calls.append(1) or whole(*x))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCKS", 3)
+    check(spark, edited_family(150))
+    assert calls
+
+
+def test_common_edits_of_two_sides_equal_counting(monkeypatch):
+    rng = random.Random(17)
+    weights = np.array([rng.randrange(1, 9) for _ in range(300)])
+    sides = [[{x for x in range(300) if rng.random() < (0.5 if x < 40 else 0.02)} for _ in range(n)] for n in (70, 50)]
+    expected = [[sum(weights[x] for x in a & b) for b in sides[1]] for a in sides[0]]
+    flat = [tuple(np.array(c) for c in zip(*[(k, x) for k, s in enumerate(side) for x in sorted(s)], strict=True)) for side in sides]
+    assert minhash._common(*flat, weights, 70, 50).tolist() == expected
+    monkeypatch.setattr(minhash, "AT_ONCE", 7)
+    monkeypatch.setattr(minhash, "COLUMNS", 3)
+    assert minhash._common(*flat, weights, 70, 50).tolist() == expected
+    none = (np.zeros(0, int), np.zeros(0, int))
+    assert minhash._common(flat[0], none, weights, 70, 3).sum() == 0 == minhash._common(none, none, weights, 0, 0).size
