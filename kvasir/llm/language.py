@@ -210,6 +210,15 @@ def _places(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _found(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """As _places, of a text whose words, none of several pieces, are known: each is the next that begins behind the last."""
+    out, at = [], 0
+    for w in words:
+        at = text.index(w, at)
+        out.append((at, at := at + len(w)))
+    return out
+
+
 def _spans(places: list[tuple[int, int]], labels: np.ndarray, names: list[str]) -> list[dict]:
     """Runs of one language, from their first word's start to their last word's end, in code points."""
     cut = np.flatnonzero(np.diff(labels)) + 1
@@ -221,45 +230,57 @@ def label(texts: list[str | None], model: LanguageModel) -> list[tuple[str, floa
     """(language, score, spans) of each text."""
     if not model.languages:
         return [("und", 0.0, [])] * len(texts)
-    known, table = _known.setdefault(model.uid, ({}, [np.zeros((0, len(model.languages)), np.float32)]))
+    known, table = _known.setdefault(model.uid, ({}, [np.zeros((0, len(model.languages)), np.float32), np.zeros(0, np.int64)]))
     if len(known) > REMEMBERED:
         known.clear()
-        table[0] = table[0][:0]
-    found, new = [], []
+        table[:] = table[0][:0], table[1][:0]
+    found, new, sizes_of_new = [], [], []
     for t in texts:
         # Words are cut in the text as it is, so that spans fit it; lower() may change a text's length.
         words = _words.findall(t) if t else []
-        ids = []
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                # A piece is no other word: it has a marked end, or more letters than a word in one piece.
-                got = pieces(w)
-                for piece, key in zip(got, got if len(got) > 1 else [w], strict=True):
-                    if (i := known.get(key)) is None:
-                        i = known[key] = len(known)
-                        new.append(piece)
-                    ids.append(i)
-                continue
-            ids.append(i)
-        found.append((ids, words))
+        ids, cut = list(map(known.get, words)), False
+        if None in ids:
+            ids = []
+            for w in words:
+                i = known.get(w)
+                if i is None:
+                    # A piece's key has a space, as a word of 42 letters may be like a piece of a longer one.
+                    got = pieces(w)
+                    cut = cut or len(got) > 1
+                    for piece, key in zip(got, [f" {x}" for x in got] if len(got) > 1 else [w], strict=True):
+                        if (i := known.get(key)) is None:
+                            i = known[key] = len(known)
+                            new.append(piece)
+                            sizes_of_new.append(len(w))
+                        ids.append(i)
+                    continue
+                ids.append(i)
+        found.append((ids, words, cut))
     if new:
-        table[0] = np.concatenate((table[0], model.score_pieces(new)))
-    sizes = np.array([len(x) for x, _ in found])
+        table[:] = np.concatenate((table[0], model.score_pieces(new))), np.concatenate((table[1], np.array(sizes_of_new)))
+    sizes = np.array([len(x) for x, _, _ in found])
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    ids = np.fromiter((i for x, _ in found for i in x), np.int64, int(offsets[-1]))
+    ids = np.fromiter(itertools.chain.from_iterable(x for x, _, _ in found), np.int64, int(offsets[-1]))
     path = viterbi(table[0][ids], offsets, model.penalty)
+    letters_of = table[1][ids]
     out = []
-    for k, (t, (_, words)) in enumerate(zip(texts, found, strict=True)):
+    for k, (t, (_, words, cut)) in enumerate(zip(texts, found, strict=True)):
         if not words:
             out.append(("und", 0.0, []))
             continue
-        labels = path[offsets[k] : offsets[k + 1]]
-        places = _places(t)
-        letters = np.fromiter((b - a for a, b in places), np.int64, len(places))
+        labels, letters = path[offsets[k] : offsets[k + 1]], letters_of[offsets[k] : offsets[k + 1]]
+        places = None
+        if cut:  # a piece's letters in the text aren't known from its lower case
+            places = _places(t)
+            letters = np.fromiter((b - a for a, b in places), np.int64, len(places))
         share = np.bincount(labels, weights=letters, minlength=len(model.languages))
         best = int(share.argmax())
-        out.append((model.languages[best], float(share[best] / share.sum()), _spans(places, labels, model.languages)))
+        if places is None and share[best] == letters.sum():
+            # A word begins with a letter, so it can't be found before the first one, nor after the last word's start.
+            spans = [{"lang": model.languages[best], "start": t.find(words[0]), "end": t.rfind(words[-1]) + len(words[-1])}]
+        else:
+            spans = _spans(places or _found(t, words), labels, model.languages)
+        out.append((model.languages[best], float(share[best] / share.sum()), spans))
     return out
 
 

@@ -103,3 +103,19 @@ def test_more_languages_than_a_byte_counts():
     counts = {f"l{k:03d}": {f"^{chr(0x4E00 + k)}": 50, f"{chr(0x4E00 + k)}$": 50} for k in range(300)}
     m = language.LanguageModel(counts, {k: {"han": 10} for k in counts})
     assert [language.label([chr(0x4E00 + k)], m)[0][0] for k in (0, 255, 256, 299)] == ["l000", "l255", "l256", "l299"]
+
+
+def test_spans_without_a_second_search(monkeypatch):
+    """Only texts with words of several pieces are searched again; all have the spans and scores of a search."""
+    m, pure, mixed = model(), "bana lana, mana sana. ", "kith smith with pith fifth with — привет мир ½ это слово, "
+    texts = [pure * 3, mixed * 3, " ͏12 the ́ housé", "the the", "und\U00020000 der ñ́ñ́", "the-the the", "x", None, "a" * 200, "a" * 42, "a" * 41, ("İ" * 90 + " ") * 2 + pure]
+    words = [language._places(t or "") for t in texts]
+    found, whole = [], language._places
+    monkeypatch.setattr(language, "_places", lambda t: found.append(t) or whole(t))
+    out = language.label(texts, m)
+    assert found == [texts[8], texts[9], texts[11]]
+    for t, places, (lang, score, spans) in zip(texts, words, out, strict=True):
+        assert [s["start"] for s in spans[:1]] == [a for a, _ in places[:1]] and [s["end"] for s in spans[-1:]] == [b for _, b in places[-1:]]
+        assert all((s["start"] in {a for a, _ in places}) and (s["end"] in {b for _, b in places}) for s in spans)
+        letters = {name: sum(b - a for a, b in places for s in spans if s["lang"] == name and s["start"] <= a < s["end"]) for name in m.languages}
+        assert not places or score == letters[lang] / sum(letters.values()) and letters[lang] == max(letters.values())
