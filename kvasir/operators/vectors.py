@@ -1,8 +1,8 @@
 """Vectors: cosine similarity, exact nearest neighbours, ranking and truncation.
 
 Queries of up to ``QUERY_VALUES`` numbers, which is checked, travel to the tasks, and the vectors are read in place: a
-task holds the best k of each query so far and gives them once, at its end. More queries than that are gathered into
-blocks and meet the vectors' bounded groups by an equi-join, each pair of them in one matrix product. No pair table is
+task holds the best k of each query so far and gives them once, at its end. More queries than that are dealt out in
+blocks, one a task, past which all vectors stream, so that a block's best rows leave a task once. No pair table is
 made, whatever the number of vectors. ``operators/cells.py`` has the index that reads a part of the vectors only.
 """
 
@@ -50,6 +50,8 @@ def top_k(df: DataFrame, by: list[str], k: int, *order: Column, rank: str = "ran
 QUERY_VALUES = 4_000_000
 #: Queries and vectors in one matrix product, and vectors of a group that meets blocks of queries.
 QUERIES_AT_ONCE, VECTORS_AT_ONCE, GROUP = 512, 4096, 4096
+#: Queries whose best rows a task holds at once, and tasks that fewer blocks than these are spread over.
+QUERIES_A_TASK, TASKS = 32_768, 64
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -70,7 +72,7 @@ class Best:
 
     def __init__(self, n: int, k: int):
         self.k, self.bar = k, np.full(n, -1.0)
-        self.q, self.ids, self.sim = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        self.q, self.ids, self.sim = np.zeros(0, np.int64), None, np.zeros(0)
 
     def see(self, at: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> None:
         """``sim``: a row for each query number of ``at``, a column for each id."""
@@ -78,8 +80,13 @@ class Best:
         if sim.shape[1] > self.k:
             bar = np.maximum(bar, np.partition(sim, -self.k, axis=1)[:, -self.k])
         row, col = np.nonzero(sim >= bar[:, None])  # those below are behind k others
-        q, ids, sim = np.concatenate((self.q, at[row])), np.concatenate((self.ids, ids[col])), np.concatenate((self.sim, sim[row, col]))
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -sim, q))
+        self.add(at[row], ids[col], sim[row, col])
+
+    def add(self, at: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> None:
+        """Rows that may be among the best."""
+        ids = ids if self.ids is None else np.concatenate((self.ids, ids))
+        q, sim = np.concatenate((self.q, at)), np.concatenate((self.sim, sim))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, -sim, q))
         q = q[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         kept = order[place < self.k]
@@ -88,6 +95,46 @@ class Best:
         self.q, self.ids, self.sim = q[place < self.k], ids[kept], sim[kept]
 
 
+class Nearest:
+    """The k nearest vectors of each row of ``x``, held for QUERIES_AT_ONCE rows together, so that an addition sorts few."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.x, self.parts = x, list(_parts(len(x), QUERIES_AT_ONCE))
+        self.best = [Best(len(x[s]), k) for s in self.parts]
+        self.unit = _unit(x)
+
+    def see(self, ids: np.ndarray, y: np.ndarray) -> None:
+        """Once a query has k rows, only pairs whose cosine may reach its last one's are looked at closely."""
+        unit = _unit(y)
+        for s, best in zip(self.parts, self.best, strict=True):
+            if best.bar.min() < 0:
+                best.see(np.arange(len(best.bar)), ids, similarities(self.x[s], y))
+                continue
+            row, col = np.nonzero(self.unit[s] @ unit.T >= (2 * best.bar - 1 - 1e-5)[:, None])
+            if len(row):
+                best.add(row, ids[col], _similarity_of(self.x[s][row], y[col]))
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(number of a row of x, id, similarity) of what was found."""
+        return ((best.q + s.start, best.ids, best.sim) for s, best in zip(self.parts, self.best, strict=True) if len(best.q))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1)[:, None]
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _similarity_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``similarities``, of each row of x with the same row of y."""
+    scale = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+    cos = np.divide(np.einsum("ij,ij->i", x, y), scale, out=np.zeros_like(scale), where=scale > 0)
+    return np.round(np.maximum(0.0, (cos + 1) / 2), 6)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_numpy() if pa.types.is_integer(column.type) and not column.null_count else np.array(column.to_pylist(), dtype=object)
+
+
 def small(queries: DataFrame) -> tuple[pa.Array, np.ndarray] | None:
     """The queries' ids and vectors, if they have at most ``QUERY_VALUES`` numbers."""
     size = queries.agg(F.sum(F.size("v").cast("long")).alias("n")).first()["n"] or 0
@@ -125,7 +172,25 @@ def _rows(rows: list, field: str) -> np.ndarray:
     return np.array([r[field] for r in rows], dtype=np.float64)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERIES_AT_ONCE) -> DataFrame:
+def _dealt(queries: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
+    """(key, q_id, id, v): each block of queries before each share of the vectors, in one task a key.
+
+    The vectors are sent once for each block, and each share's best rows leave their task, so there are the fewer shares the
+    more blocks there are, and one from TASKS blocks on.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    shares = max(1, TASKS // blocks)
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(number("q_id", blocks).alias("b"), every(shares).alias("s"), "q_id", F.lit(None).cast(vectors.schema["id"].dataType).alias("id"), "v")
+    x = vectors.select(every(blocks).alias("b"), number("id", shares).alias("s"), F.lit(None).cast(queries.schema["q_id"].dataType).alias("q_id"), "id", "v")
+    rows = q.withColumn("kind", F.lit(0)).union(x.withColumn("kind", F.lit(1)))
+    rows = rows.select((F.col("b") * shares + F.col("s")).alias("key"), "kind", "q_id", "id", "v")
+    # More tasks than keys, so that hardly a task gets two keys.
+    return rows.repartition(4 * blocks * shares, "key").sortWithinPartitions("key", "kind")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERIES_A_TASK) -> DataFrame:
     """(q_id, id, similarity, rank): the k vectors (id, v) nearest to each query (q_id, v), ties by id.
 
     Null vectors and queries are left out; vectors of different lengths are an error.
@@ -133,27 +198,43 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERIES_AT_
     queries, vectors = queries.where("v IS NOT NULL"), vectors.where("v IS NOT NULL").select("id", "v")
     kind, own = _types(queries, vectors, "id"), small(queries)
 
+    def given(nearest: Nearest, q_ids: pa.Array, kind_of: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for at, ids, sim in nearest.rows():
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), pa.array(ids.tolist(), kind_of), pa.array(sim)], names=["q_id", "id", "similarity"])
+
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, x = own
-        best = Best(len(q_ids), k)
+        nearest, kind_of = Nearest(x, k), pa.null()
         for batch in batches:
-            for a in range(0, batch.num_rows, VECTORS_AT_ONCE):
-                part = batch.slice(a, VECTORS_AT_ONCE)
-                ids, y = np.array(part.column(0).to_pylist(), dtype=object), matrix(part.column(1))
-                for s in _parts(len(x), QUERIES_AT_ONCE):
-                    best.see(np.arange(len(x))[s], ids, similarities(x[s], y))
+            for s in _parts(batch.num_rows if len(x) else 0, VECTORS_AT_ONCE):
+                part = batch.slice(s.start, VECTORS_AT_ONCE)
+                nearest.see(_ids(part.column(0)), matrix(part.column(1)))
                 kind_of = part.column(0).type
-        if len(best.q):
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(best.q)), pa.array(best.ids.tolist(), kind_of), pa.array(best.sim)], names=["q_id", "id", "similarity"])
+        yield from given(nearest, q_ids, kind_of)
 
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q, part in zip(pdf["q"], pdf["vs"], strict=True):
-                best = Best(len(q), k)
-                best.see(np.arange(len(q)), np.array([r["id"] for r in part], dtype=object), similarities(_rows(q, "v"), _rows(part, "v")))
-                yield pd.DataFrame({"q_id": np.array([r["q_id"] for r in q], dtype=object)[best.q], "id": best.ids, "similarity": best.sim})
-
-    found = vectors.mapInArrow(in_place, kind) if own is not None else _met(queries, vectors, block).mapInPandas(met, kind)
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, nearest = None, [], None
+        for batch in batches:
+            key, which = batch.column("key").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.concatenate(([0], 1 + np.nonzero((np.diff(key) != 0) | (np.diff(which) != 0))[0], [len(key)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b > a and key[a] != at:
+                    if nearest is not None:
+                        yield from given(nearest, q_ids, batch.column("id").type)
+                    at, asked, nearest = key[a], [], None
+                if b > a and which[a] == 0:
+                    asked.append(batch.slice(a, b - a))
+                    continue
+                if b > a and asked and nearest is None:
+                    q_ids, x = pa.concat_arrays([r.column("q_id") for r in asked]), np.concatenate([matrix(r.column("v")) for r in asked])
+                    nearest = Nearest(x, k)
+                for s in _parts(b - a if asked else 0, VECTORS_AT_ONCE):
+                    part = batch.slice(a + s.start, min(VECTORS_AT_ONCE, b - a - s.start))
+                    nearest.see(_ids(part.column("id")), matrix(part.column("v")))
+        if nearest is not None:
+            yield from given(nearest, q_ids, batch.column("id").type)
+
+    found = vectors.mapInArrow(in_place, kind) if own is not None else _dealt(queries, vectors, block).mapInArrow(streamed, kind)
     return top_k(found, ["q_id"], k, F.desc("similarity"), F.asc("id"))
 
 

@@ -3,10 +3,11 @@
 import itertools
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kvasir.operators import chunking, relational
+from kvasir.operators import chunking, relational, vectors
 from kvasir.sources import adapters
 
 D = "/root/testdata/sf0.001"
@@ -35,6 +36,23 @@ def test_detect_semantic_links_from_its_first_threshold(spark):
     assert run(spark, "detect_semantic").count() == wanted > 0
 
 
+def test_detect_semantic_takes_every_vector_as_a_source(spark, monkeypatch):
+    """The pairs of all vectors by comparing plainly; the same where vectors stream past blocks of sources."""
+    found = spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in found]), np.array([r["embedding"] for r in found], dtype=np.float64)
+    sim = vectors.similarities(x, x)
+    wanted = set()
+    for i, row in zip(ids.tolist(), sim, strict=True):
+        near = sorted((-s, j) for s, j in zip(row.tolist(), ids.tolist(), strict=True) if j != i and s >= 0.6)[:50]
+        wanted |= {(i, j, -s) for s, j in near}
+    got = lambda: sorted((r["source_id"], r["target_id"]) for r in run(spark, "detect_semantic").collect())
+    assert len({i for i, _, _ in wanted if i % 50}) > 0
+    assert got() == sorted((i, j) for i, j, _ in wanted)
+    monkeypatch.setattr(vectors, "QUERY_VALUES", 10)
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 100)
+    assert got() == sorted((i, j) for i, j, _ in wanted)
+
+
 def test_documented_pairs_come_once_and_are_not_grouped(spark, monkeypatch):
     """Repeated memories and nodes, null paths, one large path in many groups; the same as grouping all pairs."""
     monkeypatch.setattr(relational, "PAIRS_A_GROUP", 50)
