@@ -123,6 +123,38 @@ def test_several_blocks_move_and_refine_as_well_as_one(spark, monkeypatch):
     assert all(connected(edges, g) for g in got.values())
 
 
+def islands(count):
+    """Planted groups in separate components, one of them (of all the groups of the first seed) larger than 300 links."""
+    edges = [(f"s{seed}{a}", f"s{seed}{b}", w) for seed in range(count) for a, b, w in planted(3 + 5 * (seed == 0), 6, 0.95, 0.02, seed)[1]]
+    return edges + [(f"s0g{g:02d}n00", f"s0g{g + 1:02d}n00", 1.0) for g in range(7)]
+
+
+def test_components_are_searched_whole_and_in_few_tasks(spark, monkeypatch):
+    """A graph of several blocks whose components are no larger than one takes no rounds; the result is the same as in one task."""
+    edges = [e for e in islands(7) if not e[0].startswith("s0")]
+    one = of(graph.communities(adjacency(spark, edges)))
+    monkeypatch.setattr(graph, "BLOCK", 200)
+    assert 2 * len(edges) > graph.BLOCK
+
+    def rounds(*_):
+        raise AssertionError("moved by rounds")
+
+    monkeypatch.setattr(graph, "_moved", rounds)
+    got = of(graph.communities(adjacency(spark, edges)))
+    assert got == one and all(connected(edges, g) for g in got.values())
+
+
+def test_a_component_of_many_links_is_moved_by_rounds_beside_small_ones(spark, monkeypatch):
+    edges = islands(3)
+    one = of(graph.communities(adjacency(spark, edges)))
+    monkeypatch.setattr(graph, "BLOCK", 200)
+    got = of(graph.communities(adjacency(spark, edges)))
+    assert sorted(n for g in got.values() for n in g) == sorted(n for g in one.values() for n in g)
+    assert all(connected(edges, g) for g in got.values()) and all(c == min(g) for c, g in got.items())
+    assert {c for c in got if not c.startswith("s0")} == {c for c in one if not c.startswith("s0")}
+    assert plain_modularity(edges, got) >= plain_modularity(edges, one) - 0.005
+
+
 def test_hierarchy_levels_are_nested(spark):
     names, edges = planted(8, 6, 0.9, 0.0, 3)
     edges += [(names[g][0], names[g + 1][0], 1.0) for g in range(0, 8, 2)] + [(names[g][1], names[g + 1][1], 1.0) for g in range(0, 8, 2)]
