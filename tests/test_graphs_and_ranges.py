@@ -155,6 +155,25 @@ def test_a_component_of_many_links_is_moved_by_rounds_beside_small_ones(spark, m
     assert plain_modularity(edges, got) >= plain_modularity(edges, one) - 0.005
 
 
+def test_hierarchy_reads_its_links_once_and_searches_components_whole(spark, monkeypatch):
+    edges = [e for e in islands(5) if not e[0].startswith("s0")]
+    rows, seen = graph.adjacency(spark.createDataFrame(edges, "x string, y string, weight double")).toPandas(), spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    monkeypatch.setattr(graph, "BLOCK", 200)
+    monkeypatch.setattr(graph, "_moved", None)
+    adj = spark.createDataFrame(rows).mapInPandas(count, "id string, neighbour string, weight double")
+    got = graph.hierarchy(adj, (1.0, 0.5)).collect()
+    assert seen.value == len(rows) > graph.BLOCK
+    fine, coarse = ({r["id"]: r["community"] for r in got if r["level"] == level} for level in (0, 1))
+    assert fine.keys() == coarse.keys() == set(rows["id"])
+    assert all(len({coarse[i] for i in fine if fine[i] == c}) == 1 for c in set(fine.values()))
+
+
 def test_hierarchy_levels_are_nested(spark):
     names, edges = planted(8, 6, 0.9, 0.0, 3)
     edges += [(names[g][0], names[g + 1][0], 1.0) for g in range(0, 8, 2)] + [(names[g][1], names[g + 1][1], 1.0) for g in range(0, 8, 2)]
