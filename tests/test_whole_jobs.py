@@ -70,6 +70,22 @@ def test_documented_pairs_come_once_and_are_not_grouped(spark, monkeypatch):
     assert sorted((r["memory_id"], r["node_id"], r["confidence"]) for r in df.collect()) == sorted((m, i, c) for (m, i), c in wanted.items())
 
 
+def test_documented_pairs_are_made_after_their_join(spark, monkeypatch):
+    """One path of many memories and nodes: what is sent to the join grows with both, not with a path's pairs; each pair comes once."""
+    monkeypatch.setattr(relational, "PAIRS_A_GROUP", 3000)
+    monkeypatch.setattr(relational, "NODES_A_ROW", 70)
+    refs = spark.range(400).select(F.concat(F.lit("m"), "id").alias("memory_id"), F.lit("n3").alias("name"), F.lit("f").alias("file_path"))
+    nodes = spark.range(300).select(F.concat(F.lit("p"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("name"), F.lit("class").alias("type"), F.lit("f").alias("file_path"))
+    df = relational.documented(refs, nodes)
+    rows = df.collect()
+    assert len(rows) == len({(r["memory_id"], r["node_id"]) for r in rows}) == 400 * 300
+    assert {r["memory_id"] for r in rows if r["confidence"] == 0.9 and r["node_id"] == "p3"} == {f"m{i}" for i in range(400)}
+    assert sum(r["confidence"] == 0.9 for r in rows) == 400
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join")]
+    assert "Generate explode(node_ids" in top and plan.count("explode(node_ids") == 1  # no second pass where each memory is given once
+
+
 def test_dice_counts_bigrams_as_often_as_they_come(spark):
     names = ["aaaa", "aaa b", "AAAAB", "abab ab", "bababa", "a", "", "night", "nacht", None]
     rows = [(x, y) for x in names for y in names]
